@@ -146,6 +146,11 @@ long AS ({' UNION ALL '.join(f"SELECT facility_id, ts, '{d}' AS department, {d}_
 
 BASE = "WITH " + EVENT_ENCOUNTERS + "," + cleaning() + "," + SPINE + "," + CAPACITY + "," + LONG
 FACT = BASE + "," + signal("total", "fact")
+# The series up to the last hour with an admission; everything after ``total`` then works on that.
+CUT_TOTAL = """,
+total AS (SELECT * EXCLUDE (last) FROM whole JOIN (SELECT facility_id, max(ts) FILTER (WHERE admissions > 0) AS last FROM whole GROUP BY facility_id)
+          USING (facility_id) WHERE ts <= last)"""
+CUT_BASE = "WITH " + EVENT_ENCOUNTERS + "," + cleaning() + "," + SPINE.replace("total AS (", "whole AS (") + CUT_TOTAL + "," + CAPACITY
 VOLUME = "WITH " + ORDER_ENCOUNTERS + "," + cleaning() + "," + SPINE + "," + LONG
 WORD = "WITH " + EVENT_ENCOUNTERS + "," + cleaning("word") + "," + SPINE
 
@@ -410,7 +415,7 @@ points AS (SELECT facility_id, scenario_id, department, step, {iso('ts')} AS tim
 ALL_POINTS = BASE + SCENARIOS + ERRORS + points(str(HORIZON))
 OWN_POINTS = BASE + SCENARIOS + ERRORS + points("greatest(6, least(168, duration))")
 PLAIN = ",\nplain AS (SELECT * FROM scenario WHERE scenario_id = 0)"
-BASE_POINTS = BASE + SCENARIOS + PLAIN + ERRORS + points(str(HORIZON), "plain")
+CUT_POINTS = CUT_BASE + SCENARIOS + PLAIN + ERRORS + points(str(HORIZON), "plain")
 LONG_POINTS = BASE + SCENARIOS + PLAIN + ERRORS + points("168", "plain")
 add("profile_forecast", ALL_POINTS + " SELECT * FROM points")
 add("profile_forecast_own_horizon", OWN_POINTS + " SELECT * FROM points")
@@ -463,8 +468,8 @@ def breaches(threshold: str, source: str = "points", target: str = "alerts") ->
 
 RANKED = f"""
 SELECT *, row_number() OVER (PARTITION BY facility_id, scenario_id ORDER BY utilization DESC, {ORDER}) AS position FROM alerts"""
-add("alerts", BASE_POINTS + UPDATES + breaches("stored") + RANKED)
-add("alerts_override", BASE_POINTS + breaches(real(OVERRIDE)) + RANKED)
+add("alerts", CUT_POINTS + UPDATES + breaches("stored") + RANKED)
+add("alerts_override", CUT_POINTS + breaches(real(OVERRIDE)) + RANKED)
 add("what_if_alerts", ALL_POINTS + UPDATES + breaches("stored") + RANKED)
 add("thresholds", BASE + UPDATES + f" SELECT facility_id, department, utilization_threshold, updated_by, {iso('updated_at')} AS updated_at FROM stored")
 add("threshold_violations", BASE + UPDATES + f"""
@@ -472,7 +477,7 @@ SELECT facility_id, department, round(utilization_threshold, 6) AS utilization_t
   request_id, violation FROM bad""")
 
 # The three runs: stored thresholds, one threshold for all, stored thresholds again.
-MERGED = BASE_POINTS + UPDATES + breaches("stored", target="first_run") + breaches(real(OVERRIDE), target="second_run") + f""",
+MERGED = CUT_POINTS + UPDATES + breaches("stored", target="first_run") + breaches(real(OVERRIDE), target="second_run") + f""",
 runs AS (SELECT *, 1 AS run, '{NOW[1]}' AS seen_at FROM first_run UNION ALL SELECT *, 2, '{NOW[2]}' FROM second_run
          UNION ALL SELECT *, 3, '{NOW[3]}' FROM first_run),
 keyed AS (SELECT facility_id, department, timestamp AS forecast_timestamp, threshold, min(run) AS first_seen,
@@ -484,9 +489,9 @@ add("alert_merge", MERGED + " SELECT * FROM history")
 add("alert_history", MERGED + " SELECT * FROM history ORDER BY forecast_timestamp DESC, id DESC, facility_id LIMIT 10")
 
 # --- scenarios, settings, metadata -----------------------------------------------------------------------------------------------------
-PAYLOAD = f"""'observed load ' || n AS description, {real(0.2)} + (n % 500) / 100.0e0 AS admissions_multiplier,
+PAYLOAD = f"""'observed load ' || n AS description, {real(0.2)} + (n * 13 % 520) / 100.0e0 AS admissions_multiplier,
   1.0e0 + (n % 7) / 10.0e0 AS discharges_multiplier, {real(0.5)} + (n % 40) / 10.0e0 AS emergency_multiplier,
-  (n % 21 - 10) / 10.0e0 AS outbreak_delta, CAST(n % 210 - 100 AS DOUBLE) AS occupancy_delta, 2 + n % 170 AS duration_hours"""
+  (n % 21 - 10) / 10.0e0 AS outbreak_delta, CAST(n * 17 % 220 - 100 AS DOUBLE) AS occupancy_delta, 2 + n * 11 % 175 AS duration_hours"""
 PAYLOADS = f"""
 ins_p AS (SELECT facility_id, NULL AS id, 'surge ' || day AS name, day, n, {PAYLOAD} FROM (
   SELECT CAST(user_id % 4 AS VARCHAR) AS facility_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL)),

@@ -114,13 +114,17 @@ def occupancy_by_overlap(spark, sf):
     return _iso(hourly.occupancy_by_overlap(stays.clean_encounters(events(spark, sf))), "ts")
 
 
+def _volume(spark, sf):
+    """Order encounters, joined once and written: both the default stays and the hours are read from them."""
+    return stays.clean_encounters(materialise(adapters.encounters_from_orders(spark, sf).drop("patient_id")))
+
+
 def hourly_occupancy_volume(spark, sf):
-    clean = stays.clean_encounters(adapters.encounters_from_orders(spark, sf))
-    return _iso(hourly.by_department(hourly.hourly_occupancy(clean)), "ts")
+    return _iso(hourly.by_department(hourly.hourly_occupancy(_volume(spark, sf))), "ts")
 
 
 def hourly_flow_volume(spark, sf):
-    return _flow(hourly.hourly_occupancy(stays.clean_encounters(adapters.encounters_from_orders(spark, sf))))
+    return _flow(hourly.hourly_occupancy(_volume(spark, sf)))
 
 
 LEVELS = ["outbreak_signal", *C.OCCUPANCY_COLUMNS, "total_occupied"]
@@ -272,24 +276,34 @@ def what_if_summary(spark, sf):
     return _whole(forecast.scenario_summary(_points(spark, sf)), "capacity")
 
 
-def _stored_thresholds(spark, sf):
-    occupancy = hourly.hourly_occupancy(stays.clean_encounters(events(spark, sf)))
-    known = materialise(capacity.capacities(occupancy))
+def _stored_thresholds(spark, sf, hours: DataFrame | None = None):
+    if hours is None:
+        hours = hourly.hourly_occupancy(stays.clean_encounters(events(spark, sf)))
+    known = materialise(capacity.capacities(hours))
     seeds = state.default_thresholds(scenarios.facilities_of(known), None, "admin", "2024-01-01 00:00:00")
     accepted = quality.accepted_updates(derived.threshold_updates(spark, sf), known).drop("request_id")
     return state.merge_thresholds(seeds, accepted)
 
 
+def _points_as_of(spark, sf):
+    """Baseline points from the series as it stood at the last admission."""
+    hours = materialise(hourly.up_to_last_admission(hourly.hourly_occupancy(stays.clean_encounters(events(spark, sf)))))
+    return forecast.profile_forecast(hours, scenarios.baseline(scenarios.facilities_of(hours)), HORIZON), hours
+
+
 def alerts(spark, sf):
-    return _whole(A.compute_alerts(_points(spark, sf, HORIZON, True), _stored_thresholds(spark, sf)), "position")
+    points, hours = _points_as_of(spark, sf)
+    return _whole(A.compute_alerts(points, _stored_thresholds(spark, sf, hours)), "position")
 
 
 def alerts_override(spark, sf):
-    return _whole(A.compute_alerts(_points(spark, sf, HORIZON, True), None, OVERRIDE), "position")
+    return _whole(A.compute_alerts(_points_as_of(spark, sf)[0], None, OVERRIDE), "position")
 
 
 def what_if_alerts(spark, sf):
-    return _whole(A.compute_alerts(_points(spark, sf), _stored_thresholds(spark, sf)), "position")
+    hours = shared_fact(spark, sf)
+    points = forecast.profile_forecast(hours, _all_scenarios(spark, sf, hours), HORIZON)
+    return _whole(A.compute_alerts(points, _stored_thresholds(spark, sf, hours)), "position")
 
 
 # --- state tables -------------------------------------------------------------------------------------------------
@@ -306,8 +320,8 @@ def threshold_violations(spark, sf):
 
 
 def _history(spark, sf):
-    points = materialise(_points(spark, sf, HORIZON, True))
-    stored = materialise(_stored_thresholds(spark, sf))
+    forecasted, hours = _points_as_of(spark, sf)
+    points, stored = materialise(forecasted), materialise(_stored_thresholds(spark, sf, hours))
     history = spark.createDataFrame([], state.SCHEMAS["alert_history"])
     runs = [(stored, None, NOW[1]), (None, OVERRIDE, NOW[2]), (stored, None, NOW[3])]
     for limits, override, now in runs:
@@ -393,7 +407,7 @@ def gbt_forecast_points(spark, sf):
 
 
 def gbt_alerts(spark, sf):
-    return A.compute_alerts(_gbt_points(spark, sf), _stored_thresholds(spark, sf))
+    return A.compute_alerts(_gbt_points(spark, sf), _stored_thresholds(spark, sf, trained(spark, sf)[0]))
 
 
 def gbt_what_if(spark, sf):

@@ -55,12 +55,12 @@ def _payload(keys: DataFrame, name, scenario_id) -> DataFrame:
         scenario_id.cast("bigint").alias("id"),
         name.alias("name"),
         F.concat(F.lit("observed load "), n.cast("string")).alias("description"),
-        (F.lit(0.2) + (n % 500) / F.lit(100.0)).alias("admissions_multiplier"),
+        (F.lit(0.2) + n * 13 % 520 / F.lit(100.0)).alias("admissions_multiplier"),
         (F.lit(1.0) + (n % 7) / F.lit(10.0)).alias("discharges_multiplier"),
         (F.lit(0.5) + (n % 40) / F.lit(10.0)).alias("emergency_multiplier"),
         ((n % 21 - 10) / F.lit(10.0)).alias("outbreak_delta"),
-        (n % 210 - 100).cast("double").alias("occupancy_delta"),
-        (F.lit(2) + n % 170).cast("int").alias("duration_hours"),
+        (n * 17 % 220 - 100).cast("double").alias("occupancy_delta"),
+        (F.lit(2) + n * 11 % 175).cast("int").alias("duration_hours"),
     )
 
 
