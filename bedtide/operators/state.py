@@ -44,7 +44,10 @@ def latest(log: DataFrame, key: list[str], newest: Column) -> DataFrame:
 
 
 def apply_changes(existing: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
-    """The state after ``changes``, which hold at most one row per key."""
+    """The state after ``changes``, which hold at most one row per key.
+
+    Both sides read ``existing``, so store the state between two merges rather than chaining them.
+    """
     return existing.join(changes, key, "left_anti").unionByName(changes)
 
 

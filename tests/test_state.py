@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bedtide.operators import quality, state
+from bedtide.session import materialise
 from bedtide.streaming import flow
 
 T = {i: f"2026-01-0{i} 00:00:00" for i in range(1, 8)}
@@ -55,16 +56,16 @@ def test_threshold_requests_are_all_or_nothing(spark):
 
 def test_alert_upsert(spark):
     rows = [("a", 0, "icu", "ICU", "t1", 0.95, 0.9, "warning", "m1"), ("a", 0, "ward", "Ward", "t1", 0.97, 0.9, "critical", "m2"), ("a", 5, "ward", "Ward", "t1", 1.0, 0.9, "critical", "what-if")]
-    first = state.merge_alerts(empty(spark, "alert_history"), state.alert_rows(alert(spark, rows), T[1]))
+    first = materialise(state.merge_alerts(empty(spark, "alert_history"), state.alert_rows(alert(spark, rows), T[1])))
     assert [(r.id, r.department) for r in first.orderBy("id").collect()] == [(1, "ward"), (2, "icu")]
     again = [("a", 0, "icu", "renamed", "t1", 0.99, 0.9, "critical", "m3"), ("a", 0, "icu", "ICU", "t2", 0.91, 0.9, "warning", "m4"), ("b", 0, "icu", "ICU", "t1", 0.91, 0.9, "warning", "m5")]
-    second = state.merge_alerts(first, state.alert_rows(alert(spark, again), T[2]))
+    second = materialise(state.merge_alerts(first, state.alert_rows(alert(spark, again), T[2])))
     got = {(r.facility_id, r.department, r.forecast_timestamp): r for r in second.collect()}
     assert len(got) == 4
     changed = got["a", "icu", "t1"]
     assert (changed.id, changed.label, changed.utilization, changed.message) == (2, "ICU", 0.99, "m3")
     assert got["a", "icu", "t2"].id == 3 and got["b", "icu", "t1"].id == 1
-    third = state.merge_alerts(second, state.alert_rows(alert(spark, again), T[2]))
+    third = materialise(state.merge_alerts(second, state.alert_rows(alert(spark, again), T[2])))
     assert third.exceptAll(second).isEmpty() and second.exceptAll(third).isEmpty()
     assert [r.forecast_timestamp for r in state.alert_history(third, 2).collect()] == ["t2", "t1"]
     with pytest.raises(ValueError):
@@ -73,16 +74,16 @@ def test_alert_upsert(spark):
 
 def test_scenario_life(spark):
     make = lambda *rows: spark.createDataFrame(list(rows), PAYLOAD)
-    one = state.merge_scenarios(empty(spark, "scenarios"), make(payload("a", name="first"), payload("a", name="second"), payload("b", name="other")), "ann", T[1])
+    one = materialise(state.merge_scenarios(empty(spark, "scenarios"), make(payload("a", name="first"), payload("a", name="second"), payload("b", name="other")), "ann", T[1]))
     assert {(r.facility_id, r.name): r.id for r in one.collect()} == {("a", "first"): 1, ("a", "second"): 2, ("b", "other"): 1}
     change = make(payload("a", 2, "changed", occupancy_delta=7.0), payload("b", 9, "lost"))
     assert [r.id for r in state.unknown_scenarios(one, change).collect()] == [9]
-    two = state.merge_scenarios(one, change, "bob", T[2])
+    two = materialise(state.merge_scenarios(one, change, "bob", T[2]))
     row = two.where("facility_id = 'a' AND id = 2").first()
     assert (row.name, row.occupancy_delta, row.created_by, str(row.created_at), str(row.updated_at)) == ("changed", 7.0, "ann", T[1], T[2])
     assert two.count() == 3
-    ran = state.record_last_run(two, spark.createDataFrame([("a", 1, '{"generated_at":"now","summary":[]}')], "facility_id string, id bigint, summary_json string"), T[3])
-    kept = state.merge_scenarios(ran, make(payload("a", 1, "renamed")), "bob", T[4])
+    ran = materialise(state.record_last_run(two, spark.createDataFrame([("a", 1, '{"generated_at":"now","summary":[]}')], "facility_id string, id bigint, summary_json string"), T[3]))
+    kept = materialise(state.merge_scenarios(ran, make(payload("a", 1, "renamed")), "bob", T[4]))
     found = state.get_scenario(kept, "a", 1).first()
     assert (found.name, found.last_run_summary.generated_at, str(found.last_run_at)) == ("renamed", "now", T[3])
     assert [r.id for r in state.list_scenarios(kept.where("facility_id = 'a'")).collect()] == [1, 2]
