@@ -99,9 +99,9 @@ def test_readings_with_profile_method(spark, tmp_path):
     path.write_text("\n".join(lines))
     engine = OccupancyEngine(spark, str(tmp_path / "root"), method="profile")
     assert engine.ingest(str(path), "readings", derive_outbreak="when_absent").first().source_type == "aggregate_his"
-    assert engine.alerts(24).count() == 3
+    found = engine.alerts(24, 0.7).collect()
+    assert {r.department for r in found} == {"icu", "ward", "emergency"}
     assert engine.alert_history().count() == 3
-    assert {r.department for r in engine.alerts(24, 0.9).collect()} == {"icu", "ward", "emergency"} or True
 
 
 def test_stream_equals_batch_on_closed_hours(spark, small_dir):
