@@ -33,11 +33,10 @@ class ForecastModels:
         return GBTRegressionModel.load(self.paths[department])
 
 
-def scaled_frame(training: DataFrame, capacity: DataFrame) -> DataFrame:
-    """Training rows with bed features and target as shares of capacity, and the feature vector."""
-    joined = training.join(capacity, ["facility_id", "department"])
+def scaled_frame(training: DataFrame) -> DataFrame:
+    """Training rows, with their ``capacity``, to shares of capacity and the feature vector."""
     share = {c: F.col(c) / F.col("capacity") for c in BED_FEATURES}
-    scaled = joined.withColumns(share | {"label": F.col("target") / F.col("capacity")})
+    scaled = training.withColumns(share | {"label": F.col("target") / F.col("capacity")})
     return VectorAssembler(inputCols=C.FEATURES, outputCol="features").transform(scaled)
 
 
@@ -71,7 +70,7 @@ def train_all(hourly: DataFrame, trained_at: str | None = None, **settings) -> F
     capacity = capacities(hourly)
     training = time_split(training_frame(hourly))
     prepared = materialise(training.join(capacity, ["facility_id", "department"]))
-    frames = scaled_frame(prepared.drop("capacity"), prepared.select("facility_id", "department", "capacity").distinct())
+    frames = scaled_frame(prepared)
     options = C.LEARNER | settings
 
     def fit(department: str) -> tuple[str, str, DataFrame]:

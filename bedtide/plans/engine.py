@@ -17,7 +17,7 @@ from bedtide.operators.hourly import hourly_from_encounters, hourly_from_reading
 from bedtide.operators.recursive import gbt_forecast
 from bedtide.operators.scenarios import SCENARIO_COLUMNS, baseline, facilities_of
 from bedtide.operators.training import ForecastModels, model_metrics, train_all
-from bedtide.session import materialise, utc
+from bedtide.session import materialise, scratch_path, utc
 from bedtide.sources import sinks
 from bedtide.sources.columns import sniff_kind
 from bedtide.sources.readers import canonical_encounters, canonical_readings, load_hourly, read_raw
@@ -76,17 +76,19 @@ class OccupancyEngine:
         raw = read_raw(self.spark, path, fmt)
         kind = sniff_kind(raw.columns, kind)
         now = clock()
+        stamp = "".join(c for c in now if c.isdigit())
+        if keep_raw:
+            # Text is parsed once; the default stays and the hours then read pruned columns of the raw zone.
+            sinks.write_raw(raw, f"{self.root}/raw/{kind}", stamp)
+            raw = self.spark.read.parquet(f"{self.root}/raw/{kind}/_ingest_id={stamp}")
         if kind == "event":
             fact, source_type = hourly_from_encounters(canonical_encounters(raw), urgency), "event_level_his"
         else:
             fact, source_type = hourly_from_readings(canonical_readings(raw), derive_outbreak), "aggregate_his"
-        stamp = "".join(c for c in now if c.isdigit())
         target = f"{self.root}/hourly/{stamp}"
         sinks.write_hourly(fact, target)
         written = load_hourly(self.spark, target)
         quality.require_min_rows(written)
-        if keep_raw:
-            sinks.write_raw(raw, f"{self.root}/raw/{kind}", stamp)
         self._set("hourly_path", target, now)
         self._set("source_name", dataset_name, now)
         self._set("source_type", source_type, now)
@@ -97,6 +99,13 @@ class OccupancyEngine:
             self.retrain()
         return self.dataset_status()
 
+    def ingest_text(self, csv_text: str, dataset_name: str, **options) -> DataFrame:
+        """Ingest the CSV text of one request; files go through ``ingest``."""
+        lines = quality.check_csv_text(csv_text).splitlines()
+        path = scratch_path(self.spark, "request")
+        self.spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
+        return self.ingest(path, dataset_name, **options)
+
     def retrain(self) -> DataFrame:
         """Fit all models on the installed dataset; metadata is recomputed from the data."""
         self.models = train_all(quality.require_min_rows(self.hourly()), clock(), **self.learner)

@@ -98,6 +98,9 @@ def test_readings_with_profile_method(spark, tmp_path):
     path = tmp_path / "r.csv"
     path.write_text("\n".join(lines))
     engine = OccupancyEngine(spark, str(tmp_path / "root"), method="profile")
+    with pytest.raises(ValueError):
+        engine.ingest_text("a,b", "readings")
+    assert engine.ingest_text("\n".join(lines), "posted").first().rows == 200
     assert engine.ingest(str(path), "readings", derive_outbreak="when_absent").first().source_type == "aggregate_his"
     found = engine.alerts(24, 0.7).collect()
     assert {r.department for r in found} == {"icu", "ward", "emergency"}

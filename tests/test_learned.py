@@ -32,7 +32,7 @@ def test_metrics(fact, models):
 
 def test_saved_trees_predict_as_the_model(spark, fact, models):
     arrays = tree_arrays(spark, models)
-    rows = scaled_frame(features.training_frame(fact), capacities(fact))
+    rows = scaled_frame(features.training_frame(fact).join(capacities(fact), ["facility_id", "department"]))
     for department in C.DEPARTMENTS:
         scored = models.model(department).transform(rows.where(F.col("department") == department)).select("features", "prediction").toPandas()
         x = np.stack([v.toArray() for v in scored.features])
