@@ -25,7 +25,7 @@ def threshold_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(0.45) + (F.col("event_id") % 60) / F.lit(100.0)).alias("utilization_threshold"),
         F.col("user_id").cast("string").alias("updated_by"),
         F.col("ts").cast("timestamp").alias("updated_at"),
-        F.floor(F.col("event_id") / 3).alias("request_id"),
+        F.expr("event_id DIV 3").alias("request_id"),
     )
 
 
