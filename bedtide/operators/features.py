@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +69,3 @@ def observed_range(training: DataFrame) -> DataFrame:
     return training.groupBy("facility_id", "department").agg(
         F.min("target").alias("min_observed"), F.max("target").alias("max_observed"), F.count(F.lit(1)).alias("rows")
     )
-
-
-def all_known(columns: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])

@@ -148,16 +148,18 @@ class OccupancyEngine:
             return FC.profile_forecast(fact, scenarios, horizon)
         return gbt_forecast(fact, self._models(), scenarios, horizon)
 
-    def forecast(self, horizon_hours: int = C.HORIZON_DEFAULT, department: str | None = None) -> DataFrame:
-        """Baseline forecast points of all departments, or of one."""
-        fact = self.hourly()
+    def forecast(self, horizon_hours: int = C.HORIZON_DEFAULT, department: str | None = None, as_of: str | None = None) -> DataFrame:
+        """Baseline forecast points of all departments, or of one, from the end of the series or from ``as_of``."""
+        fact = self.hourly(as_of)
         points = self._points(fact, baseline(facilities_of(fact)), quality.check_horizon(horizon_hours))
         return points if department is None else points.where(F.col("department") == quality.check_department(department))
 
-    def alerts(self, horizon_hours: int = C.HORIZON_DEFAULT, threshold: float | None = None, persist: bool = True) -> DataFrame:
+    def alerts(self, horizon_hours: int = C.HORIZON_DEFAULT, threshold: float | None = None, persist: bool = True,
+               as_of: str | None = None) -> DataFrame:
         """Baseline alerts; with ``persist`` they are merged into the history."""
         quality.check_threshold(threshold)
-        found = materialise(A.compute_alerts(self.forecast(horizon_hours), self._state("thresholds"), threshold))
+        points = self.forecast(horizon_hours, as_of=as_of)
+        found = materialise(A.compute_alerts(points, self._state("thresholds"), threshold))
         if persist:
             self.record_alerts(found)
         return found.orderBy("facility_id", "position")
@@ -206,6 +208,15 @@ class OccupancyEngine:
         self._append(updates, "thresholds")
         return self.thresholds()
 
+    def apply_threshold_updates(self, updates: DataFrame) -> DataFrame:
+        """Bulk updates with ``request_id``: a request is written whole or, if any part is invalid, not at
+        all. Returns the violations."""
+        capacity = materialise(capacities(self.hourly()))
+        accepted = quality.accepted_updates(updates, capacity).drop("request_id")
+        newest = F.struct("updated_at", "utilization_threshold", "updated_by")
+        self._append(state.latest(accepted, state.THRESHOLD_KEY, newest), "thresholds")
+        return quality.threshold_violations(updates, capacity)
+
     # --- scenarios --------------------------------------------------------------------------------
     def save_scenarios(self, payloads: DataFrame) -> DataFrame:
         """Insert (no id) or update (id) scenarios; columns ``facility_id, id`` and the scenario inputs."""

@@ -355,7 +355,7 @@ SELECT facility_id, dow, hour, {commas(f"round({c}, 6) AS {c}" for c in C.EXOGEN
 KEY_OF_EVENT = [("'error'", "1"), ("'click'", "2"), ("'view'", "3"), ("'purchase'", "4"), ("'signup'", "5")]
 SCENARIOS = f""",
 scenario AS (
-  SELECT DISTINCT facility_id, 0 AS scenario_id, 'baseline' AS name, 1.0e0 AS fa, 1.0e0 AS fd, 1.0e0 AS fe, 0.0e0 AS dout, 0.0e0 AS docc, 0 AS duration
+  SELECT DISTINCT facility_id, CAST(0 AS BIGINT) AS scenario_id, 'baseline' AS name, 1.0e0 AS fa, 1.0e0 AS fd, 1.0e0 AS fe, 0.0e0 AS dout, 0.0e0 AS docc, 0 AS duration
   FROM total
   UNION ALL
   SELECT facility_id, {case('event_type', KEY_OF_EVENT)}, 'surge of ' || event_type, {real(0.8)} + (n % 50) / 100.0e0,
@@ -493,7 +493,7 @@ PAYLOAD = f"""'observed load ' || n AS description, {real(0.2)} + (n * 13 % 520)
   1.0e0 + (n % 7) / 10.0e0 AS discharges_multiplier, {real(0.5)} + (n % 40) / 10.0e0 AS emergency_multiplier,
   (n % 21 - 10) / 10.0e0 AS outbreak_delta, CAST(n * 17 % 220 - 100 AS DOUBLE) AS occupancy_delta, 2 + n * 11 % 175 AS duration_hours"""
 PAYLOADS = f"""
-ins_p AS (SELECT facility_id, NULL AS id, 'surge ' || day AS name, day, n, {PAYLOAD} FROM (
+ins_p AS (SELECT facility_id, CAST(NULL AS BIGINT) AS id, 'surge ' || day AS name, day, n, {PAYLOAD} FROM (
   SELECT CAST(user_id % 4 AS VARCHAR) AS facility_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY ALL)),
 upd_p AS (SELECT facility_id, {case('event_type', [(k, str(3 * int(v))) for k, v in KEY_OF_EVENT])} AS id, 'revised ' || event_type AS name, {PAYLOAD} FROM (
   SELECT CAST(user_id % 4 AS VARCHAR) AS facility_id, event_type, count(*) AS n FROM events GROUP BY ALL))"""

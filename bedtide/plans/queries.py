@@ -213,7 +213,9 @@ def calendar_features(spark, sf):
 
 
 def training_frame(spark, sf):
-    return _rounded(_iso(features.training_frame(fact(spark, sf)), "ts"), ["target", *C.FEATURES])
+    counts = [*C.CALENDAR_FEATURES[:4], *C.EXOGENOUS[:3]]
+    rest = ["target", *[c for c in C.FEATURES if c not in counts]]
+    return _rounded(_whole(_iso(features.training_frame(fact(spark, sf)), "ts"), *counts), rest)
 
 
 def train_validation_split(spark, sf):
@@ -261,19 +263,19 @@ def profile_errors(spark, sf):
 
 
 def profile_forecast(spark, sf):
-    return _whole(_points(spark, sf), "step", "capacity")
+    return _whole(_points(spark, sf), "step")
 
 
 def profile_forecast_own_horizon(spark, sf):
-    return _whole(_points(spark, sf, None), "step", "capacity")
+    return _whole(_points(spark, sf, None), "step")
 
 
 def forecast_summary(spark, sf):
-    return _whole(forecast.forecast_summary(_points(spark, sf, 168, True)), "capacity", "horizon_hours")
+    return _whole(forecast.forecast_summary(_points(spark, sf, 168, True)), "horizon_hours")
 
 
 def what_if_summary(spark, sf):
-    return _whole(forecast.scenario_summary(_points(spark, sf)), "capacity")
+    return forecast.scenario_summary(_points(spark, sf))
 
 
 def _stored_thresholds(spark, sf, hours: DataFrame | None = None):

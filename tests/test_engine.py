@@ -37,6 +37,11 @@ def test_thresholds(engine):
         with pytest.raises(ValueError):
             engine.update_thresholds(wrong)
     assert {r.department: r.utilization_threshold for r in engine.thresholds().collect()} == values
+    bulk = engine.spark.createDataFrame(
+        [(1, "f0", "icu", 0.6, "x", "2026-01-01"), (1, "f0", "burns", 0.6, "x", "2026-01-01"), (2, "f0", "ward", 0.7, "x", "2026-01-01"), (3, "f0", "ward", 0.8, "x", "2026-01-02")],
+        "request_id int, facility_id string, department string, utilization_threshold double, updated_by string, updated_at string")
+    assert engine.apply_threshold_updates(bulk).count() == 1
+    assert {r.department: r.utilization_threshold for r in engine.thresholds().collect()} == values | {"ward": 0.8}
 
 
 def test_scenarios(engine, spark):
@@ -72,6 +77,8 @@ def test_scenarios(engine, spark):
 
 
 def test_alerts_are_merged(engine):
+    early = engine.forecast(6, "icu", as_of="2026-01-15 00:00:00").orderBy("step").collect()
+    assert early[0].timestamp == "2026-01-15T01:00:00" and len(early) == 6
     first = engine.alerts(24, 0.5)
     history = engine.alert_history(200).count()
     engine.alerts(24, 0.5)
