@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bedtide import config as C
-from bedtide.functions import scalar as S
 from bedtide.operators import alerts as A
 from bedtide.operators import forecast as FC
 from bedtide.operators import kpis, quality, state, trends

@@ -2,9 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bedtide.plans.engine import OccupancyEngine
-from bedtide.operators import hourly, stays
 from bedtide.plans.queries import REGISTERED
-from bedtide.sources import adapters
 from fixtures import formula_csv
 from test_state import PAYLOAD, payload
 
