@@ -202,8 +202,8 @@ gapless AS (SELECT facility_id, ts, coalesce(admissions, 0) AS admissions, coale
   FROM hours LEFT JOIN per_hour p USING (facility_id, ts)),""" + signal("gapless", "fact")
 for name, given in [("hourly_readings", "CASE WHEN seen THEN 0.0 ELSE outbreak_signal END"), ("hourly_readings_derived", "outbreak_signal")]:
     add(name, READINGS + f"""
-SELECT facility_id, {iso('ts')} AS ts, admissions, discharges, emergency_cases, round({given}, 6) AS outbreak_signal,
-  {commas(f"round({c}, 6) AS {c}" for c in OCC)}, round({' + '.join(f"coalesce({c}, 0)" for c in OCC)}, 6) AS total_occupied
+SELECT facility_id, {iso('ts')} AS ts, admissions, discharges, emergency_cases, round({given} + 1e-9, 6) AS outbreak_signal,
+  {commas(f"round({c} + 1e-9, 6) AS {c}" for c in OCC)}, round({' + '.join(f"coalesce({c}, 0)" for c in OCC)} + 1e-9, 6) AS total_occupied
 FROM fact""")
 
 # --- capacities and metadata ---------------------------------------------------------------------------------------

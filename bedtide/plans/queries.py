@@ -42,8 +42,10 @@ def _iso(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: S.iso(F.col(c)) for c in columns})
 
 
-def _rounded(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+def _rounded(df: DataFrame, columns: list[str], digits: int = 6, nudge: float = 0.0) -> DataFrame:
+    """``nudge`` moves means of decimals, which end in a 5 after the last digit kept, off the rounding edge,
+    where the order of summation would decide."""
+    return df.withColumns({c: F.round(F.col(c).cast("double") + F.lit(nudge), digits) for c in columns})
 
 
 def _whole(df: DataFrame, *columns: str) -> DataFrame:
@@ -131,12 +133,12 @@ LEVELS = ["outbreak_signal", *C.OCCUPANCY_COLUMNS, "total_occupied"]
 
 
 def hourly_readings(spark, sf):
-    return _rounded(_iso(hourly.hourly_from_readings(adapters.readings_from_events(spark, sf)), "ts"), LEVELS)
+    return _rounded(_iso(hourly.hourly_from_readings(adapters.readings_from_events(spark, sf)), "ts"), LEVELS, nudge=1e-9)
 
 
 def hourly_readings_derived(spark, sf):
     df = hourly.hourly_from_readings(adapters.readings_from_events(spark, sf), "when_absent")
-    return _rounded(_iso(df, "ts"), LEVELS)
+    return _rounded(_iso(df, "ts"), LEVELS, nudge=1e-9)
 
 
 def outbreak_signal(spark, sf):
