@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bedtide.llm import oracle
 from bedtide.llm.simhash import simhash_groups
+from bedtide.llm.winnow import contamination
 from bedtide.session import utc
 
 
@@ -16,5 +18,9 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in [op5_simhash]}
-SQL: dict[str, str] = {}
+def op6_winnow(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in [op5_simhash, op6_winnow]}
+SQL = {"op6_winnow": oracle.CONTAMINATION}
