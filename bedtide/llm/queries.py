@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bedtide.llm import oracle
+from bedtide.llm.fertility import quality
 from bedtide.llm.simhash import simhash_groups
 from bedtide.llm.winnow import contamination
 from bedtide.session import utc
@@ -22,5 +23,9 @@ def op6_winnow(spark: SparkSession, sf: str) -> DataFrame:
     return contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in [op5_simhash, op6_winnow]}
+def op7_fertility(spark: SparkSession, sf: str) -> DataFrame:
+    return quality(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in [op5_simhash, op6_winnow, op7_fertility]}
 SQL = {"op6_winnow": oracle.CONTAMINATION}
