@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bedtide.llm import oracle
 from bedtide.llm.fertility import quality
+from bedtide.llm.licenses import license_digest, license_spans
 from bedtide.llm.simhash import simhash_groups
 from bedtide.llm.winnow import contamination
 from bedtide.session import utc
@@ -15,6 +16,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return utc(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_digest(license_spans(table(spark, sf, "documents")))
+
+
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(table(spark, sf, "documents"))
 
@@ -27,5 +32,5 @@ def op7_fertility(spark: SparkSession, sf: str) -> DataFrame:
     return quality(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in [op5_simhash, op6_winnow, op7_fertility]}
+QUERIES = {f.__name__: f for f in [op1_license_scan, op5_simhash, op6_winnow, op7_fertility]}
 SQL = {"op6_winnow": oracle.CONTAMINATION}
