@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from bedtide.llm import oracle
+from bedtide.llm.crf import identify
 from bedtide.llm.fertility import quality
 from bedtide.llm.licenses import license_digest, license_spans
 from bedtide.llm.simhash import simhash_groups
@@ -32,5 +33,9 @@ def op7_fertility(spark: SparkSession, sf: str) -> DataFrame:
     return quality(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in [op1_license_scan, op5_simhash, op6_winnow, op7_fertility]}
+def op8_language(spark: SparkSession, sf: str) -> DataFrame:
+    return identify(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in [op1_license_scan, op5_simhash, op6_winnow, op7_fertility, op8_language]}
 SQL = {"op6_winnow": oracle.CONTAMINATION}
