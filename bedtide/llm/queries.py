@@ -9,6 +9,7 @@ from bedtide.llm.crf import identify
 from bedtide.llm.fertility import quality
 from bedtide.llm.licenses import license_digest, license_spans
 from bedtide.llm.simhash import simhash_groups
+from bedtide.llm.toxicity import score_documents
 from bedtide.llm.winnow import contamination
 from bedtide.session import utc
 
@@ -37,5 +38,9 @@ def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     return identify(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in [op1_license_scan, op5_simhash, op6_winnow, op7_fertility, op8_language]}
+def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    return score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+QUERIES = {f.__name__: f for f in [op1_license_scan, op5_simhash, op6_winnow, op7_fertility, op8_language, op10_toxicity]}
 SQL = {"op6_winnow": oracle.CONTAMINATION}
