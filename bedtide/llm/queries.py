@@ -9,6 +9,7 @@ from bedtide.llm.crf import identify
 from bedtide.llm.fertility import quality
 from bedtide.llm.licenses import license_digest, license_spans
 from bedtide.llm.simhash import simhash_groups
+from bedtide.llm.suffixes import remove_repeats
 from bedtide.llm.toxicity import score_documents
 from bedtide.llm.winnow import contamination
 from bedtide.session import utc
@@ -22,6 +23,10 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_digest(license_spans(table(spark, sf, "documents")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return remove_repeats(table(spark, sf, "documents"), with_text=False)
+
+
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(table(spark, sf, "documents"))
 
@@ -42,5 +47,5 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
-QUERIES = {f.__name__: f for f in [op1_license_scan, op5_simhash, op6_winnow, op7_fertility, op8_language, op10_toxicity]}
+QUERIES = {f.__name__: f for f in [op1_license_scan, op2_suffix_dedup, op5_simhash, op6_winnow, op7_fertility, op8_language, op10_toxicity]}
 SQL = {"op6_winnow": oracle.CONTAMINATION}
