@@ -29,3 +29,53 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+
+_HEAD = """'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+  || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+  || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen(coalesce(html, '')) AS VARCHAR)
+  || chr(13) || chr(10) || chr(13) || chr(10)"""
+
+FIXITY = f"""
+WITH records AS (
+  SELECT page_id, substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 2) AS lot, {_HEAD} AS head,
+    coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS body
+  FROM pages
+)
+SELECT page_id, CAST(strlen(head || body) AS BIGINT) AS length, CASE lot WHEN '00' THEN 'changed' ELSE 'missing' END AS status,
+  sha256(head || body) AS hash_a, CASE lot WHEN '00' THEN sha256(head || '?' || substr(body, 2)) END AS hash_b
+FROM records WHERE lot IN ('00', '01')
+"""
+
+# The fitting as a recursion over the cells: one margin at a time, 120 steps, far beyond convergence.
+MIXING = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+    CASE WHEN regexp_matches(coalesce(text, ''), '(?i)licen[cs]e|copyright|all rights reserved') THEN 'license'
+         WHEN regexp_matches(coalesce(text, ''), '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_]|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}') THEN 'contact'
+         WHEN regexp_matches(coalesce(text, ''), '[A-Za-z0-9_] \| [A-Za-z0-9_]') THEN 'table'
+         WHEN regexp_matches(coalesce(text, ''), '[#*$%&]{3}') THEN 'marks' ELSE 'prose' END AS topic,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens
+  FROM documents
+),
+cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS DOUBLE) AS tokens FROM docs GROUP BY ALL),
+total AS (SELECT sum(tokens) AS t FROM cells),
+aims AS (
+  SELECT margin, value, p / sum(p) OVER (PARTITION BY margin) AS share FROM (
+    SELECT 0 AS margin, source AS value, pow(sum(tokens), 0.7) AS p FROM cells GROUP BY source
+    UNION ALL SELECT 1, lang, pow(sum(tokens), 0.7) FROM cells GROUP BY lang
+    UNION ALL SELECT 2, topic, pow(sum(tokens), 0.5) FROM cells GROUP BY topic)
+),
+steps AS (
+  SELECT 0 AS step, source, lang, topic, tokens, CAST(1 AS DOUBLE) AS weight FROM cells
+  UNION ALL
+  SELECT step + 1, source, lang, topic, tokens,
+    weight * share * (SELECT t FROM total) / sum(tokens * weight) OVER (PARTITION BY CASE step % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE topic END)
+  FROM steps JOIN aims ON margin = step % 3 AND value = CASE step % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE topic END
+  WHERE step < 120
+),
+raked AS (SELECT source, lang, topic, weight, weight / max(weight) OVER () AS probability FROM steps WHERE step = 120)
+SELECT doc_id, source, lang, topic, tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,
+  CAST('0x' || substr(md5('mix|' || CAST(doc_id AS VARCHAR)), 1, 12) AS UBIGINT) / 281474976710656.0 < probability AS sampled
+FROM docs JOIN raked USING (source, lang, topic)
+"""

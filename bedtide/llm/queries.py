@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from bedtide.llm import oracle
 from bedtide.llm.crf import identify
 from bedtide.llm.fertility import quality
+from bedtide.llm.fixity import audited_pages
 from bedtide.llm.licenses import license_digest, license_spans
+from bedtide.llm.raking import mix
 from bedtide.llm.simhash import simhash_groups
 from bedtide.llm.suffixes import remove_repeats
 from bedtide.llm.toxicity import score_documents
@@ -27,6 +30,15 @@ def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return remove_repeats(table(spark, sf, "documents"), with_text=False)
 
 
+def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mix(table(spark, sf, "documents"))
+    return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+
+
+def op4_fixity(spark: SparkSession, sf: str) -> DataFrame:
+    return audited_pages(table(spark, sf, "pages")).select("page_id", "length", "status", "hash_a", "hash_b")
+
+
 def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash_groups(table(spark, sf, "documents"))
 
@@ -47,5 +59,5 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
-QUERIES = {f.__name__: f for f in [op1_license_scan, op2_suffix_dedup, op5_simhash, op6_winnow, op7_fertility, op8_language, op10_toxicity]}
-SQL = {"op6_winnow": oracle.CONTAMINATION}
+QUERIES = {f.__name__: f for f in [op1_license_scan, op2_suffix_dedup, op3_mixing, op4_fixity, op5_simhash, op6_winnow, op7_fertility, op8_language, op10_toxicity]}
+SQL = {"op3_mixing": oracle.MIXING, "op4_fixity": oracle.FIXITY, "op6_winnow": oracle.CONTAMINATION}
