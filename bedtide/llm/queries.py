@@ -14,6 +14,7 @@ from bedtide.llm.raking import mix
 from bedtide.llm.simhash import simhash_groups
 from bedtide.llm.suffixes import remove_repeats
 from bedtide.llm.toxicity import score_documents
+from bedtide.llm.trie_tokens import token_counts
 from bedtide.llm.winnow import contamination
 from bedtide.session import utc
 
@@ -55,9 +56,13 @@ def op8_language(spark: SparkSession, sf: str) -> DataFrame:
     return identify(table(spark, sf, "documents"))
 
 
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts(table(spark, sf, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
-QUERIES = {f.__name__: f for f in [op1_license_scan, op2_suffix_dedup, op3_mixing, op4_fixity, op5_simhash, op6_winnow, op7_fertility, op8_language, op10_toxicity]}
+QUERIES = {f.__name__: f for f in [op1_license_scan, op2_suffix_dedup, op3_mixing, op4_fixity, op5_simhash, op6_winnow, op7_fertility, op8_language, op9_token_counts, op10_toxicity]}
 SQL = {"op3_mixing": oracle.MIXING, "op4_fixity": oracle.FIXITY, "op6_winnow": oracle.CONTAMINATION}
