@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bedtide.llm import text as X
-from bedtide.llm.frames import documents_of, pick
+from bedtide.llm.frames import pick
 
 BUCKETS = 1 << 18
 TRAIN_TEXTS = 250  # labelled texts of each language at most
@@ -194,16 +194,18 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.load(io.BytesIO(data), allow_pickle=False)
 
 
-def language(documents: DataFrame, model) -> DataFrame:
-    """(doc_id, lang_pred, score, n_words, n_switches) for each row of ``documents``; ``model`` is a broadcast of
-    what ``train`` returned.
+def language(documents: DataFrame, model, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, lang_pred, score, n_words, n_switches) and ``carry`` for each row of ``documents``; ``model`` is a
+    broadcast of what ``train`` returned.
 
     ``score`` is the mean posterior of the language, ``n_switches`` counts neighbouring words with different
     most likely languages. Null, empty and letterless texts are ``und`` with score 0, as are all texts if
     nothing was learned.
     """
-    rows = documents_of(documents)
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_words bigint, n_switches bigint"
+    rows = pick(documents, doc_id="doc_id", text="text", **{f"carry_{i}": c for i, c in enumerate(carry)})
+    others = [f for f in rows.schema.fields if f.name.startswith("carry_")]
+    schema = ", ".join([f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, n_words bigint, n_switches bigint",
+                        *(f"{f.name} {f.dataType.simpleString()}" for f in others)])
 
     def run(batches):
         field = model.value
@@ -227,11 +229,11 @@ def language(documents: DataFrame, model) -> DataFrame:
                             pred[i], score[i] = names[at], min(1.0, max(0.0, mean[i, at]))
                             switches[i] = changed[words.firsts[i + 1]] - changed[words.firsts[i] + 1]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(sizes.astype(np.int64)), pa.array(switches)],
-                    names=["doc_id", "lang_pred", "score", "n_words", "n_switches"],
+                    [part.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(sizes.astype(np.int64)), pa.array(switches), *part.columns[2:]],
+                    names=["doc_id", "lang_pred", "score", "n_words", "n_switches", *(f.name for f in others)],
                 )
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
 
 
 def held_out(doc_id, folds: int, fold: int):
@@ -239,12 +241,12 @@ def held_out(doc_id, folds: int, fold: int):
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold, F.lit(False))
 
 
-def identify(documents: DataFrame, per_label: int = TRAIN_TEXTS) -> DataFrame:
+def identify(documents: DataFrame, per_label: int = TRAIN_TEXTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """``language`` with a field learned from the texts and ``lang`` of the rows that are not held out."""
     rows = pick(documents, doc_id="doc_id", text="text", lang="lang")
     outside = held_out(F.col("doc_id"), 4, 2)
     model = train(rows.where(~outside).select("text", F.col("lang").alias("label")), per_label)
     context = documents.sparkSession.sparkContext
-    return language(rows, context.broadcast(model)).withColumn("held_out", outside).select(
-        "doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches"
+    return language(documents, context.broadcast(model), carry).withColumn("held_out", outside).select(
+        "doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches", *carry
     )

@@ -74,8 +74,8 @@ steps AS (
   FROM steps JOIN aims ON margin = step % 3 AND value = CASE step % 3 WHEN 0 THEN source WHEN 1 THEN lang ELSE topic END
   WHERE step < 120
 ),
-raked AS (SELECT source, lang, topic, weight, weight / max(weight) OVER () AS probability FROM steps WHERE step = 120)
-SELECT doc_id, source, lang, topic, tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,
+raked AS (SELECT source, lang, topic, weight, least(1.0, weight) AS probability FROM steps WHERE step = 120)
+SELECT doc_id, source, lang, topic, tokens, round(weight, 6) AS weight, round(probability, 6) AS probability, round(greatest(1.0, weight), 6) AS sample_weight,
   CAST('0x' || substr(md5('mix|' || CAST(doc_id AS VARCHAR)), 1, 12) AS UBIGINT) / 281474976710656.0 < probability AS sampled
 FROM docs JOIN raked USING (source, lang, topic)
 """

@@ -33,7 +33,7 @@ def op2_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mix(table(spark, sf, "documents"))
-    return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability")})
+    return mixed.withColumns({c: F.round(c, 6) for c in ("weight", "probability", "sample_weight")})
 
 
 def op4_fixity(spark: SparkSession, sf: str) -> DataFrame:

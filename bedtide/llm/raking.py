@@ -2,8 +2,9 @@
 
 Documents are summed to cells (source, language, topic). Each round scales the cells' weights so that weighted tokens
 meet the target shares of the sources, then of the languages, then of the topics; rounds end when all three
-hold. A document is then kept with a probability in proportion to its cell's weight, the largest weight
-being kept for certain, so the sample has the target shares in expectation.
+hold. A document is then kept with its cell's weight as probability, or for certain where the weight is over
+one; what the probability can't give stays as the sample's weight, so weighted samples have the target shares
+in expectation.
 
 Cells and factors are small tables that never leave Spark; documents are read for the cells and once more for
 the result, and joined to cells as rows, whichever source they come from.
@@ -69,25 +70,22 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     cells = materialise(cells.withColumn("weight", F.lit(1.0)))
     if not total:
         return cells
+    shares = {}
+    for margin in MARGINS:
+        aims = cells.groupBy(margin).agg(F.sum("tokens").alias("own")).where("own > 0").join(targets[margin].withColumnRenamed("value", margin), margin)
+        whole = aims.agg(F.sum("share")).first()[0] or 1.0
+        shares[margin] = materialise(aims.select(margin, (F.col("share") / F.lit(whole)).alias("share")))
     for _ in range(max_rounds):
-        moved = F.lit(0.0)
-        now = cells
+        now = cells.withColumn("moved", F.lit(0.0))
         for margin in MARGINS:
             sums = now.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass"), F.sum("tokens").alias("own"))
-            aimed = sums.join(targets[margin].withColumnRenamed("value", margin), margin, "left").withColumn(
-                "aim", F.when(F.col("own") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0))
-            whole = aimed.agg(F.sum("aim").alias("aims"))
-            factor = aimed.join(whole).select(
-                margin, F.when((F.col("own") > 0) & (F.col("mass") > 0) & (F.col("aims") > 0), F.col("aim") / F.col("aims") * total / F.col("mass"))
-                .when(F.col("own") > 0, 0.0).otherwise(1.0).alias("factor"))
-            now = now.join(factor, margin)
-            moved = F.greatest(moved, F.when(F.col("weight") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0))
-            now = now.withColumns({"weight": F.col("weight") * F.col("factor"), "moved": F.greatest(F.col("moved"), moved) if "moved" in now.columns else moved}).drop("factor")
-            moved = F.lit(0.0)
+            aim = sums.join(shares[margin], margin, "left")
+            factor = aim.select(margin, F.when(F.col("own") == 0, 1.0).when(F.col("mass") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("mass")).otherwise(0.0).alias("factor"))
+            change = F.when(F.col("weight") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0)
+            now = now.join(factor, margin).withColumns({"weight": F.col("weight") * F.col("factor"), "moved": F.greatest("moved", change)}).drop("factor")
         now = materialise(now)
-        settled = (now.agg(F.max("moved")).first()[0] or 0.0) <= tolerance
         cells = now.drop("moved")
-        if settled:
+        if (now.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
             break
     return cells
 
@@ -99,10 +97,10 @@ def unit_hash(*columns: Column) -> Column:
 
 
 def mix(documents: DataFrame, targets: dict[str, DataFrame] | None = None, topics: tuple = TOPICS, carry: tuple[str, ...] = (), seed: str = "mix") -> DataFrame:
-    """(doc_id, source, lang, topic, tokens, weight, probability, sampled) and ``carry`` for each row.
+    """(doc_id, source, lang, topic, tokens, weight, probability, sample_weight, sampled) and ``carry`` for each row.
 
-    ``weight`` is the calibrated weight of the document's tokens, ``probability`` that weight by the largest.
-    ``sampled`` is drawn by a hash of ``seed`` and doc_id, so that it is the same at every run and for repeated
+    ``weight`` is the calibrated weight of the document's tokens, ``probability`` that weight up to one and
+    ``sample_weight`` the weight divided by the probability. ``sampled`` is drawn by a hash of ``seed`` and doc_id, so that it is the same at every run and for repeated
     rows. Null texts have no tokens; they share the weight of their cell. Without tokens at all every
     weight is 1.
     """
@@ -110,7 +108,7 @@ def mix(documents: DataFrame, targets: dict[str, DataFrame] | None = None, topic
     cells = materialise(rows.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")))
     aims = targets or {m: materialise(tempered_targets(cells, m, TEMPER[m])) for m in MARGINS}
     raked = rake(cells, aims)
-    largest = raked.agg(F.max("weight")).first()[0] or 1.0
-    weights = materialise(raked.select(*MARGINS, "weight", (F.col("weight") / F.lit(largest)).alias("probability")))
+    weights = materialise(raked.select(
+        *MARGINS, "weight", F.least(F.lit(1.0), "weight").alias("probability"), F.greatest(F.lit(1.0), "weight").alias("sample_weight")))
     out = rows.join(weights, list(MARGINS)).withColumn("sampled", unit_hash(F.lit(seed), F.col("doc_id")) < F.col("probability"))
-    return out.select("doc_id", *MARGINS, "tokens", "weight", "probability", "sampled", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)))
+    return out.select("doc_id", *MARGINS, "tokens", "weight", "probability", "sample_weight", "sampled", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)))

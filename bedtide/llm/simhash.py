@@ -50,14 +50,14 @@ def text_fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) with the 64-bit fingerprint as a signed long, one row for each row of ``documents``."""
-    rows = documents_of(documents)
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint"
+    """(doc_id, text_key, fp) with the 64-bit fingerprint as a signed long, one row for each row of ``documents``."""
+    rows = documents_of(documents).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_key bigint, fp bigint"
 
     def run(batches):
         for batch in batches:
-            prints = np.array([text_fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            prints = np.array([text_fingerprint(t.as_py(), shingle) for t in batch.column(2)], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["doc_id", "text_key", "fp"])
 
     return rows.mapInArrow(run, schema)
 
@@ -80,18 +80,32 @@ def near_pairs(distinct: DataFrame) -> DataFrame:
     return owners.select("a", F.explode("all").alias("b")).where("a <> b").distinct()
 
 
+def _grouped(documents: DataFrame, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of the rows, and (fp, label) with one label for each component."""
+    prints = materialise(fingerprints(documents, shingle))
+    classes = prints.select("fp").distinct()
+    linked = components(near_pairs(classes)).withColumnRenamed("node", "fp")
+    return prints, classes.join(linked, "fp", "left").select("fp", F.coalesce("component", "fp").alias("label"))
+
+
 def simhash_groups(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of ``documents``.
 
     Null and empty texts have fingerprint zero and link like any other; repeated rows stay repeated; a row
     without doc_id is grouped by its text and names no component. An empty table gives no rows.
     """
-    prints = materialise(fingerprints(documents, shingle))
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    linked = components(near_pairs(classes.select("fp"))).withColumnRenamed("node", "fp")
-    grouped = classes.join(linked, "fp", "left").select("fp", "low", F.coalesce("component", "fp").alias("label"))
-    heads = grouped.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = grouped.join(heads, "label").select("fp", "component_id")
+    prints, labels = _grouped(documents, shingle)
+    low = prints.groupBy("fp").agg(F.min("doc_id").alias("low")).join(labels, "fp")
+    heads = low.groupBy("label").agg(F.min("low").alias("component_id"))
+    named = labels.join(heads, "label").select("fp", "component_id")
     return left_join(prints, named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def representatives(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_key) of one document of each group: the smallest doc_id, rows without one last."""
+    prints, labels = _grouped(documents, shingle)
+    first = lambda: F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_key")).alias("head")
+    heads = prints.groupBy("fp").agg(first()).join(labels, "fp").groupBy("label").agg(F.min("head").alias("head"))
+    return heads.select("head.doc_id", "head.text_key")

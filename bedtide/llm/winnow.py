@@ -195,12 +195,12 @@ def matched_runs(documents: DataFrame, seeds: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, f"doc_id {kind}, text_key bigint, item string, low bigint, high bigint").distinct()
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, with_key: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) for each row of ``documents``.
 
     Null and empty texts have no words and are clean; items without words match nothing; items without an id
     count as one item with an empty name. Repeated rows each get their result, and with an empty benchmark all
-    documents are clean.
+    documents are clean. ``with_key`` adds ``text_key``, the xxhash64 of the text.
     """
     seeds = materialise(item_seeds(benchmark))
     lengths = [r["m"] for r in seeds.select("m").distinct().collect()]  # at most 13 values
@@ -215,7 +215,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = left_join(hit, items, "doc_id", "text_key")
     n_hit, none = F.coalesce("n_hit", F.lit(0)).cast("bigint"), F.array().cast("array<string>")
     return left_join(counted.drop("seeds"), found, "doc_id", "text_key").withColumn("items", F.coalesce("items", none)).select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        "doc_id", *["text_key"] * with_key, "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         ((n_hit > 0) & (SHARE * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
