@@ -123,7 +123,7 @@ def token_figures(texts: list[str], n_chars: np.ndarray, folder: str) -> dict[st
     for i, ids in enumerate(pieces.encode(texts, num_threads=1)):
         if ids:
             fallback[i] = is_byte[ids].mean()
-    return {"n_tokens": sizes, "chars_per_token": n_chars / np.maximum(sizes, 1), "byte_fallback": fallback, "entropy": np.abs(entropy)}
+    return {"n_tokens": sizes, "chars_per_token": n_chars / np.maximum(sizes, 1), "byte_fallback": fallback, "entropy": np.abs(entropy).astype(float)}
 
 
 SCHEMA = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, "

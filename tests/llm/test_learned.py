@@ -1,0 +1,92 @@
+"""Held-out accuracy of the learned operators, and what their methods promise."""
+
+import numpy as np
+
+from bedtide.llm import crf, queries, raking, toxicity
+from pyspark.sql import functions as F
+
+
+def test_language_held_out(spark, small_dir):
+    truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{small_dir}/documents.parquet").collect()}
+    rows = [r for r in queries.op8_language(spark, small_dir).collect() if r.held_out]
+    assert len(rows) > 20 and sum(truth[r.doc_id] == r.lang_pred for r in rows) >= 0.97 * len(rows)
+
+
+def test_forward_backward_sums_over_all_paths():
+    dice = np.random.default_rng(1)
+    scores, moves, begin = dice.normal(size=(7, 3)), dice.normal(size=(3, 3)), dice.normal(size=3)
+    firsts = np.array([0, 4, 4, 7])
+    got, flow = crf.posteriors(scores, firsts, moves, begin)
+    want, steps = np.zeros((7, 3)), np.zeros((3, 3))
+    for a, b in zip(firsts[:-1], firsts[1:]):
+        paths = np.array(np.meshgrid(*[range(3)] * (b - a))).reshape(b - a, -1).T if b > a else np.zeros((0, 0), int)
+        mass = np.array([np.exp(begin[p[0]] + sum(scores[a + i, y] for i, y in enumerate(p)) + sum(moves[x, y] for x, y in zip(p, p[1:]))) for p in paths])
+        for p, m in zip(paths, mass / mass.sum() if len(mass) else mass):
+            for i, y in enumerate(p):
+                want[a + i, y] += m
+            for x, y in zip(p, p[1:]):
+                steps[x, y] += m
+    assert np.allclose(got, want) and np.allclose(flow, steps)
+
+
+def test_code_switches_are_found():
+    french, english = "le chat mange une souris dans la maison verte", "the cat eats one mouse inside that green house"
+    field = crf.fit([french] * 20 + [english] * 20, ["fr"] * 20 + ["en"] * 20)
+    words = crf.Words([f"{english} {french}"])
+    post, _ = crf.posteriors(words.scores(field["weights"])[words.types], words.firsts, field["moves"], field["begin"])
+    best = [field["names"][i] for i in post.argmax(axis=1)]
+    assert best == ["en"] * 9 + ["fr"] * 9
+
+
+def test_toxicity_learns(spark, small_dir):
+    sf = small_dir.replace("sf0.001", "sf0.01")
+    truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    rows = [r for r in queries.op10_toxicity(spark, sf).collect() if r.held_out and r.doc_id in truth]
+    right = [r.predicted == truth[r.doc_id] for r in rows]
+    assert len(rows) > 30 and sum(right) >= 0.93 * len(right)
+
+
+def test_neutral_mentions_are_not_flagged():
+    dice = np.random.default_rng(2)
+    words = [f"w{i}" for i in range(60)]
+    line = lambda *extra: " ".join([*dice.choice(words, 8), *extra])
+    # In the labelled sentences one group is mentioned almost only by insults: the plain classifier learns its name.
+    toxic = [line("muslim", "vermin") if i % 2 else line("muslim", "filth") for i in range(80)] + [line("vermin") for _ in range(40)] + [line("filth") for _ in range(40)]
+    clean = [line() for _ in range(150)] + [line("christian") for _ in range(10)]
+    texts, labels = toxic + clean, np.array([1] * len(toxic) + [0] * len(clean))
+
+    def change(swap_weight):
+        model = toxicity.fit(texts, labels, np.ones(len(texts)), swap_weight)
+        weights = np.zeros(toxicity.BUCKETS)
+        weights[model["at"]] = model["weights"]
+        score = lambda t: weights[toxicity.features([t])[1]].sum() + model["bias"]
+        return abs(score("a muslim neighbour") - score("a christian neighbour")), score("you vermin filth"), score("a muslim neighbour")
+
+    plain, regular = change(0.0), change(5.0)
+    assert regular[0] < 0.2 * plain[0] and regular[1] > 0 > regular[2]
+
+
+def test_swaps():
+    assert "Three men and a christian man" in [s for s in toxicity.swaps("Three women and a christian man")]
+    assert toxicity.swaps("nothing here") == []
+
+
+def test_marginals_are_met(spark, small_dir):
+    mixed = raking.mix(spark.read.parquet(f"{small_dir}/documents.parquet"))
+    total = mixed.agg(F.sum("tokens")).first()[0]
+    for margin in raking.MARGINS:
+        rows = mixed.groupBy(margin).agg(F.sum("tokens").alias("own"), F.sum(F.col("tokens") * F.col("weight")).alias("mass")).collect()
+        aims = {r[margin]: r.own ** raking.TEMPER[margin] for r in rows if r.own}
+        for r in rows:
+            assert abs(r.mass / total - aims.get(r[margin], 0) / sum(aims.values())) < 1e-7
+
+
+def test_given_targets(spark):
+    rows = [(i, "one two three", "en" if i % 3 else "fr", "a" if i % 2 else "b", 13) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string, n_chars int")
+    share = lambda **x: spark.createDataFrame(list(x.items()), "value string, share double")
+    mixed = raking.mix(frame, {"source": share(a=1.0, b=3.0), "lang": share(en=0.5, fr=0.5, xx=0.7), "topic": share(prose=2.0)})
+    got = {(r.source, r.lang): r.m for r in mixed.groupBy("source", "lang").agg(F.sum(F.col("weight") * F.col("tokens")).alias("m")).collect()}
+    assert abs(sum(v for (s, _), v in got.items() if s == "b") - 270) < 1e-4
+    assert abs(sum(v for (_, c), v in got.items() if c == "fr") - 180) < 1e-4
+    assert all(r.sampled for r in mixed.where("weight >= 1").collect()) and 0 < mixed.where("sampled").count() < 120
