@@ -1,8 +1,9 @@
 """State tables: thresholds, scenarios, alert history, settings.
 
 Each table is a log of rows; the newest row of a key is its state. Writing is appending, so a reader never
-sees a half-replaced table, and a batch that is written twice leaves the same state. Every function takes
-``now`` instead of reading a clock.
+sees a half-replaced table, and a batch that is written twice leaves the same state. Every write has the next
+sequence number of its log, which decides between equal times; a log has one writer at a time. Every function
+takes ``now`` instead of reading a clock.
 """
 
 from __future__ import annotations
@@ -116,9 +117,13 @@ def merge_alerts(existing: DataFrame, alerts: DataFrame) -> DataFrame:
     return apply_changes(existing, alert_changes(existing, alerts), ALERT_KEY)
 
 
-def alert_history(history: DataFrame, limit: int = C.ALERT_LIMIT_DEFAULT) -> DataFrame:
-    """The alerts with the latest forecast time first; a bounded top-k, not a sort of the table."""
-    return history.orderBy(F.desc("forecast_timestamp"), F.desc("id"), "facility_id").limit(check_limit(limit))
+def alert_history(history: DataFrame, limit: int = C.ALERT_LIMIT_DEFAULT, facility_id: str | None = None) -> DataFrame:
+    """The ``limit`` alerts of each facility, or of one, with the latest forecast time, as ``position`` 1, 2, ..."""
+    check_limit(limit)
+    if facility_id is not None:
+        history = history.where(F.col("facility_id") == facility_id)
+    order = Window.partitionBy("facility_id").orderBy(F.desc("forecast_timestamp"), F.desc("id"))
+    return history.withColumn("position", F.row_number().over(order)).where(F.col("position") <= limit).orderBy("facility_id", "position")
 
 
 # --- scenarios -----------------------------------------------------------------------------------------
@@ -130,6 +135,11 @@ def unknown_scenarios(existing: DataFrame, payloads: DataFrame) -> DataFrame:
     return payloads.where(F.col("id").isNotNull()).join(existing, SCENARIO_KEY, "left_anti")
 
 
+def repeated_scenarios(payloads: DataFrame) -> DataFrame:
+    """Keys that payloads name more than once: which of them should count is not defined."""
+    return payloads.where(F.col("id").isNotNull()).groupBy(*SCENARIO_KEY).count().where("count > 1").select(*SCENARIO_KEY)
+
+
 def scenario_changes(existing: DataFrame, payloads: DataFrame, by: str, now: str | Column, last_ids: DataFrame | None = None) -> DataFrame:
     """The scenario rows that payloads lead to.
 
@@ -204,7 +214,7 @@ def latest_metadata(history: DataFrame) -> DataFrame:
 
 
 # --- storage -------------------------------------------------------------------------------------------
-LOG_COLUMNS = "deleted boolean, logged_at timestamp"
+LOG_COLUMNS = "deleted boolean, logged_at timestamp, sequence bigint"
 
 
 def log_path(root: str, name: str) -> str:
@@ -221,12 +231,17 @@ def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 def read_state(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The newest row of every key that was not deleted."""
-    newest = latest(read_log(spark, root, name), KEYS[name], F.col("logged_at"))
-    return newest.where("NOT deleted").drop("deleted", "logged_at")
+    newest = latest(read_log(spark, root, name), KEYS[name], F.struct("logged_at", "sequence"))
+    return newest.where("NOT deleted").drop("deleted", "logged_at", "sequence")
+
+
+def next_sequence(spark: SparkSession, root: str, name: str) -> int:
+    return (read_log(spark, root, name).agg(F.max("sequence")).first()[0] or 0) + 1
 
 
 def append_log(rows: DataFrame, root: str, name: str, logged_at: str, deleted: bool = False) -> None:
-    stamped = rows.withColumns({"deleted": F.lit(deleted), "logged_at": at(logged_at)})
+    sequence = next_sequence(rows.sparkSession, root, name)
+    stamped = rows.withColumns({"deleted": F.lit(deleted), "logged_at": at(logged_at), "sequence": F.lit(sequence)})
     target = rows.sparkSession.createDataFrame([], f"{SCHEMAS[name]}, {LOG_COLUMNS}").schema
     stamped.select(*[F.col(f.name).cast(f.dataType) for f in target]).write.mode("append").parquet(log_path(root, name))
 

@@ -166,8 +166,9 @@ class OccupancyEngine:
     def record_alerts(self, alerts: DataFrame) -> None:
         self._append(state.alert_changes(self._state("alert_history"), state.alert_rows(alerts, clock())), "alert_history")
 
-    def alert_history(self, limit: int = C.ALERT_LIMIT_DEFAULT) -> DataFrame:
-        return state.alert_history(self._state("alert_history"), limit)
+    def alert_history(self, limit: int = C.ALERT_LIMIT_DEFAULT, facility_id: str | None = None) -> DataFrame:
+        """The latest alerts of each facility, or of one."""
+        return state.alert_history(self._state("alert_history"), limit, facility_id)
 
     def dashboard(self, horizon_hours: int = C.HORIZON_DEFAULT) -> dict[str, object]:
         """Everything one screen shows. The points are computed once and shared."""
@@ -222,6 +223,8 @@ class OccupancyEngine:
         broken = quality.scenario_violations(payloads).first()
         if broken is not None:
             raise ValueError(f"Invalid scenario field: {broken.violation}")
+        if not state.repeated_scenarios(payloads).isEmpty():
+            raise ValueError("A scenario is named more than once.")
         existing = self._state("scenarios")
         if not state.unknown_scenarios(existing, payloads).isEmpty():
             raise ValueError("Scenario could not be saved.")

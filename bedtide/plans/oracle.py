@@ -486,7 +486,12 @@ keyed AS (SELECT facility_id, department, timestamp AS forecast_timestamp, thres
 history AS (SELECT row_number() OVER (PARTITION BY facility_id ORDER BY first_seen, first_utilization DESC, department, forecast_timestamp, threshold) AS id,
   facility_id, department, label, forecast_timestamp, utilization, threshold, severity, message, created_at FROM keyed)"""
 add("alert_merge", MERGED + " SELECT * FROM history")
-add("alert_history", MERGED + " SELECT * FROM history ORDER BY forecast_timestamp DESC, id DESC, facility_id LIMIT 10")
+add("alert_history", MERGED + """ SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY facility_id ORDER BY forecast_timestamp DESC, id DESC) AS position FROM history) WHERE position <= 2""")
+add("alert_stream_merge", CUT_POINTS + breaches(real(OVERRIDE)) + f"""
+SELECT row_number() OVER (PARTITION BY facility_id ORDER BY least(1.0e0, utilization + 0.01e0) DESC, department, timestamp, threshold) AS id,
+  facility_id, department, label, timestamp AS forecast_timestamp, least(1.0e0, utilization + 0.03e0) AS utilization, threshold, severity, message,
+  '{NOW[3]}' AS created_at FROM alerts WHERE scenario_id = 0""")
 
 # --- scenarios, settings, metadata -----------------------------------------------------------------------------------------------------
 PAYLOAD = f"""'observed load ' || n AS description, {real(0.2)} + (n * 13 % 520) / 100.0e0 AS admissions_multiplier,

@@ -339,7 +339,26 @@ def alert_merge(spark, sf):
 
 
 def alert_history(spark, sf):
-    return _iso(state.alert_history(_history(spark, sf), 10), "created_at")
+    return _whole(_iso(state.alert_history(_history(spark, sf), 2), "created_at"), "position")
+
+
+def _updates(spark, sf):
+    """Three batches of history rows about the same alerts: each a little fuller than the one before."""
+    forecasted, _ = _points_as_of(spark, sf)
+    found = A.compute_alerts(forecasted, None, OVERRIDE)
+    for step in (1, 2, 3):
+        worse = found.withColumn("utilization", F.least(F.lit(1.0), F.col("utilization") + F.lit(0.01 * step)))
+        yield state.alert_rows(worse, NOW[step])
+
+
+def alert_stream_merge(spark, sf):
+    """A stream of three files, one a batch, merged into the history with one and the same stamp."""
+    folder, root, log = (scratch_path(spark, f"alert-{x}") for x in ("batches", "state", "log"))
+    for rows in _updates(spark, sf):
+        rows.coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(rows.schema).parquet(folder)
+        flow.alert_sink(stream, root, log, NOW[4]).awaitTermination()
+    return _iso(state.read_state(spark, root, "alert_history"), "created_at")
 
 
 def scenario_violations(spark, sf):
@@ -476,6 +495,7 @@ REGISTERED: dict[str, Query] = {
     "threshold_violations": threshold_violations,
     "alert_merge": alert_merge,
     "alert_history": alert_history,
+    "alert_stream_merge": alert_stream_merge,
     "scenario_violations": scenario_violations,
     "scenario_table": scenario_table,
     "scenario_runs": scenario_runs,

@@ -1,53 +1,56 @@
-"""Small inputs with known results. Department order: icu, ward, emergency, pediatric."""
+"""Small inputs. Expected numbers are worked out from them by ``counted``, hour by hour, and not stored."""
 
+import csv
+import random
+from collections import Counter
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from bedtide.sources.readers import canonical_encounters, canonical_readings
 
-# Ten encounters (admission, discharge, department, type).
-TEN = [
-    ("2026-01-12T08:15:00", "2026-01-13T09:30:00", "General Ward", "Scheduled"),
-    ("2026-01-12T08:40:00", "2026-01-12T18:00:00", "Emergency Department", "Emergency"),
-    ("2026-01-12T09:05:00", "2026-01-14T15:45:00", "ICU", "Emergency"),
-    ("2026-01-12T10:20:00", "2026-01-13T12:10:00", "Pediatric Ward", "Emergency"),
-    ("2026-01-12T11:35:00", "2026-01-15T14:00:00", "General Ward", "Scheduled"),
-    ("2026-01-12T12:05:00", "2026-01-12T20:20:00", "Emergency Department", "Emergency"),
-    ("2026-01-12T13:10:00", "2026-01-16T08:25:00", "ICU", "Transfer"),
-    ("2026-01-12T14:00:00", "2026-01-13T10:00:00", "Pediatric Ward", "Scheduled"),
-    ("2026-01-12T15:25:00", "2026-01-14T11:45:00", "General Ward", "Observation"),
-    ("2026-01-12T16:55:00", "2026-01-13T07:40:00", "Emergency Department", "Emergency"),
-]
+START = datetime(2025, 5, 1)
 COLUMNS = ["admission_time", "discharge_time", "department", "admission_type"]
+UNITS = {"Intensive Unit 2": "icu", "Surgery B": "ward", "Trauma bay": "emergency", "Children's clinic": "pediatric", "Internal medicine": "ward"}
+ORDER = ["icu", "ward", "emergency", "pediatric"]
+
+
+def visit_rows(n=230, seed=19):
+    """Visits at random minutes, 20 minutes to 3.5 hours apart, for 30 minutes to 3 days; the first one at START."""
+    dice, now = random.Random(seed), START
+    for _ in range(n):
+        unit = dice.choice(list(UNITS))
+        kind = dice.choice(["Routine", "Routine", "Urgent", "Walk in"])
+        yield now, now + timedelta(minutes=dice.randint(30, 4320)), unit, kind
+        now += timedelta(minutes=dice.randint(20, 210))
 
 
-def ten_encounters(spark):
-    return canonical_encounters(spark.createDataFrame(TEN, COLUMNS))
+def counted(rows):
+    """(hour, admissions, discharges, emergencies, occupied by department) for every hour, by plain counting."""
+    rows = [(a.replace(minute=0, second=0), b, UNITS[u], k) for a, b, u, k in rows]
+    last = lambda b: b if b == b.replace(minute=0, second=0) else b.replace(minute=0, second=0) + timedelta(hours=1)
+    rows = [(a, max(last(b), a + timedelta(hours=1)), d, k) for a, b, d, k in rows]
+    hour, end = min(r[0] for r in rows), max(r[1] for r in rows)
+    while hour <= end:
+        inside = Counter(d for a, b, d, _ in rows if a <= hour < b)
+        yield (hour, sum(a == hour for a, *_ in rows), sum(b == hour for _, b, *_ in rows),
+               sum(a == hour and (d == "emergency" or k == "Urgent") for a, _, d, k in rows), [inside[d] for d in ORDER])
+        hour += timedelta(hours=1)
 
 
-def formula_rows():
-    """220 encounters two hours apart, stays of 18 to 47 hours, departments in turn."""
-    cycle = ["ICU", "General Ward", "Emergency Department", "Pediatric Ward", "General Ward", "ICU"]
-    start = datetime(2026, 1, 1)
-    for i in range(220):
-        admitted = start + timedelta(hours=2 * i)
-        name = cycle[i % 6]
-        kind = "Emergency" if name == "Emergency Department" or i % 5 == 0 else "Scheduled"
-        yield admitted.isoformat(), (admitted + timedelta(hours=18 + i % 30)).isoformat(), name, kind
+HOURS = sum(1 for _ in counted(visit_rows()))
 
 
-def formula_encounters(spark, facility=None):
-    rows = spark.createDataFrame(list(formula_rows()), COLUMNS)
-    if facility is not None:
-        from pyspark.sql import functions as F
-        rows = rows.withColumn("facility_id", F.lit(facility))
-    return canonical_encounters(rows)
+def visits(spark, facility=None, n=230):
+    rows = spark.createDataFrame([(a.isoformat(), b.isoformat(), u, k) for a, b, u, k in visit_rows(n)], COLUMNS)
+    return canonical_encounters(rows if facility is None else rows.withColumn("facility_id", F.lit(facility)))
 
 
-def formula_csv(path):
-    lines = [",".join(["patient_id", *COLUMNS])]
-    lines += [",".join([f"P{i}", *row]) for i, row in enumerate(formula_rows())]
-    with open(path, "w") as out:
-        out.write("\n".join(lines))
+def visits_csv(path, n=230):
+    with open(path, "w", newline="") as out:
+        lines = csv.writer(out)
+        lines.writerow(["visit_id", *COLUMNS])
+        lines.writerows([i, a.isoformat(), b.isoformat(), u, k] for i, (a, b, u, k) in enumerate(visit_rows(n)))
     return str(path)
 
 

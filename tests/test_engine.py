@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from bedtide import config as C
 from bedtide.plans.engine import OccupancyEngine
 from bedtide.plans.queries import REGISTERED
-from fixtures import formula_csv
+from fixtures import HOURS, counted, visit_rows, visits_csv
 from test_state import PAYLOAD, payload
 
 
@@ -13,70 +14,67 @@ def engine(spark, tmp_path_factory):
     built = OccupancyEngine(spark, str(folder / "root"), learner={"maxIter": 2, "maxDepth": 3})
     with pytest.raises(ValueError, match="No dataset"):
         built.forecast()
-    status = built.ingest(formula_csv(folder / "f.csv"), "Hospital HIS Export").first()
-    assert (status.source_name, status.source_type, status.rows) == ("Hospital HIS Export", "event_level_his", 466)
-    assert set(status.model_metrics) == {"icu", "ward", "emergency", "pediatric"}
+    status = built.ingest(visits_csv(folder / "visits.csv"), "spring visits").first()
+    assert status.source_name == "spring visits" and status.source_type == "event_level_his" and status.rows == HOURS
+    assert all(status.model_metrics[d].rmse >= C.RMSE_FLOOR for d in C.DEPARTMENTS)
     return built
 
 
 def test_dashboard(engine):
-    screen = engine.dashboard(24)
-    assert {"overview", "forecasts", "alerts", "trends", "thresholds", "dataset"} <= set(screen)
-    assert screen["forecasts"].count() == 4 * 24
-    assert screen["overview"]["departments"].count() == 4
-    assert screen["trends"]["daily_flow"].count() == 20
-    assert screen["thresholds"].count() == 4
+    screen = engine.dashboard(30)
+    assert screen["forecasts"].groupBy("department").count().where("count <> 30").isEmpty()
+    assert sorted(r.department for r in screen["overview"]["departments"].collect()) == sorted(C.DEPARTMENTS)
+    assert screen["trends"]["daily_flow"].count() == len({w[0].date() for w in counted(visit_rows())})
+    assert screen["thresholds"].count() == screen["summaries"].count() == len(C.DEPARTMENTS)
+    assert screen["dataset"].first().rows == HOURS and "alerts" in screen
 
 
 def test_thresholds(engine):
-    values = {"icu": 0.88, "ward": 0.91, "emergency": 0.9, "pediatric": 0.87}
+    values = {"pediatric": 0.55, "icu": 0.66, "emergency": 0.77, "ward": 0.99}
     assert {r.department: r.utilization_threshold for r in engine.update_thresholds(values).collect()} == values
-    for wrong in ({"icu": 0.49}, {"icu": 0.6, "ward": 1.01}, {"burns": 0.9}):
+    for wrong in ({"ward": 0.3}, {"icu": 0.7, "ward": 1.2}, {"attic": 0.8}):
         with pytest.raises(ValueError):
             engine.update_thresholds(wrong)
     assert {r.department: r.utilization_threshold for r in engine.thresholds().collect()} == values
     bulk = engine.spark.createDataFrame(
-        [(1, "f0", "icu", 0.6, "x", "2026-01-01"), (1, "f0", "burns", 0.6, "x", "2026-01-01"), (2, "f0", "ward", 0.7, "x", "2026-01-01"), (3, "f0", "ward", 0.8, "x", "2026-01-02")],
+        [(7, "f0", "icu", 0.51, "eve", "2025-06-01"), (7, "f0", "attic", 0.51, "eve", "2025-06-01"),
+         (8, "f0", "emergency", 0.62, "eve", "2025-06-02"), (9, "f0", "emergency", 0.73, "eve", "2025-06-03")],
         "request_id int, facility_id string, department string, utilization_threshold double, updated_by string, updated_at string")
     assert engine.apply_threshold_updates(bulk).count() == 1
-    assert {r.department: r.utilization_threshold for r in engine.thresholds().collect()} == values | {"ward": 0.8}
+    assert {r.department: r.utilization_threshold for r in engine.thresholds().collect()} == values | {"emergency": 0.73}
 
 
 def test_scenarios(engine, spark):
     make = lambda *rows: spark.createDataFrame(list(rows), PAYLOAD)
-    surge = payload("f0", name="Influenza surge", admissions_multiplier=1.15, discharges_multiplier=0.95,
-                    emergency_multiplier=1.25, outbreak_delta=0.2, occupancy_delta=4.0, duration_hours=72)
-    flood = payload("f0", name="Mass casualty", occupancy_delta=100.0, duration_hours=12)
-    engine.save_scenarios(make(surge))
-    ids = {r.name: r.id for r in engine.save_scenarios(make(flood)).collect()}
-    assert ids == {"Influenza surge": 1, "Mass casualty": 2}
-    with pytest.raises(ValueError):
-        engine.save_scenarios(make(payload("f0", name="x")))
-    with pytest.raises(ValueError, match="could not be saved"):
-        engine.save_scenarios(make(payload("f0", 77, "unknown")))
-    key = spark.createDataFrame([("f0", 1)], "facility_id string, id bigint")
-    both = spark.createDataFrame([("f0", 1), ("f0", 2)], "facility_id string, id bigint")
-    run = engine.simulate(key, 48)
-    assert run["forecasts"].groupBy("department").count().collect().__len__() == 4
-    assert run["summary"].count() == 4
+    keys = lambda *ids: spark.createDataFrame([("f0", i) for i in ids], "facility_id string, id bigint")
+    festival = payload("f0", name="City festival", admissions_multiplier=1.4, emergency_multiplier=2.0, occupancy_delta=3.0, duration_hours=40)
+    crash = payload("f0", name="Train crash", occupancy_delta=90.0, duration_hours=8)
+    assert [r.id for r in engine.save_scenarios(make(festival)).collect()] == [1]
+    assert {r.name: r.id for r in engine.save_scenarios(make(crash)).collect()} == {"City festival": 1, "Train crash": 2}
+    for wrong, why in ((payload("f0", name="?"), "Invalid scenario"), (payload("f0", 41, "nobody"), "could not be saved")):
+        with pytest.raises(ValueError, match=why):
+            engine.save_scenarios(make(wrong))
+    with pytest.raises(ValueError, match="more than once"):
+        engine.save_scenarios(make(payload("f0", 1, "one way"), payload("f0", 1, "or another")))
+    one = engine.simulate(keys(1), 36)
+    assert one["forecasts"].count() == 36 * len(C.DEPARTMENTS) and one["summary"].count() == len(C.DEPARTMENTS)
     before = engine.alert_history().count()
-    run = engine.simulate(both)
-    assert {r.scenario_id: r.n for r in run["forecasts"].groupBy("scenario_id").agg(F.count("*").alias("n")).collect()} == {1: 4 * 72, 2: 4 * 12}
-    assert run["alerts"].where("scenario_id = 2").count() >= 3
+    both = engine.simulate(keys(1, 2))
+    lengths = both["forecasts"].groupBy("scenario_id").agg((F.count("*") / len(C.DEPARTMENTS)).alias("n")).collect()
+    assert {r.scenario_id: r.n for r in lengths} == {1: 40, 2: 8}
+    assert both["alerts"].where("scenario_id = 2").count() >= 2
     assert engine.alert_history().count() == before
-    saved = engine.scenario("f0", 2).first()
-    assert len(saved.last_run_summary.summary) == 4 and saved.last_run_at is not None
-    engine.delete_scenarios(spark.createDataFrame([("f0", 2)], "facility_id string, id bigint"))
-    assert [r.id for r in engine.scenarios().collect()] == [1]
-    again = engine.save_scenarios(make(flood))
-    assert {r.id for r in again.collect()} == {1, 3}
+    stored = engine.scenario("f0", 2).first()
+    assert stored.last_run_at is not None and {s.department for s in stored.last_run_summary.summary} == set(C.DEPARTMENTS)
+    engine.delete_scenarios(keys(2))
+    assert {r.id for r in engine.save_scenarios(make(crash)).collect()} == {1, 3}
     with pytest.raises(ValueError, match="not found"):
-        engine.simulate(spark.createDataFrame([("f0", 99)], "facility_id string, id bigint"))
+        engine.simulate(keys(55))
 
 
 def test_alerts_are_merged(engine):
-    early = engine.forecast(6, "icu", as_of="2026-01-15 00:00:00").orderBy("step").collect()
-    assert early[0].timestamp == "2026-01-15T01:00:00" and len(early) == 6
+    early = engine.forecast(6, "icu", as_of="2025-05-15 00:00:00").orderBy("step").collect()
+    assert early[0].timestamp == "2025-05-15T01:00:00" and len(early) == 6
     first = engine.alerts(24, 0.5)
     history = engine.alert_history(200).count()
     engine.alerts(24, 0.5)
@@ -94,7 +92,7 @@ def test_short_dataset_is_refused_and_the_old_one_stays(engine, spark, tmp_path)
     path.write_text("admission_time,department\n2026-01-01T00:00:00,ICU\n2026-01-01T05:00:00,ICU\n")
     with pytest.raises(ValueError, match="at least 120"):
         engine.ingest(str(path), "too short")
-    assert engine.dataset_status().first().rows == 466
+    assert engine.dataset_status().first().rows == HOURS
 
 
 def test_readings_with_profile_method(spark, tmp_path):

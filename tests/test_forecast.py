@@ -9,14 +9,14 @@ from bedtide import config as C
 from bedtide.operators import alerts, features, forecast, hourly, profile, scenarios
 from bedtide.operators.scenarios import Scenario
 from bedtide.session import materialise
-from fixtures import formula_encounters
+from fixtures import HOURS, visits
 
-SURGE = Scenario("Influenza surge", "More emergencies", 1.15, 0.95, 1.25, 0.2, 4.0, 72)
+HEAT = Scenario("Heat wave", "Hot days", 1.3, 0.9, 1.4, 0.15, 6.0, 60)
 
 
 @pytest.fixture(scope="module")
 def fact(spark):
-    return materialise(hourly.hourly_from_encounters(formula_encounters(spark, "a").unionByName(formula_encounters(spark, "b"))))
+    return materialise(hourly.hourly_from_encounters(visits(spark, "a").unionByName(visits(spark, "b"))))
 
 
 @pytest.fixture(scope="module")
@@ -45,17 +45,17 @@ def test_training_frame_against_pandas(fact, series):
 
 
 def test_unknown_value_drops_the_row_for_every_department(fact):
-    holed = fact.withColumn("icu_occupied", F.when(F.col("ts") != F.lit("2026-01-10 00:00:00").cast("timestamp"), F.col("icu_occupied")))
+    holed = fact.withColumn("icu_occupied", F.when(F.col("ts") != F.lit("2025-05-10 00:00:00").cast("timestamp"), F.col("icu_occupied")))
     counts = {r[0]: r[1] for r in features.training_frame(holed.where("facility_id = 'a'")).groupBy("department").count().collect()}
-    assert counts["ward"] == 466 - 72 - 1
+    assert counts["ward"] == HOURS - 72 - 1
     # The hole is also inside the 72-hour window of the 72 rows after it.
-    assert counts["icu"] == 466 - 72 - 1 - 72
+    assert counts["icu"] == HOURS - 72 - 1 - 72
 
 
 def test_time_split(fact):
     split = features.time_split(features.training_frame(fact)).where("facility_id = 'b' AND department = 'icu'").orderBy("ts").toPandas()
-    assert split.is_train.tolist() == [i < int(394 * 0.85) for i in range(394)]
-    one = features.time_split(features.training_frame(fact).where("ts = '2026-01-19 00:00:00'"))
+    assert split.is_train.tolist() == [i < int((HOURS - 72) * 0.85) for i in range(HOURS - 72)]
+    one = features.time_split(features.training_frame(fact).where("ts = '2025-05-15 00:00:00'"))
     assert one.where("NOT is_train").isEmpty()
 
 
@@ -64,13 +64,13 @@ def test_profile_and_fallback(fact, series):
     want = series.groupby([series.ts.dt.dayofweek, series.ts.dt.hour])[C.EXOGENOUS].mean()
     for c in C.EXOGENOUS:
         assert got[c].sort_index().to_numpy() == pytest.approx(want[c].sort_index().to_numpy(), abs=1e-12)
-    short = fact.where("facility_id = 'a' AND ts < '2026-01-03 05:00:00'")
+    short = fact.where("facility_id = 'a' AND ts < '2025-05-03 05:00:00'")
     dense = profile.dense_profile(short).toPandas().set_index(["dow", "hour"])
     assert len(dense) == 168 and dense.profile_fallback.sum() == 168 - 53
-    part = series[series.ts < "2026-01-03 05:00:00"]
+    part = series[series.ts < "2025-05-03 05:00:00"]
     assert dense.loc[(0, 7), "admissions"] == part[part.ts.dt.hour == 7].admissions.mean()
-    tiny = profile.dense_profile(fact.where("facility_id = 'a' AND ts < '2026-01-01 03:00:00'")).toPandas().set_index(["dow", "hour"])
-    assert tiny.loc[(0, 7), "admissions"] == pytest.approx(part[part.ts < "2026-01-01 03:00:00"].admissions.mean())
+    tiny = profile.dense_profile(fact.where("facility_id = 'a' AND ts < '2025-05-01 03:00:00'")).toPandas().set_index(["dow", "hour"])
+    assert tiny.loc[(0, 7), "admissions"] == pytest.approx(part[part.ts < "2025-05-01 03:00:00"].admissions.mean())
 
 
 def brute_future(series, horizon, scenario=None):
@@ -93,7 +93,7 @@ def brute_future(series, horizon, scenario=None):
     return pd.DataFrame(rows)
 
 
-@pytest.mark.parametrize("scenario", [None, SURGE])
+@pytest.mark.parametrize("scenario", [None, HEAT])
 def test_future_frame_step_by_step(fact, series, scenario):
     facilities = scenarios.facilities_of(fact)
     chosen = scenarios.baseline(facilities) if scenario is None else scenarios.scenarios_for(facilities, [scenario])
@@ -105,19 +105,19 @@ def test_future_frame_step_by_step(fact, series, scenario):
 
 
 def test_scenario_ends_with_its_duration(fact):
-    chosen = scenarios.scenarios_for(scenarios.facilities_of(fact), [SURGE])
+    chosen = scenarios.scenarios_for(scenarios.facilities_of(fact), [HEAT])
     points = forecast.profile_forecast(fact, chosen, 96).where("facility_id = 'a' AND department = 'ward'").orderBy("step").toPandas()
     plain = forecast.profile_forecast(fact, scenarios.baseline(scenarios.facilities_of(fact)), 96).where("facility_id = 'a' AND department = 'ward'").orderBy("step").toPandas()
     difference = points.occupied - plain.occupied
-    assert difference[:72].to_numpy() == pytest.approx(np.full(72, 4.0), abs=0.11)
-    assert (difference[72:] == 0).all()
+    assert difference[:60].to_numpy() == pytest.approx(np.full(60, 6.0), abs=0.11)
+    assert (difference[60:] == 0).all()
     own = forecast.profile_forecast(fact, chosen, None)
-    assert own.groupBy("facility_id", "department").count().select("count").distinct().collect() == [(72,)]
+    assert own.groupBy("facility_id", "department").count().select("count").distinct().collect() == [(60,)]
 
 
 def test_band_and_summary(fact):
     everyone = scenarios.facilities_of(fact)
-    wild = [Scenario("up", occupancy_delta=100.0), Scenario("down", occupancy_delta=-100.0), SURGE]
+    wild = [Scenario("up", occupancy_delta=100.0), Scenario("down", occupancy_delta=-100.0), HEAT]
     points = forecast.profile_forecast(fact, scenarios.scenarios_for(everyone, wild), 48).toPandas()
     assert len(points) == 2 * 4 * 3 * 48
     assert (points.lower <= points.occupied).all() and (points.occupied <= points.upper).all()

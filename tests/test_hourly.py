@@ -1,4 +1,6 @@
 import random
+import statistics
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -9,74 +11,59 @@ from bedtide import config as C
 from bedtide.operators import capacity, hourly, kpis, quality, signal, stays, trends
 from bedtide.sources import adapters
 from bedtide.sources.readers import canonical_encounters
-from fixtures import formula_encounters, readings, ten_encounters
+from fixtures import HOURS, counted, readings, visit_rows, visits
 
 
 def frame(df):
     return df.orderBy("facility_id", "ts").toPandas()
 
 
-def test_ten_encounters(spark):
-    encounters = ten_encounters(spark)
-    assert stays.default_stays(encounters).first().default_stay_hours == pytest.approx(25.541666666666664, abs=1e-9)
-    clean = stays.clean_encounters(encounters)
-    assert {r[0]: r[1] for r in clean.groupBy("mapped_department").count().collect()} == {
-        "icu": 1, "ward": 3, "emergency": 4, "pediatric": 2}
-    fact = hourly.hourly_from_encounters(encounters)
-    f = frame(fact)
-    assert (len(f), f.ts.min(), f.ts.max()) == (98, pd.Timestamp("2026-01-12 08:00"), pd.Timestamp("2026-01-16 09:00"))
-    assert f[hourly.FLOWS].sum().tolist() == [10, 10, 10]
-    assert f[C.OCCUPANCY_COLUMNS].max().tolist() == [1, 3, 4, 2]
-    assert f[C.OCCUPANCY_COLUMNS].sum().tolist() == [92, 146, 90, 47]
-    assert f[C.OCCUPANCY_COLUMNS].iloc[-1].tolist() == [0, 0, 0, 0]
-    assert (f.outbreak_signal == 0).all()
-    by_hour = {r.ts.hour: [r.admissions, r.discharges, *[r[c] for c in C.OCCUPANCY_COLUMNS]] for _, r in f.head(14).iterrows()}
-    assert by_hour[8] == [2, 0, 0, 1, 1, 0]
-    assert by_hour[9] == [1, 0, 0, 1, 2, 0]
-    assert by_hour[12] == [1, 0, 0, 2, 3, 1]
-    assert by_hour[16] == [1, 0, 1, 3, 4, 2]
-    assert by_hour[18] == [0, 1, 1, 3, 3, 2]
-    assert by_hour[21] == [0, 1, 1, 3, 2, 2]
-    assert [r.capacity for r in capacity.capacities(fact).orderBy(F.expr("array_position(array('icu','ward','emergency','pediatric'), department)")).collect()] == [50, 260, 75, 45]
-    analytics = kpis.overview_analytics(fact).first()
-    assert (analytics.peak_admission_hour, analytics.busiest_day, analytics.average_length_of_stay_hours) == ("08:00", "Monday", 35.8)
+def test_few_visits(spark):
+    fact = hourly.hourly_from_encounters(visits(spark, n=9))
+    f, want = frame(fact), list(counted(visit_rows(9)))
+    assert [t.to_pydatetime() for t in f.ts] == [w[0] for w in want]
+    assert f[hourly.FLOWS].to_numpy().tolist() == [list(w[1:4]) for w in want]
+    assert f[C.OCCUPANCY_COLUMNS].to_numpy().tolist() == [w[4] for w in want]
+    assert f.total_occupied.tolist() == [sum(w[4]) for w in want]
     with pytest.raises(ValueError):
         quality.require_min_rows(fact)
-    assert quality.short_series(fact).first().rows == 98
+    assert quality.short_series(fact).first().rows == len(want)
 
 
-def test_formula_encounters(spark):
-    fact = hourly.hourly_from_encounters(formula_encounters(spark)).cache()
+def test_many_visits(spark):
+    rows, want = list(visit_rows()), list(counted(visit_rows()))
+    fact = hourly.hourly_from_encounters(visits(spark)).cache()
     f = frame(fact)
-    assert stays.default_stays(formula_encounters(spark)).first().default_stay_hours == 32.0
-    assert (len(f), f.ts.max()) == (466, pd.Timestamp("2026-01-20 09:00"))
-    assert f[hourly.FLOWS].sum().tolist() == [220, 220, 220]
-    assert f[C.OCCUPANCY_COLUMNS].max().tolist() == [6, 6, 7, 4]
-    assert f[C.OCCUPANCY_COLUMNS].sum().tolist() == [2012, 1844, 1991, 1203]
-    assert f.outbreak_signal.max() == pytest.approx(0.9970193674385766, abs=1e-12)
-    assert f.outbreak_signal.mean() == pytest.approx(0.4633715252295592, abs=1e-12)
-    assert f.outbreak_signal.iloc[-1] == 0
+    median = statistics.median((b - a).total_seconds() / 3600 for a, b, *_ in rows)
+    assert stays.default_stays(visits(spark)).first().default_stay_hours == pytest.approx(median, abs=1e-9)
+    assert len(f) == HOURS and f[hourly.FLOWS].to_numpy().tolist() == [list(w[1:4]) for w in want]
+    assert f[C.OCCUPANCY_COLUMNS].to_numpy().tolist() == [w[4] for w in want]
+    assert f.outbreak_signal.between(0, 1).all() and f.outbreak_signal.max() > 0.5
     analytics = kpis.overview_analytics(fact).first()
-    assert (analytics.peak_admission_hour, analytics.busiest_day, analytics.average_length_of_stay_hours) == ("00:00", "Friday", 95.0)
+    by_hour = Counter({h: 0 for h in range(24)}) + Counter()
+    for hour, admitted, *_ in want:
+        by_hour[hour.hour] += admitted
+    per_hour = {h: n / sum(w[0].hour == h for w in want) for h, n in by_hour.items()}
+    assert per_hour[int(analytics.peak_admission_hour[:2])] == pytest.approx(max(per_hour.values()))
     departments = {r.department: r for r in kpis.overview_departments(fact).collect()}
-    assert [departments[d].delta_24h for d in C.DEPARTMENTS] == [-4, -4, -5, -3]
-    assert [departments[d].occupied for d in C.DEPARTMENTS] == [0, 0, 0, 0]
-    assert kpis.overview_hospital(fact).first().total_capacity == 430
+    assert [departments[d].occupied for d in C.DEPARTMENTS] == want[-1][4]
+    assert [departments[d].delta_24h for d in C.DEPARTMENTS] == [x - y for x, y in zip(want[-1][4], want[-25][4])]
+    assert kpis.overview_hospital(fact).first().total_capacity == sum(r.capacity for r in capacity.capacities(fact).collect())
     assert trends.occupancy_history(fact).count() == 168
     assert trends.downsample(trends.occupancy_history(fact)).count() == 56
     assert trends.occupancy_history(fact, 5).count() == 24
-    assert trends.daily_flow(fact).count() == 20
+    assert trends.daily_flow(fact).count() == min(21, len({w[0].date() for w in want}))
     meta = capacity.dataset_metadata(fact, "x", "event_level_his").first()
-    assert (meta.rows, meta.coverage_start, meta.coverage_end) == (466, "2026-01-01T00:00:00", "2026-01-20T09:00:00")
+    assert (meta.rows, meta.coverage_start, meta.coverage_end) == (HOURS, want[0][0].isoformat(), want[-1][0].isoformat())
     quality.require_min_rows(fact)
 
 
 def test_as_of_gives_a_populated_latest_row(spark):
-    fact = hourly.hourly_from_encounters(formula_encounters(spark))
+    fact = hourly.hourly_from_encounters(visits(spark))
     cut = hourly.up_to_last_admission(fact)
     latest = {r.department: r.occupied for r in kpis.overview_departments(cut).collect()}
     assert sum(latest.values()) > 0
-    assert hourly.up_to(fact, "2026-01-02 00:00:00").count() == 25
+    assert hourly.up_to(fact, "2025-05-02 00:00:00").count() == 25
 
 
 @pytest.mark.parametrize("unit", ["microseconds", "seconds", "minutes", "hours"])
@@ -137,7 +124,7 @@ def test_flow_invariants_and_partition_independence(spark, small_dir):
 
 
 def test_wide_and_long_agree(spark):
-    fact = hourly.hourly_occupancy(stays.clean_encounters(ten_encounters(spark)))
+    fact = hourly.hourly_occupancy(stays.clean_encounters(visits(spark, n=9)))
     wide = hourly.by_column(hourly.by_department(fact))
     assert wide.exceptAll(fact.select(wide.columns)).isEmpty()
 
@@ -191,11 +178,25 @@ def test_signal_against_pandas(spark, n, constant):
 
 
 def test_hot_facility_does_not_change_results(spark):
-    hot = formula_encounters(spark, "hot")
+    hot = visits(spark, "hot")
     for _ in range(3):
         hot = hot.unionByName(hot)
-    both = hot.unionByName(formula_encounters(spark, "cold"))
+    both = hot.unionByName(visits(spark, "cold"))
     f = frame(hourly.hourly_from_encounters(both))
     cold, warm = f[f.facility_id == "cold"], f[f.facility_id == "hot"]
     assert (warm.icu_occupied.to_numpy() == 8 * cold.icu_occupied.to_numpy()).all()
-    assert len(cold) == len(warm) == 466
+    assert len(cold) == len(warm) == HOURS
+
+
+def test_a_shared_folder_must_be_named_off_local_masters():
+    from bedtide.session import shared_folder
+
+    class Nothing:
+        master, get = "spark://head:7077", staticmethod(lambda *a: None)
+        getConf = lambda self: self
+
+    class Session:
+        conf, sparkContext = Nothing(), Nothing()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Session())

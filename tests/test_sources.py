@@ -9,7 +9,7 @@ from bedtide import config as C
 from bedtide.functions import scalar as S
 from bedtide.operators import hourly
 from bedtide.sources import columns, readers, sinks
-from fixtures import formula_csv, formula_encounters, ten_encounters
+from fixtures import counted, visit_rows, visits, visits_csv
 
 
 def test_clean_name():
@@ -109,8 +109,8 @@ def test_ceil_to_five(spark):
 
 
 def test_csv_json_parquet_orc_give_the_same_encounters(spark, tmp_path):
-    from_csv = readers.read_encounters(spark, formula_csv(tmp_path / "f.csv"))
-    expected = sorted(map(str, formula_encounters(spark).drop("patient_id").collect()))
+    from_csv = readers.read_encounters(spark, visits_csv(tmp_path / "f.csv"))
+    expected = sorted(map(str, visits(spark).drop("patient_id").collect()))
     assert sorted(map(str, from_csv.drop("patient_id").collect())) == expected
     raw = readers.read_raw(spark, str(tmp_path / "f.csv"))
     for fmt in ("json", "parquet", "orc"):
@@ -118,21 +118,21 @@ def test_csv_json_parquet_orc_give_the_same_encounters(spark, tmp_path):
         got = readers.read_encounters(spark, str(tmp_path / fmt), fmt).drop("patient_id")
         assert sorted(map(str, got.collect())) == expected
     kind, rows = readers.read_dataset(spark, str(tmp_path / "f.csv"))
-    assert kind == "event" and rows.count() == 220
+    assert kind == "event" and rows.count() == 230
     with pytest.raises(ValueError):
         readers.read_raw(spark, "x", "xml")
 
 
 def test_hourly_sink_and_loader(spark, tmp_path):
-    fact = hourly.hourly_from_encounters(ten_encounters(spark).withColumn("facility_id", F.lit("007")))
+    fact = hourly.hourly_from_encounters(visits(spark, n=9).withColumn("facility_id", F.lit("007")))
     order = ["facility_id", "ts", *hourly.FLOWS, "outbreak_signal", *C.OCCUPANCY_COLUMNS, "total_occupied"]
     expected = sorted(map(str, fact.select(order).collect()))
     sinks.write_hourly(fact, str(tmp_path / "p"))
     assert sorted(map(str, readers.load_hourly(spark, str(tmp_path / "p")).select(order).collect())) == expected
     sinks.write_hourly(fact.drop("outbreak_signal", "total_occupied"), str(tmp_path / "c"), "csv")
     again = readers.load_hourly(spark, str(tmp_path / "c"), "csv").where("facility_id IS NOT NULL")
-    assert again.count() == 98
+    assert again.count() == sum(1 for _ in counted(visit_rows(9)))
     total = again.agg(F.sum("total_occupied")).first()[0]
-    assert total == 92 + 146 + 90 + 47
+    assert total == sum(sum(w[4]) for w in counted(visit_rows(9)))
     sinks.write_raw(spark.range(3), str(tmp_path / "raw"), "a1")
     assert spark.read.parquet(str(tmp_path / "raw")).where("_ingest_id = 'a1'").count() == 3

@@ -67,7 +67,7 @@ def test_alert_upsert(spark):
     assert got["a", "icu", "t2"].id == 3 and got["b", "icu", "t1"].id == 1
     third = materialise(state.merge_alerts(second, state.alert_rows(alert(spark, again), T[2])))
     assert third.exceptAll(second).isEmpty() and second.exceptAll(third).isEmpty()
-    assert [r.forecast_timestamp for r in state.alert_history(third, 2).collect()] == ["t2", "t1"]
+    assert [r.forecast_timestamp for r in state.alert_history(third, 2, "a").collect()] == ["t2", "t1"]
     with pytest.raises(ValueError):
         state.alert_history(third, 0)
 
@@ -150,3 +150,32 @@ def test_argument_checks():
         with pytest.raises(ValueError):
             check(value)
     assert quality.check_horizon(None) is None and quality.check_threshold(0.5) == 0.5
+
+
+def test_equal_stamps_go_to_the_later_write(spark, tmp_path):
+    root = str(tmp_path)
+    state.create_log(spark, root, "settings")
+    for value in ("one", "two", "three"):
+        state.append_log(spark.createDataFrame([("k", value, None)], "key string, value string, updated_at timestamp"), root, "settings", T[1])
+        assert state.get_setting(state.read_state(spark, root, "settings"), "k") == value
+
+
+def test_later_batch_updates_a_known_alert(spark, tmp_path):
+    folder, root = str(tmp_path / "in"), str(tmp_path / "state")
+    for utilization in (0.91, 0.95, 0.93):
+        rows = state.alert_rows(alert(spark, [("a", 0, "icu", "ICU", "t1", utilization, 0.9, "warning", str(utilization))]), T[1])
+        rows.coalesce(1).write.mode("append").parquet(folder)
+        flow.alert_sink(spark.readStream.schema(rows.schema).parquet(folder), root, str(tmp_path / "log"), T[2]).awaitTermination()
+        assert [(r.id, r.utilization, r.message) for r in state.read_state(spark, root, "alert_history").collect()] == [(1, utilization, str(utilization))]
+
+
+def test_history_is_limited_for_each_facility(spark):
+    rows = [(i, f, "icu", "ICU", f"t{i}", 0.9, 0.9, "warning", "m", T[1]) for f in "ab" for i in range(1, 5)]
+    history = spark.createDataFrame(rows, "id bigint, facility_id string, department string, label string, forecast_timestamp string, utilization double, threshold double, severity string, message string, created_at string")
+    assert [(r.facility_id, r.position, r.id) for r in state.alert_history(history, 2).collect()] == [("a", 1, 4), ("a", 2, 3), ("b", 1, 4), ("b", 2, 3)]
+    assert [r.id for r in state.alert_history(history, 3, "b").collect()] == [4, 3, 2]
+
+
+def test_repeated_scenario_keys(spark):
+    rows = spark.createDataFrame([payload("a", 1), payload("a", 1), payload("b", 1), payload("a"), payload("a")], PAYLOAD)
+    assert [(r.facility_id, r.id) for r in state.repeated_scenarios(rows).collect()] == [("a", 1)]
