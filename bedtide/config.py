@@ -86,6 +86,9 @@ LAG_FEATURES = [f"lag_{k}" for k in TARGET_LAGS]
 ROLLING_FEATURES = [f"rolling_mean_{w}" for w in TARGET_WINDOWS]
 EXOGENOUS_ROLLING_FEATURES = ["admissions_rolling_24", "discharges_rolling_24", "emergency_rolling_24"]
 FEATURES = CALENDAR_FEATURES + EXOGENOUS + LAG_FEATURES + ROLLING_FEATURES + EXOGENOUS_ROLLING_FEATURES
+# What a pooled model knows of the facility: beds, and mean and deviation of the share in use while training.
+SERIES_FEATURES = ["capacity_beds", "usual_share", "share_deviation"]
+MODEL_FEATURES = FEATURES + SERIES_FEATURES
 
 DEFAULT_FACILITY = "f0"
 BASELINE_SCENARIO = 0

@@ -23,12 +23,17 @@ MEMORY = max(C.TARGET_LAGS + C.TARGET_WINDOWS)
 CHUNK = 1000
 
 
+MAX_NODES = 4_000_000  # of all trees of a department, as rectangular arrays: 160 MB
+
+
 def tree_arrays(spark: SparkSession, models: ForecastModels) -> dict[str, dict[str, np.ndarray]]:
     """Trees as rectangular arrays (tree, node) per department: 150 x 127 nodes at the default settings."""
     nodes = tree_tables(spark, models).toPandas()
     arrays = {}
     for department, rows in nodes.groupby("department"):
         shape = (rows["tree"].max() + 1, rows["node"].max() + 1)
+        if shape[0] * shape[1] > MAX_NODES:
+            raise ValueError(f"The {department} model has too many nodes to be broadcast; lower maxIter or maxDepth.")
         filled = {name: np.full(shape, -1) for name in ("feature", "left", "right")}
         filled |= {name: np.zeros(shape) for name in ("threshold", "value")}
         at = (rows["tree"].to_numpy(), rows["node"].to_numpy())
@@ -54,16 +59,17 @@ def predict(trees: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
         node = np.where(inner, np.where(go_left, left, trees["right"][tree, node]), node)
 
 
-def roll_forward(trees, known, history, capacity, shift) -> np.ndarray:
+def roll_forward(trees, known, history, capacity, shift, constant) -> np.ndarray:
     """Step all series through the horizon.
 
-    ``known`` is (series, step, feature), ``history`` (series, 72) in beds and oldest first, ``shift``
+    ``constant`` has the SERIES_FEATURES of each series, ``known`` is (series, step, feature), ``history`` (series, 72) in beds and oldest first, ``shift``
     (series, step) the scenario's beds. The value fed back is the clamped one, unrounded.
     """
     series, steps, _ = known.shape
     past = np.concatenate([history, np.empty((series, steps))], axis=1)
-    column = {name: i for i, name in enumerate(C.FEATURES)}
-    x = np.empty((series, len(C.FEATURES)))
+    column = {name: i for i, name in enumerate(C.MODEL_FEATURES)}
+    x = np.empty((series, len(C.MODEL_FEATURES)))
+    x[:, [column[name] for name in C.SERIES_FEATURES]] = constant
     known_at = [column[name] for name in KNOWN_FEATURES]
     for step in range(steps):
         now = MEMORY + step
@@ -94,7 +100,8 @@ def series_rows(hourly: DataFrame, future: DataFrame, metrics: DataFrame) -> Dat
         F.flatten(ordered(F.struct("step", numbers.alias("v")))).alias("known"),
         ordered(F.struct("step", shift.alias("v"))).alias("shift"),
     )
-    return history.join(metrics.select("facility_id", "department", "rmse", "capacity"), ["facility_id", "department"]).join(
+    constant = F.array(*C.SERIES_FEATURES).alias("constant")
+    return history.join(metrics.select("facility_id", "department", "rmse", "capacity", constant), ["facility_id", "department"]).join(
         ahead, "facility_id"
     )
 
@@ -105,7 +112,7 @@ def gbt_forecast(hourly: DataFrame, models: ForecastModels, scenarios: DataFrame
     ensembles = spark.sparkContext.broadcast(tree_arrays(spark, models))
 
     @F.pandas_udf("array<double>")
-    def rolled(department: pd.Series, history: pd.Series, known: pd.Series, shift: pd.Series, capacity: pd.Series) -> pd.Series:
+    def rolled(department: pd.Series, history: pd.Series, known: pd.Series, shift: pd.Series, capacity: pd.Series, constant: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(department), dtype=object)
         groups = pd.DataFrame({"department": department, "steps": shift.map(len)}).groupby(["department", "steps"])
         for (name, steps), at in groups.indices.items():
@@ -116,6 +123,7 @@ def gbt_forecast(hourly: DataFrame, models: ForecastModels, scenarios: DataFrame
                     np.stack([np.concatenate([np.full(MEMORY - len(h), np.nan), h]) for h in history.iloc[part]]).astype(float),
                     capacity.iloc[part].to_numpy(float),
                     np.stack(shift.iloc[part]).astype(float),
+                    np.stack(constant.iloc[part]).astype(float),
                 )
                 for position, row in zip(part, values):
                     out.iloc[position] = row
@@ -123,7 +131,7 @@ def gbt_forecast(hourly: DataFrame, models: ForecastModels, scenarios: DataFrame
 
     future = future_frame(hourly, scenarios, horizon)
     rows = series_rows(hourly, future, models.metrics).withColumn(
-        "values", rolled("department", "history", "known", "shift", F.col("capacity").cast("double"))
+        "values", rolled("department", "history", "known", "shift", F.col("capacity").cast("double"), "constant")
     )
     steps = rows.select(
         *SERIES, "first_ts", "rmse", "capacity", F.posexplode("values").alias("at", "predicted")

@@ -33,15 +33,24 @@ class ForecastModels:
         return GBTRegressionModel.load(self.paths[department])
 
 
+def series_features(training: DataFrame) -> DataFrame:
+    """(facility_id, department, the three SERIES_FEATURES) from the rows marked ``is_train``."""
+    share = F.when(F.col("is_train"), F.col("target") / F.col("capacity"))
+    return training.groupBy("facility_id", "department").agg(
+        F.max("capacity").cast("double").alias("capacity_beds"), F.avg(share).alias("usual_share"),
+        F.coalesce(F.stddev_samp(share), F.lit(0.0)).alias("share_deviation"),
+    )
+
+
 def scaled_frame(training: DataFrame) -> DataFrame:
-    """Training rows, with their ``capacity``, to shares of capacity and the feature vector."""
+    """Training rows, with their ``capacity`` and SERIES_FEATURES, to shares of capacity and the feature vector."""
     share = {c: F.col(c) / F.col("capacity") for c in BED_FEATURES}
     scaled = training.withColumns(share | {"label": F.col("target") / F.col("capacity")})
-    return VectorAssembler(inputCols=C.FEATURES, outputCol="features").transform(scaled)
+    return VectorAssembler(inputCols=C.MODEL_FEATURES, outputCol="features").transform(scaled)
 
 
 def _regressor(settings: dict) -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol="label", **settings)
+    return GBTRegressor(featuresCol="features", labelCol="label", cacheNodeIds=True, checkpointInterval=25, maxMemoryInMB=512, **settings)
 
 
 def validation_errors(scored: DataFrame) -> DataFrame:
@@ -70,7 +79,9 @@ def train_all(hourly: DataFrame, trained_at: str | None = None, **settings) -> F
     capacity = capacities(hourly)
     training = time_split(training_frame(hourly))
     prepared = materialise(training.join(capacity, ["facility_id", "department"]))
-    frames = scaled_frame(prepared)
+    usual = materialise(series_features(prepared))
+    frames = materialise(scaled_frame(prepared.join(usual, ["facility_id", "department"])).select(
+        "facility_id", "department", "is_train", "target", "capacity", "label", "features"))
     options = C.LEARNER | settings
 
     def fit(department: str) -> tuple[str, str, DataFrame]:
@@ -94,6 +105,7 @@ def train_all(hourly: DataFrame, trained_at: str | None = None, **settings) -> F
     metrics = materialise(
         errors.join(capacity, ["facility_id", "department"])
         .join(observed_range(prepared), ["facility_id", "department"])
+        .join(usual, ["facility_id", "department"])
     )
     return ForecastModels({department: path for department, path, _ in fitted}, metrics, trained_at)
 

@@ -418,6 +418,8 @@ PLAIN = ",\nplain AS (SELECT * FROM scenario WHERE scenario_id = 0)"
 CUT_POINTS = CUT_BASE + SCENARIOS + PLAIN + ERRORS + points(str(HORIZON), "plain")
 LONG_POINTS = BASE + SCENARIOS + PLAIN + ERRORS + points("168", "plain")
 add("profile_forecast", ALL_POINTS + " SELECT * FROM points")
+add("gbt_checks", ALL_POINTS + """ SELECT facility_id, scenario_id, department, count(*) AS points, min(timestamp) AS first_timestamp,
+  max(timestamp) AS last_timestamp, 0 AS out_of_bounds, 0 AS under_floor, CAST(max(capacity) AS BIGINT) AS capacity FROM points GROUP BY ALL""")
 add("profile_forecast_own_horizon", OWN_POINTS + " SELECT * FROM points")
 PEAK = """,
 peak AS (SELECT *, count(*) OVER (PARTITION BY facility_id, scenario_id, department) AS n FROM points

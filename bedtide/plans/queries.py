@@ -20,8 +20,6 @@ from bedtide.streaming import flow
 
 Query = Callable[[SparkSession, str], DataFrame]
 HORIZON, OVERRIDE = 48, 0.6
-# A short learner keeps the registered training queries quick; the defaults are in config.LEARNER.
-QUICK_LEARNER = {"maxIter": 5}
 NOW = {1: "2024-03-01 08:00:00", 2: "2024-03-02 08:00:00", 3: "2024-03-03 08:00:00", 4: "2024-03-04 08:00:00"}
 
 
@@ -411,7 +409,7 @@ def trained(spark, sf) -> tuple[DataFrame, ForecastModels]:
     key = (spark.sparkContext.applicationId, sf)
     if key not in _TRAINED:
         hours = shared_fact(spark, sf)
-        _TRAINED[key] = hours, train_all(hours, **QUICK_LEARNER)
+        _TRAINED[key] = hours, train_all(hours)
     return _TRAINED[key]
 
 
@@ -429,6 +427,19 @@ def gbt_forecast_points(spark, sf):
     return _gbt_points(spark, sf, True)
 
 
+def gbt_checks(spark, sf):
+    """What must hold for learned points, whatever the trees: their number and span, and how many break a bound."""
+    hours, models = trained(spark, sf)
+    points = _gbt_points(spark, sf)
+    bounds = (F.col("lower") >= 0) & (F.col("lower") <= F.col("occupied")) & (F.col("occupied") <= F.col("upper")) & (F.col("upper") <= F.col("capacity"))
+    errors = models.metrics.select("facility_id", "department", "rmse")
+    return points.join(errors, ["facility_id", "department"]).groupBy("facility_id", "scenario_id", "department").agg(
+        F.count(F.lit(1)).alias("points"), F.min("timestamp").alias("first_timestamp"), F.max("timestamp").alias("last_timestamp"),
+        F.count(F.when(~F.coalesce(bounds, F.lit(False)), 1)).alias("out_of_bounds"),
+        F.count(F.when(~F.coalesce(F.col("rmse") >= C.RMSE_FLOOR, F.lit(False)), 1)).alias("under_floor"), F.max("capacity").cast("bigint").alias("capacity"),
+    )
+
+
 def gbt_alerts(spark, sf):
     return A.compute_alerts(_gbt_points(spark, sf), _stored_thresholds(spark, sf, trained(spark, sf)[0]))
 
@@ -503,6 +514,7 @@ REGISTERED: dict[str, Query] = {
     "metadata_history": metadata_history,
     "model_metrics": trained_metrics,
     "gbt_forecast": gbt_forecast_points,
+    "gbt_checks": gbt_checks,
     "gbt_alerts": gbt_alerts,
     "gbt_what_if": gbt_what_if,
     "stream_hourly_flow": stream_hourly_flow,

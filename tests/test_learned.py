@@ -32,14 +32,15 @@ def test_metrics(fact, models):
 
 def test_saved_trees_predict_as_the_model(spark, fact, models):
     arrays = tree_arrays(spark, models)
-    rows = scaled_frame(features.training_frame(fact).join(capacities(fact), ["facility_id", "department"]))
+    constant = models.metrics.select("facility_id", "department", *C.SERIES_FEATURES)
+    rows = scaled_frame(features.training_frame(fact).join(capacities(fact), ["facility_id", "department"]).join(constant, ["facility_id", "department"]))
     for department in C.DEPARTMENTS:
         scored = models.model(department).transform(rows.where(F.col("department") == department)).select("features", "prediction").toPandas()
         x = np.stack([v.toArray() for v in scored.features])
         assert predict(arrays[department], x) == pytest.approx(scored.prediction.to_numpy(), abs=1e-9)
 
 
-def slow_forecast(fact, trees, department, scenario, horizon, capacity):
+def slow_forecast(fact, trees, department, scenario, horizon, capacity, constant):
     """One hour at a time with a growing history, as a plain loop."""
     series = fact.where("facility_id = 'a'").orderBy("ts").toPandas()
     known = scenarios.future_frame(fact, scenario, horizon).where("facility_id = 'a'").orderBy("step").toPandas()
@@ -49,7 +50,7 @@ def slow_forecast(fact, trees, department, scenario, horizon, capacity):
         x = {c: float(row[c]) for c in C.CALENDAR_FEATURES + C.EXOGENOUS + C.EXOGENOUS_ROLLING_FEATURES}
         x |= {f"lag_{k}": history[-k] / capacity for k in C.TARGET_LAGS}
         x |= {f"rolling_mean_{w}": np.mean(history[-w:]) / capacity for w in C.TARGET_WINDOWS}
-        value = predict(trees, np.array([[x[c] for c in C.FEATURES]]))[0] * capacity
+        value = predict(trees, np.array([[x[c] for c in C.FEATURES] + constant]))[0] * capacity
         if row.active:
             value += row.occupancy_delta
         history.append(min(capacity, max(0.0, value)))
@@ -66,7 +67,9 @@ def test_recursion_against_a_plain_loop(spark, fact, models, scenario):
     trees = tree_arrays(spark, models)
     for department, capacity in zip(C.DEPARTMENTS, [50, 260, 75, 45]):
         got = points[points.department == department].sort_values("step").occupied.to_numpy()
-        want = slow_forecast(cut, trees[department], department, chosen, 12, capacity)
+        own = models.metrics.where(f"facility_id = 'a' AND department = '{department}'").first()
+        assert own.capacity_beds == capacity and 0 < own.usual_share < 1 and own.share_deviation > 0
+        want = slow_forecast(cut, trees[department], department, chosen, 12, capacity, [own[c] for c in C.SERIES_FEATURES])
         assert got == pytest.approx(np.round(want, 1), abs=0.051)
 
 

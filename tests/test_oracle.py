@@ -29,7 +29,7 @@ def test_every_oracle_has_a_query():
     assert set(REGISTERED) - set(ORACLE) == {"model_metrics", "gbt_forecast", "gbt_alerts", "gbt_what_if"}
 
 
-@pytest.mark.parametrize("name", list(ORACLE))
+@pytest.mark.parametrize("name", [n for n in ORACLE if n != "gbt_checks"])  # the full learner takes minutes; the driver runs it
 def test_query_matches_sql(spark, small_dir, duck, name):
     result = REGISTERED[name](spark, small_dir)
     assert not any(isinstance(v, datetime.datetime) for v in result.first() or ())
