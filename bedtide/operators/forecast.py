@@ -65,7 +65,7 @@ def profile_forecast(hourly: DataFrame, scenarios: DataFrame, horizon: int | Non
 
 def forecast_summary(points: DataFrame) -> DataFrame:
     """Per series: its length, the first highest point, and that point again if it reaches 90 %."""
-    peak = F.max_by(F.struct("timestamp", "occupied", "utilization"), F.struct(F.col("occupied"), -F.col("step")))
+    peak = F.max_by(F.struct("timestamp", "occupied", "lower", "upper", "utilization"), F.struct(F.col("occupied"), -F.col("step")))
     found = points.groupBy(*SERIES).agg(
         F.max("capacity").alias("capacity"), F.count(F.lit(1)).alias("horizon_hours"), peak.alias("peak")
     )
@@ -76,6 +76,7 @@ def forecast_summary(points: DataFrame) -> DataFrame:
         F.col("peak.timestamp").alias("peak_timestamp"),
         F.when(crossing, F.col("peak.timestamp")).alias("crossing_timestamp"),
         F.when(crossing, F.col("peak.utilization")).alias("crossing_utilization"),
+        *(F.when(crossing, F.col(f"peak.{c}")).alias(f"crossing_{c}") for c in ("occupied", "lower", "upper")),
     )
 
 

@@ -71,6 +71,15 @@ def short_series(hourly: DataFrame, minimum: int = C.MIN_SERIES_ROWS) -> DataFra
     return series_lengths(hourly, minimum).where("is_short").select("facility_id", "rows", F.lit(message).alias("issue"))
 
 
+def trainable(hourly: DataFrame, minimum: int = C.MIN_SERIES_ROWS, strict: bool = False) -> DataFrame:
+    """The hours of the facilities that are long enough to train on, ``short_series`` names the others. Raises when
+    there is none, and with ``strict`` when there is any other."""
+    counted = series_lengths(hourly, minimum).agg(F.count(F.when(~F.col("is_short"), 1)).alias("long"), F.count(F.when(F.col("is_short"), 1)).alias("short")).first()
+    if not counted.long or strict and counted.short:
+        raise ValueError(f"Too few hours to train on: {minimum} are needed for each facility.")
+    return hourly if not counted.short else hourly.join(series_lengths(hourly, minimum).where("NOT is_short").select("facility_id"), "facility_id", "left_semi")
+
+
 def require_min_rows(hourly: DataFrame, minimum: int = C.MIN_SERIES_ROWS) -> DataFrame:
     """Raise when any facility is too short or when there is no facility at all."""
     seen = hourly.groupBy("facility_id").agg(F.count(F.lit(1)).alias("rows")).agg(F.min("rows").alias("fewest")).first()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from bedtide import config as C
 from bedtide.operators.forecast import SERIES, prediction_band
 from bedtide.operators.hourly import by_department
+from bedtide.operators.quality import clamp_horizon
 from bedtide.operators.scenarios import future_frame
 from bedtide.operators.training import ForecastModels, tree_tables
 
@@ -35,7 +36,7 @@ def tree_arrays(spark: SparkSession, models: ForecastModels) -> dict[str, dict[s
         if shape[0] * shape[1] > MAX_NODES:
             raise ValueError(f"The {department} model has too many nodes to be broadcast; lower maxIter or maxDepth.")
         filled = {name: np.full(shape, -1) for name in ("feature", "left", "right")}
-        filled |= {name: np.zeros(shape) for name in ("threshold", "value")}
+        filled |= {name: np.zeros(shape) for name in ("threshold", "value", "rows")}
         at = (rows["tree"].to_numpy(), rows["node"].to_numpy())
         for name, array in filled.items():
             array[at] = rows[name].fillna(0.0).to_numpy()
@@ -46,7 +47,8 @@ def tree_arrays(spark: SparkSession, models: ForecastModels) -> dict[str, dict[s
 
 
 def predict(trees: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """Ensemble prediction for the rows of ``x``: walk all trees of all rows one level at a time."""
+    """Ensemble prediction for the rows of ``x``: walk all trees of all rows one level at a time. An unknown value
+    goes to the child that saw more training rows."""
     tree = np.arange(len(trees["weight"]))
     row = np.arange(len(x))[:, None]
     node = np.zeros((len(x), len(tree)), dtype=np.int64)
@@ -55,8 +57,10 @@ def predict(trees: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
         inner = left >= 0
         if not inner.any():
             return trees["value"][tree, node] @ trees["weight"]
-        go_left = x[row, np.maximum(trees["feature"][tree, node], 0)] <= trees["threshold"][tree, node]
-        node = np.where(inner, np.where(go_left, left, trees["right"][tree, node]), node)
+        right, value = trees["right"][tree, node], x[row, np.maximum(trees["feature"][tree, node], 0)]
+        fuller = trees["rows"][tree, np.maximum(left, 0)] >= trees["rows"][tree, np.maximum(right, 0)]
+        go_left = np.where(np.isnan(value), fuller, value <= trees["threshold"][tree, node])
+        node = np.where(inner, np.where(go_left, left, right), node)
 
 
 def roll_forward(trees, known, history, capacity, shift, constant) -> np.ndarray:
@@ -107,7 +111,8 @@ def series_rows(hourly: DataFrame, future: DataFrame, metrics: DataFrame) -> Dat
 
 
 def gbt_forecast(hourly: DataFrame, models: ForecastModels, scenarios: DataFrame, horizon: int | None = C.HORIZON_DEFAULT) -> DataFrame:
-    """Forecast points of every facility, department and scenario."""
+    """Forecast points of every facility, department and scenario; a horizon is clamped to the bounds."""
+    horizon = None if horizon is None else clamp_horizon(horizon)
     spark = hourly.sparkSession
     ensembles = spark.sparkContext.broadcast(tree_arrays(spark, models))
 

@@ -127,6 +127,7 @@ def tree_tables(spark: SparkSession, models: ForecastModels) -> DataFrame:
             F.col("treeID").alias("tree"),
             F.col("nodeData.id").alias("node"),
             F.col("nodeData.prediction").alias("value"),
+            F.col("nodeData.rawCount").alias("rows"),
             F.col("nodeData.leftChild").alias("left"),
             F.col("nodeData.rightChild").alias("right"),
             F.col("nodeData.split.featureIndex").alias("feature"),

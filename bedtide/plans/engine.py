@@ -19,7 +19,7 @@ from bedtide.operators.training import ForecastModels, model_metrics, train_all
 from bedtide.session import materialise, scratch_path, utc
 from bedtide.sources import sinks
 from bedtide.sources.columns import sniff_kind
-from bedtide.sources.readers import canonical_encounters, canonical_readings, load_hourly, read_raw
+from bedtide.sources.readers import canonical_encounters, canonical_readings, load_hourly, read_raw, split_rejected, too_many_fields
 
 
 def clock() -> str:
@@ -59,9 +59,10 @@ class OccupancyEngine:
     def _append(self, rows: DataFrame, name: str, deleted: bool = False) -> None:
         state.append_log(rows, self._state_root, name, clock(), deleted)
 
-    def _set(self, key: str, value: str, now: str) -> None:
-        row = self.spark.range(1).select(F.lit(key).alias("key"), F.lit(value).alias("value"), state.at(now).alias("updated_at"))
-        self._append(row, "settings")
+    def _set(self, values: dict[str, str], now: str) -> None:
+        """One write for all values: a reader sees them together or not at all."""
+        rows = self.spark.createDataFrame(list(values.items()), "key string, value string").withColumn("updated_at", state.at(now))
+        self._append(rows.coalesce(1), "settings")
 
     def hourly(self, as_of: str | None = None) -> DataFrame:
         fact = load_hourly(self.spark, self._hourly_path)
@@ -69,10 +70,16 @@ class OccupancyEngine:
 
     # --- ingest -------------------------------------------------------------------------------
     def ingest(self, path: str, dataset_name: str, fmt: str = "csv", kind: str | None = None, urgency: str = "reference",
-               derive_outbreak: str = "reference", keep_raw: bool = True, retrain: bool = True) -> DataFrame:
-        """Read, normalise and install a dataset, then retrain. Returns the dataset status."""
+               derive_outbreak: str = "reference", keep_raw: bool = True, retrain: bool = True, strict: bool = False,
+               multiline: bool = True) -> DataFrame:
+        """Read and normalise a dataset, train on it, and install both. Returns the dataset status.
+
+        A CSV record with more fields than the header refuses the file; a record without a readable time is
+        counted as rejected. Facilities with too few hours stay in the fact and are left out of training, unless
+        ``strict`` refuses them. What fails leaves the dataset and the models that were there.
+        """
         quality.check_dataset_name(dataset_name)
-        raw = read_raw(self.spark, path, fmt)
+        raw = read_raw(self.spark, path, fmt, multiline)
         kind = sniff_kind(raw.columns, kind)
         now = clock()
         stamp = "".join(c for c in now if c.isdigit())
@@ -80,34 +87,40 @@ class OccupancyEngine:
             # Text is parsed once; the default stays and the hours then read pruned columns of the raw zone.
             sinks.write_raw(raw, f"{self.root}/raw/{kind}", stamp)
             raw = self.spark.read.parquet(f"{self.root}/raw/{kind}/_ingest_id={stamp}")
+        wide = too_many_fields(raw).first()
+        if wide is not None:
+            raise ValueError(f"A record has more fields than the header: {wide.record[:200]}")
         if kind == "event":
-            fact, source_type = hourly_from_encounters(canonical_encounters(raw), urgency), "event_level_his"
+            rows, time, source_type = canonical_encounters(raw), "admission_time", "event_level_his"
+            fact = hourly_from_encounters(rows, urgency)
         else:
-            fact, source_type = hourly_from_readings(canonical_readings(raw), derive_outbreak), "aggregate_his"
+            rows, time, source_type = canonical_readings(raw), "ts", "aggregate_his"
+            fact = hourly_from_readings(rows, derive_outbreak)
+        rejected = split_rejected(rows, time)[1].count()
         target = f"{self.root}/hourly/{stamp}"
         sinks.write_hourly(fact, target)
         written = load_hourly(self.spark, target)
-        quality.require_min_rows(written)
-        self._set("hourly_path", target, now)
-        self._set("source_name", dataset_name, now)
-        self._set("source_type", source_type, now)
+        long_enough = quality.trainable(written, strict=strict)
+        models = train_all(long_enough, now, **self.learner) if retrain and self.method == "gbt" else None
+        self._set({"hourly_path": target, "source_name": dataset_name, "source_type": source_type, "rejected_rows": str(rejected)}, now)
+        self.models = models
         seeds = state.default_thresholds(facilities_of(written), self._state("thresholds"), self.user, now)
         self._append(seeds, "thresholds")
-        self.models = None
-        if retrain and self.method == "gbt":
-            self.retrain()
         return self.dataset_status()
 
+    def issues(self) -> DataFrame:
+        """Facilities of the installed dataset that are too short to train on."""
+        return quality.short_series(self.hourly())
+
     def ingest_text(self, csv_text: str, dataset_name: str, **options) -> DataFrame:
         """Ingest the CSV text of one request; files go through ``ingest``."""
-        lines = quality.check_csv_text(csv_text).splitlines()
         path = scratch_path(self.spark, "request")
-        self.spark.createDataFrame([(line,) for line in lines], "value string").coalesce(1).write.text(path)
+        self.spark.createDataFrame([(quality.check_csv_text(csv_text),)], "value string").coalesce(1).write.text(path)
         return self.ingest(path, dataset_name, **options)
 
     def retrain(self) -> DataFrame:
         """Fit all models on the installed dataset; metadata is recomputed from the data."""
-        self.models = train_all(quality.require_min_rows(self.hourly()), clock(), **self.learner)
+        self.models = train_all(quality.trainable(self.hourly()), clock(), **self.learner)
         return self.dataset_status()
 
     def _models(self) -> ForecastModels:
@@ -119,7 +132,10 @@ class OccupancyEngine:
         settings = self._state("settings")
         metadata = dataset_metadata(
             self.hourly(), state.get_setting(settings, "source_name", ""), state.get_setting(settings, "source_type", "")
-        ).withColumn("trained_at", F.lit(self.models.trained_at if self.models else None).cast("string"))
+        ).withColumns({
+            "trained_at": F.lit(self.models.trained_at if self.models else None).cast("string"),
+            "rejected_rows": F.lit(state.get_setting(settings, "rejected_rows")).cast("bigint"),
+        })
         if self.models is None:
             return metadata
         errors = model_metrics(self.models).groupBy("facility_id").agg(

@@ -427,7 +427,8 @@ peak AS (SELECT *, count(*) OVER (PARTITION BY facility_id, scenario_id, departm
 add("forecast_summary", LONG_POINTS + PEAK + f"""
 SELECT facility_id, scenario_id, department, {LABEL} AS label, capacity, n AS horizon_hours, occupied AS peak_occupancy,
   timestamp AS peak_timestamp, CASE WHEN utilization >= {real(0.9)} THEN timestamp END AS crossing_timestamp,
-  CASE WHEN utilization >= {real(0.9)} THEN utilization END AS crossing_utilization FROM peak""")
+  CASE WHEN utilization >= {real(0.9)} THEN utilization END AS crossing_utilization, CASE WHEN utilization >= {real(0.9)} THEN occupied END AS crossing_occupied,
+  CASE WHEN utilization >= {real(0.9)} THEN lower END AS crossing_lower, CASE WHEN utilization >= {real(0.9)} THEN upper END AS crossing_upper FROM peak""")
 SUMMARY = f"""
 SELECT facility_id, scenario_id, department, {LABEL} AS label, occupied AS peak_occupancy, timestamp AS peak_timestamp, capacity FROM peak"""
 add("what_if_summary", ALL_POINTS + PEAK + SUMMARY)

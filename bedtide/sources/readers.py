@@ -16,11 +16,18 @@ from bedtide.sources.columns import require_columns, resolve_aliases, sniff_kind
 CORRUPT = "_corrupt_record"
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool = False) -> DataFrame:
-    """Raw columns: CSV and JSON values stay text, Parquet and ORC keep their types."""
+def read_raw(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool = True) -> DataFrame:
+    """Raw columns: CSV and JSON values stay text, Parquet and ORC keep their types.
+
+    CSV columns are those of the header, all text, with the whole record beside them where its number of fields
+    is another one. Quoted fields may hold line breaks; ``multiline=False`` gives that up for splittable files.
+    """
     utc(spark)
     if fmt == "csv":
-        return spark.read.option("header", True).option("multiLine", multiline).option("mode", "PERMISSIVE").csv(path)
+        reader = lambda: spark.read.options(header=True, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE")
+        columns = [T.StructField(name, T.StringType()) for name in reader().csv(path).columns]
+        schema = T.StructType([*columns, T.StructField(CORRUPT, T.StringType())])
+        return reader().option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", False).schema(schema).csv(path)
     if fmt == "json":
         return spark.read.option("primitivesAsString", True).option("columnNameOfCorruptRecord", CORRUPT).json(path)
     if fmt in ("parquet", "orc"):
@@ -71,6 +78,14 @@ def canonical_readings(df: DataFrame) -> DataFrame:
     )
 
 
+def too_many_fields(raw: DataFrame) -> DataFrame:
+    """Records of a CSV table with more fields than its header: reading them would lose the last ones."""
+    if CORRUPT not in raw.columns:
+        return raw.limit(0).select(F.lit(None).cast("string").alias("record"))
+    fields = F.split(F.col(CORRUPT), ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return raw.where(F.col(CORRUPT).isNotNull() & (F.size(fields) > len(raw.columns) - 1)).select(F.col(CORRUPT).alias("record"))
+
+
 def split_rejected(df: DataFrame, time_column: str) -> tuple[DataFrame, DataFrame]:
     """(rows with a usable time, rows without one)."""
     return df.where(F.col(time_column).isNotNull()), df.where(F.col(time_column).isNull())

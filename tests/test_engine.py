@@ -90,7 +90,7 @@ def test_alerts_are_merged(engine):
 def test_short_dataset_is_refused_and_the_old_one_stays(engine, spark, tmp_path):
     path = tmp_path / "short.csv"
     path.write_text("admission_time,department\n2026-01-01T00:00:00,ICU\n2026-01-01T05:00:00,ICU\n")
-    with pytest.raises(ValueError, match="at least 120"):
+    with pytest.raises(ValueError, match="Too few hours"):
         engine.ingest(str(path), "too short")
     assert engine.dataset_status().first().rows == HOURS
 
@@ -117,3 +117,29 @@ def test_stream_equals_batch_on_closed_hours(spark, small_dir):
     closed_until = streamed.agg(F.max("ts")).first()[0]
     busy = batch.where((F.col("ts") <= closed_until) & (F.col("admissions") + F.col("discharges") > 0))
     assert busy.exceptAll(streamed).isEmpty() and streamed.count() > 500
+
+
+def test_text_comes_through_whole(spark, tmp_path):
+    engine = OccupancyEngine(spark, str(tmp_path / "root"), method="profile")
+    lines = ["visit_id,Admit Time,ward,visit_type"]
+    lines += [f'{i},{w[0].isoformat()},"Unit {i}\u2028\nsecond line, ""north""",Routine' for i, w in enumerate(visit_rows(120))]
+    lines += ["x,not a time,ICU,Routine", "y,,ICU,Routine", "short,2025-05-01T00:00:00"]
+    status = engine.ingest_text("\n".join(lines), "quoted", kind="event").first()
+    assert status.rejected_rows == 2
+    assert engine.hourly().agg(F.sum("admissions")).first()[0] == 121
+    raw = spark.read.parquet(str(tmp_path / "root" / "raw" / "event"))
+    assert raw.where("ward like 'Unit %north\"'").count() == 120
+    with pytest.raises(ValueError, match="more fields"):
+        engine.ingest_text("\n".join([*lines, "z,2025-05-01T00:00:00,ICU,Routine,extra"]), "wide", kind="event")
+    assert engine.dataset_status().first().source_name == "quoted"
+
+
+def test_short_facilities_stay_and_are_named(spark, tmp_path):
+    rows = [f"long,{a.isoformat()},{b.isoformat()},ICU" for a, b, *_ in visit_rows(120)] + ["brief,2025-05-01T00:00:00,2025-05-01T05:00:00,ICU"]
+    text = "\n".join(["facility_id,admission_time,discharge_time,department", *rows])
+    engine = OccupancyEngine(spark, str(tmp_path / "root"), learner={"maxIter": 1, "maxDepth": 2})
+    status = {r.facility_id: r for r in engine.ingest_text(text, "two houses").collect()}
+    assert set(status) == {"long", "brief"} and status["brief"].rows == 6 and status["brief"].model_metrics is None
+    assert [(r.facility_id, r.rows) for r in engine.issues().collect()] == [("brief", 6)]
+    with pytest.raises(ValueError, match="Too few hours"):
+        engine.ingest_text(text, "two houses", strict=True)

@@ -101,3 +101,11 @@ def test_error_without_validation_rows(spark):
     rows = [("a", "icu", 1.0, 1.0, 10, 10.0, True), ("a", "icu", 1.0, 1.0, 10, 110.0, True)]
     df = spark.createDataFrame(rows, "facility_id string, department string, label double, prediction double, capacity int, target double, is_train boolean")
     assert validation_errors(df).first().rmse == pytest.approx(np.std([10, 110], ddof=1) * 0.15)
+
+
+def test_unknown_values_follow_the_fuller_child():
+    tree = {"feature": np.array([[0, -1, -1]]), "left": np.array([[1, -1, -1]]), "right": np.array([[2, -1, -1]]), "threshold": np.array([[5.0, 0, 0]]),
+            "value": np.array([[0.0, 10.0, 20.0]]), "weight": np.array([1.0])}
+    for rows, unknown in (([9, 6, 3], 10.0), ([9, 2, 7], 20.0)):
+        got = predict(tree | {"rows": np.array([rows])}, np.array([[4.0], [6.0], [np.nan]]))
+        assert got.tolist() == [10.0, 20.0, unknown]
