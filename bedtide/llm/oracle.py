@@ -79,3 +79,26 @@ SELECT doc_id, source, lang, topic, tokens, round(weight, 6) AS weight, round(pr
   CAST('0x' || substr(md5('mix|' || CAST(doc_id AS VARCHAR)), 1, 12) AS UBIGINT) / 281474976710656.0 < probability AS sampled
 FROM docs JOIN raked USING (source, lang, topic)
 """
+
+# Bytes as pairs of hexadecimal digits: DuckDB has no substring of a BLOB.
+SUFFIXES = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+grams AS (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS g FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM docs)),
+firsts AS (SELECT g, min(doc_id) AS d FROM grams GROUP BY g HAVING min(doc_id) < max(doc_id)),
+repeats AS (SELECT doc_id, p FROM grams JOIN firsts USING (g) WHERE doc_id > d),
+marked AS (SELECT doc_id, p, CASE WHEN p - lag(p) OVER w <= 50 THEN 0 ELSE 1 END AS opens FROM repeats WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+spans AS (
+  SELECT doc_id, k, min(p) AS low, max(p) + 50 AS high
+  FROM (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM marked) GROUP BY doc_id, k
+),
+pieces AS (
+  SELECT doc_id, h, n, coalesce(lag(high) OVER w, 0) AS a, low AS b FROM docs JOIN spans USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY low)
+  UNION ALL
+  SELECT doc_id, any_value(h), any_value(n), max(high), any_value(n) FROM docs JOIN spans USING (doc_id) GROUP BY doc_id
+),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS kept_h FROM pieces GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(high - low) AS removed, count(*) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept_h, h))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""

@@ -65,4 +65,4 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in [op1_license_scan, op2_suffix_dedup, op3_mixing, op4_fixity, op5_simhash, op6_winnow, op7_fertility, op8_language, op9_token_counts, op10_toxicity]}
-SQL = {"op3_mixing": oracle.MIXING, "op4_fixity": oracle.FIXITY, "op6_winnow": oracle.CONTAMINATION}
+SQL = {"op2_suffix_dedup": oracle.SUFFIXES, "op3_mixing": oracle.MIXING, "op4_fixity": oracle.FIXITY, "op6_winnow": oracle.CONTAMINATION}
