@@ -110,12 +110,16 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def best(matches: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Without those matches that overlap one with fewer edits: a near notice must not shadow the right one."""
-    kept: list[tuple[int, int, int, str]] = []
-    for edits, low, high, label in sorted(set(matches)):
-        if not any(e < edits and a < high and low < b for e, a, b, _ in kept):
-            kept.append((edits, low, high, label))
-    return kept
+    """(edits, low, high, label) without those that overlap one with fewer edits: a near notice must not shadow the
+    right one."""
+    shadowed, open_ = set(), []
+    for m in sorted(set(matches), key=lambda m: (m[1], m[2], m[0], m[3])):
+        open_ = [o for o in open_ if o[2] > m[1]]
+        for o in open_:
+            if o[0] != m[0]:
+                shadowed.add(max(o, m, key=lambda x: x[0]))
+        open_.append(m)
+    return sorted(set(matches) - shadowed)
 
 
 @cache
