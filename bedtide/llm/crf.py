@@ -14,14 +14,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bedtide.llm import text as X
 from bedtide.llm.frames import pick
+from bedtide.session import materialise
 
 BUCKETS = 1 << 18
-TRAIN_TEXTS = 250  # labelled texts of each language at most
+TRAIN_TEXTS, TRAIN_TOTAL = 250, 4000  # labelled texts of each language, and of all, about
 MAX_LANGUAGES = 200  # the most frequent ones are learned
 SEQUENCE, STRETCH = 64, 16
 ROUNDS, RATE, DECAY = 25, 0.4, 1e-4
@@ -151,11 +152,21 @@ def fit(texts: list[str], labels: list[str]) -> dict[str, np.ndarray]:
     return {"weights": model[0].astype(np.float32), "moves": model[1], "begin": model[2], "names": np.array(names)}
 
 
-def labelled_sample(labelled: DataFrame, per_label: int) -> DataFrame:
-    """At most ``per_label`` texts of each label: those with the smallest hashes, so the same at every run. The
-    rank is cut in every partition before rows move, and no label's rows are gathered."""
-    rank = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
-    return labelled.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= per_label).drop("place")
+def labelled_sample(keyed: DataFrame, texts: DataFrame, per_label: int, total: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Texts of a bounded sample as (label, text), and the number ``n`` of different texts of each label.
+
+    ``keyed`` has label and key, the xxhash64 of the text that ``texts`` has. About ``per_label`` different texts of
+    each of the ``most`` frequent labels are taken, ``total`` at most (all where there are fewer): those whose hash lies
+    in the lowest n-th part, so the same at every run. Only hashes are shuffled and joined; the chosen ones are
+    written, small as they are, and the texts are filtered where they are read. Copies are merged.
+    """
+    pairs = materialise(keyed.select("label", "key").distinct())
+    sizes = materialise(pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(most))
+    share = max(1, min(per_label, total // max(1, sizes.count())))
+    unit = (F.col("key").cast("double") + 2.0 ** 63) / 2.0 ** 64
+    chosen = materialise(pairs.join(sizes, "label").where(unit * F.col("n") < share).select("label", "key").coalesce(1))
+    found = texts.select("text", F.xxhash64("text").alias("key")).join(chosen, "key")
+    return found.groupBy("label", "key").agg(F.min("text").alias("text")).select("label", "text"), sizes
 
 
 def train(labelled: DataFrame, per_label: int = TRAIN_TEXTS) -> dict[str, np.ndarray]:
@@ -165,8 +176,7 @@ def train(labelled: DataFrame, per_label: int = TRAIN_TEXTS) -> dict[str, np.nda
     weights. Without any labelled text it has no names.
     """
     rows = labelled.where("text is not null and label is not null").select("text", "label")
-    frequent = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).select("label")
-    sample = labelled_sample(rows.join(frequent, "label"), per_label)
+    sample, _ = labelled_sample(rows.select("label", F.xxhash64("text").alias("key")), rows, per_label, TRAIN_TOTAL, MAX_LANGUAGES)
 
     def run(batches):
         texts, labels = [], []
@@ -177,7 +187,7 @@ def train(labelled: DataFrame, per_label: int = TRAIN_TEXTS) -> dict[str, np.nda
         yield pa.RecordBatch.from_pydict({"name": list(model), "data": [_packed(v) for v in model.values()]}, schema=pa.schema([("name", pa.string()), ("data", pa.binary())]))
 
     parts = sample.select("text", "label").coalesce(1).mapInArrow(run, "name string, data binary").collect()
-    return {r["name"]: _unpacked(r["data"]) for r in parts}
+    return {r["name"]: _unpacked(r["data"]) for r in parts} or fit([], [])
 
 
 def _packed(array: np.ndarray) -> bytes:

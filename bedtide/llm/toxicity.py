@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 
 from bedtide.llm import text as X
 from bedtide.llm.crf import _packed, _unpacked, held_out, labelled_sample
-from bedtide.llm.frames import left_join, pick
+from bedtide.llm.frames import pick
 
 BUCKETS = 1 << 20
-TRAIN_TEXTS = 3000  # labelled texts of each class at most
+TRAIN_TEXTS = 2000  # labelled texts of each class, about
 BEGINNINGS = (4, 5)  # bytes of a longer word that count as a feature
-FEATURES, MIN_TEXTS, MIN_SHARE, MIN_Z = 2000, 2, 0.008, 3.0
+FEATURES, MIN_TEXTS, MIN_SHARE, MIN_Z = 1000, 2, 0.008, 3.0
 ROUNDS, RATE, DECAY, SWAP_WEIGHT = 500, 0.05, 1e-4, 1.0
 # Identity terms by category (fixed values); a term is swapped for the others of its line.
 IDENTITIES = (
@@ -43,7 +43,19 @@ LETTERS = X.byte_class(lambda b: 0x61 <= b <= 0x7A or b >= 0x80)
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, hashed feature) of every word and word beginning."""
+    """(text index, hashed feature) of every word and word beginning, some megabytes at a time."""
+    text_of, keys, first, size = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], 0, 0
+    for i, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= X.CHUNK_BYTES or i == len(texts):
+            at, found = _features(texts[first:i])
+            text_of.append((at + first).astype(np.int32))
+            keys.append(found.astype(np.int32))
+            first, size = i, 0
+    return np.concatenate(text_of), np.concatenate(keys)
+
+
+def _features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.lower().encode() for t in texts]
     offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
     body = np.frombuffer(b"".join(raw), np.uint8)
@@ -71,8 +83,9 @@ def swaps(text: str, identities: tuple = IDENTITIES) -> list[str]:
 def _matrix(texts: list[str], column: np.ndarray, width: int) -> np.ndarray:
     text_of, keys = features(texts)
     chosen = column[keys] >= 0
-    flat = np.bincount(text_of[chosen] * width + column[keys[chosen]], minlength=len(texts) * width)
-    return flat.reshape(len(texts), width).astype(np.float64)
+    flat = np.zeros((len(texts), width))
+    np.add.at(flat, (text_of[chosen], column[keys[chosen]]), 1.0)
+    return flat
 
 
 def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, swap_weight: float = SWAP_WEIGHT, identities: tuple = IDENTITIES) -> dict[str, np.ndarray]:
@@ -83,7 +96,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, swap_weight:
     if not 0 < share < 1:
         return empty
     text_of, keys = features(texts)
-    pairs = np.unique(text_of * BUCKETS + keys)
+    pairs = np.unique(text_of.astype(np.int64) * BUCKETS + keys)
     toxic = labels[pairs // BUCKETS] == 1
     n1, n0 = int(labels.sum()), int((labels == 0).sum())
     with_toxic = np.bincount(pairs[toxic] % BUCKETS, minlength=BUCKETS)
@@ -93,7 +106,8 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, swap_weight:
     z[with_toxic + with_clean < max(MIN_TEXTS, MIN_SHARE * n1)] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:FEATURES]
     chosen = chosen[np.abs(z[chosen]) >= MIN_Z]
-    named = [t for t in texts if any(re.search(rf"\b{re.escape(w)}\b", t, re.IGNORECASE) for line in identities for w in line)]
+    anyone = re.compile(r"\b(?:" + "|".join(re.escape(w) for line in identities for w in line) + r")\b", re.IGNORECASE)
+    named = [t for t in texts if anyone.search(t)]
     if named:
         chosen = np.union1d(chosen, np.unique(features([w for line in identities for w in line])[1]))
     if not len(chosen):
@@ -125,11 +139,13 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, swap_weight:
     return {"at": chosen, "weights": w * scale, "bias": np.array(b)}
 
 
-def train(labelled: DataFrame, per_class: int = TRAIN_TEXTS, swap_weight: float = SWAP_WEIGHT, identities: tuple = IDENTITIES) -> dict[str, np.ndarray]:
-    """The classifier learned from columns text and label (0 or 1; other labels and null texts are left out)."""
-    rows = labelled.where("text is not null and label in (0, 1)").select("text", "label")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two rows at most
-    sample = labelled_sample(rows, per_class)
+def train(documents: DataFrame, marks: DataFrame, per_class: int = TRAIN_TEXTS, swap_weight: float = SWAP_WEIGHT, identities: tuple = IDENTITIES) -> dict[str, np.ndarray]:
+    """The classifier learned from ``documents`` (doc_id, text) and ``marks`` (doc_id, label); labels other than 0 and
+    1 and null texts are left out."""
+    rows = documents.where("text is not null")
+    keyed = rows.select("doc_id", F.xxhash64("text").alias("key")).join(marks.where("label in (0, 1)"), "doc_id")
+    sample, sizes = labelled_sample(keyed, rows, per_class, 2 * per_class, 2)
+    counts = {r["label"]: r["n"] for r in sizes.collect()}  # two rows at most
 
     def run(batches):
         pairs = []
@@ -143,7 +159,7 @@ def train(labelled: DataFrame, per_class: int = TRAIN_TEXTS, swap_weight: float
         yield pa.RecordBatch.from_pydict({"name": list(model), "data": [_packed(v) for v in model.values()]}, schema=pa.schema([("name", pa.string()), ("data", pa.binary())]))
 
     parts = sample.select("text", "label").coalesce(1).mapInArrow(run, "name string, data binary").collect()
-    return {r["name"]: _unpacked(r["data"]) for r in parts} or {"at": np.zeros(0, np.int64), "weights": np.zeros(0), "bias": np.array(-5.0)}
+    return {r["name"]: _unpacked(r["data"]) for r in parts} or fit([], np.zeros(0, np.int64), np.zeros(0))
 
 
 def toxicity(documents: DataFrame, model) -> DataFrame:
@@ -173,7 +189,6 @@ def score_documents(documents: DataFrame, labels: DataFrame, per_class: int = TR
     rows = pick(documents, doc_id="doc_id", text="text")
     outside = held_out(F.col("doc_id"), 5, 0)
     marks = pick(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    labelled = left_join(rows.where(~outside), marks, "doc_id").select("text", "label")
-    model = train(labelled, per_class)
+    model = train(rows.where(~outside), marks, per_class)
     context = documents.sparkSession.sparkContext
     return toxicity(rows, context.broadcast(model)).withColumn("held_out", outside).select("doc_id", "held_out", "score", "predicted")
