@@ -6,13 +6,14 @@ hold. A document is then kept with its cell's weight as probability, or for cert
 one; what the probability can't give stays as the sample's weight, so weighted samples have the target shares
 in expectation.
 
-Cells and factors are small tables that never leave Spark; documents are read for the cells and once more for
-the result, and joined to cells as rows, whichever source they come from.
+Cells are a small table that never leaves Spark; a margin's sum is a window over it, and some rounds make one
+job. Documents are read for the cells and once more for the result, and joined to cells as rows, whichever
+source they come from.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bedtide.llm.frames import pick
@@ -21,7 +22,7 @@ from bedtide.session import materialise
 MARGINS = ("source", "lang", "topic")
 # Target share of a value: its own share to this power, scaled to sum to one. 1 keeps shares, 0 makes them equal.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.5}
-TOLERANCE, MAX_ROUNDS = 1e-9, 100
+TOLERANCE, MAX_ROUNDS, ROUNDS_AT_ONCE = 1e-9, 102, 6
 NONE = "(none)"
 # Topics by cues in the text, the first that is found counts.
 TOPICS = (
@@ -67,27 +68,31 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     contradict each other the last round's weights are returned, which meet the last margin.
     """
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
-    cells = materialise(cells.withColumn("weight", F.lit(1.0)))
+    cells = cells.withColumn("weight", F.lit(1.0))
     if not total:
-        return cells
-    shares = {}
+        return materialise(cells)
     for margin in MARGINS:
-        aims = cells.groupBy(margin).agg(F.sum("tokens").alias("own")).where("own > 0").join(targets[margin].withColumnRenamed("value", margin), margin)
+        own = cells.groupBy(margin).agg(F.sum("tokens").alias("own"))
+        aims = own.where("own > 0").join(targets[margin].withColumnRenamed("value", margin), margin)
         whole = aims.agg(F.sum("share")).first()[0] or 1.0
-        shares[margin] = materialise(aims.select(margin, (F.col("share") / F.lit(whole)).alias("share")))
-    for _ in range(max_rounds):
-        now = cells.withColumn("moved", F.lit(0.0))
-        for margin in MARGINS:
-            sums = now.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass"), F.sum("tokens").alias("own"))
-            aim = sums.join(shares[margin], margin, "left")
-            factor = aim.select(margin, F.when(F.col("own") == 0, 1.0).when(F.col("mass") > 0, F.coalesce("share", F.lit(0.0)) * total / F.col("mass")).otherwise(0.0).alias("factor"))
-            change = F.when(F.col("weight") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0)
-            now = now.join(factor, margin).withColumns({"weight": F.col("weight") * F.col("factor"), "moved": F.greatest("moved", change)}).drop("factor")
-        now = materialise(now)
-        cells = now.drop("moved")
-        if (now.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+        aim = own.join(aims.select(margin, (F.col("share") / F.lit(whole) * total).alias("share")), margin, "left").select(
+            margin, F.when(F.col("own") > 0, F.coalesce("share", F.lit(0.0))).alias(f"aim_{margin}"))
+        cells = cells.join(materialise(aim), margin)
+    cells = materialise(cells)
+    for _ in range(0, max_rounds, ROUNDS_AT_ONCE):
+        for _ in range(ROUNDS_AT_ONCE):
+            cells = cells.withColumn("moved", F.lit(0.0))
+            for margin in MARGINS:
+                mass = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(margin))
+                factor = F.when(F.col(f"aim_{margin}").isNull(), 1.0).when(F.col("mass") > 0, F.col(f"aim_{margin}") / F.col("mass")).otherwise(0.0)
+                cells = cells.withColumn("mass", mass).withColumn("factor", factor).withColumns({
+                    "weight": F.col("weight") * F.col("factor"),
+                    "moved": F.greatest("moved", F.when(F.col("weight") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0)),
+                }).drop("mass", "factor")
+        cells = materialise(cells)
+        if (cells.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
             break
-    return cells
+    return cells.drop("moved", *(f"aim_{m}" for m in MARGINS))
 
 
 def unit_hash(*columns: Column) -> Column:
