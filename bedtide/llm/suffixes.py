@@ -9,7 +9,7 @@ than k are resolved by ranks, and no task needs the text of another document. Th
 2. *Cover sample.* Every block sends the fingerprints of its cover-sample suffixes (v = 21, five in 21, each judged
    by the L - v + 1 bytes that any shift leaves), in sorted, difference-coded ranges. A suffix whose
    fingerprint occurs nowhere else can't tie with any other and goes no further.
-3. *Suffix buckets.* The others go into buckets by fingerprint range, a quarter of the buckets in each pass, as
+3. *Suffix buckets.* The others go into buckets by fingerprint range, half of the buckets in each pass, as
    the v - 1 bytes before and the L bytes after the sample. One bucket at a time is sorted in a task: first the
    sample suffixes, byte by byte, which gives their ranks at every depth from the longest common prefixes of
    neighbours; then for each shift k the suffixes that begin k bytes before, by those k bytes and the rank at
@@ -44,7 +44,7 @@ LENGTH = 50
 PERIOD, COVER = 21, (0, 1, 6, 8, 18)  # a perfect difference set: fixed values
 BLOCK_BYTES = 4 << 20
 RANGE_SAMPLES = 4 << 20
-PASSES = 4
+PASSES = 2
 SPARE_BITS = 6
 HOT_BLOCKS = 1000
 NO_ID = np.iinfo(np.int64).max
@@ -97,17 +97,20 @@ class _Tables:
     """Bucketed tables of one run in the warehouse, dropped as soon as they are used up."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.names = spark, []
+        self.spark, self.made = spark, []
 
     def put(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
         name = f"suffixes_{uuid.uuid4().hex}"
         df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
-        self.names.append(name)
-        return self.spark.table(name)
+        self.made.append((self.spark.table(name), name))
+        return self.made[-1][0]
 
-    def drop(self, keep: int = 0) -> None:
-        while len(self.names) > keep:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop()}")
+    def drop(self, *frames: DataFrame) -> None:
+        """The tables behind ``frames``, or all of them."""
+        for frame, name in list(self.made):
+            if not frames or any(frame is f for f in frames):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+                self.made.remove((frame, name))
 
 
 # --- cover sample -----------------------------------------------------------------------------------------
@@ -148,7 +151,7 @@ def _edges(bits: int, ranges: int) -> np.ndarray:
     return np.array([-(-(r << bits) // ranges) for r in range(ranges)] + [1 << bits], np.uint64)
 
 
-def cover_sample(blocks: DataFrame, length: int, bits: int, ranges: int, tables: _Tables, buckets: int, hot_blocks: int) -> DataFrame:
+def cover_sample(blocks: DataFrame, length: int, bits: int, ranges: int, tables: _Tables, block_buckets: int, hot_blocks: int) -> DataFrame:
     """(block, shared, hot): fingerprints of the block that occur elsewhere too, and those of them that are hot."""
     def send(batches):
         for batch in batches:
@@ -172,8 +175,10 @@ def cover_sample(blocks: DataFrame, length: int, bits: int, ranges: int, tables:
             "hot": pa.array([pack_sorted(_common(v, hot)) for v in own], pa.binary()),
         })
 
-    sent = tables.put(blocks.select("block", "offsets", "body").mapInArrow(send, "range int, block bigint, data binary"), "range", buckets)
-    return materialise(sent.groupBy("range").applyInArrow(match, "block bigint, shared binary, hot binary"))
+    sent = tables.put(blocks.select("block", "offsets", "body").mapInArrow(send, "range int, block bigint, data binary"), "range", ranges)
+    known = tables.put(sent.groupBy("range").applyInArrow(match, "block bigint, shared binary, hot binary"), "block", block_buckets)
+    tables.drop(sent)
+    return known
 
 
 def _common(sorted_values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -319,7 +324,7 @@ def sort_bucket(contexts: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np
     return masks
 
 
-def suffix_buckets(with_shared: DataFrame, length: int, bits: int, ranges: int, chosen: list[int], tables: _Tables, buckets: int) -> DataFrame:
+def suffix_buckets(with_shared: DataFrame, length: int, bits: int, ranges: int, chosen: list[int], tables: _Tables, block_buckets: int) -> DataFrame:
     """(block, at, mask): the repeats of the buckets ``chosen``, as sample positions and bit masks of shifts."""
     def send(batches):
         for batch in batches:
@@ -349,8 +354,10 @@ def suffix_buckets(with_shared: DataFrame, length: int, bits: int, ranges: int,
         return pa.table({"block": pa.array(out["block"], pa.int64()), "at": pa.array(out["at"], pa.binary()), "mask": pa.array(out["mask"], pa.binary())})
 
     schema = ", ".join(f"{f.name} {'int' if f.name == 'range' else 'bigint' if f.name == 'block' else 'binary'}" for f in CONTEXT)
-    sent = tables.put(with_shared.mapInArrow(send, schema), "range", buckets)
-    return materialise(sent.groupBy("range").applyInArrow(sort, "block bigint, at binary, mask binary"))
+    sent = tables.put(with_shared.mapInArrow(send, schema), "range", len(chosen))
+    repeats = tables.put(sent.groupBy("range").applyInArrow(sort, "block bigint, at binary, mask binary"), "block", block_buckets)
+    tables.drop(sent)
+    return repeats
 
 
 # --- removal ------------------------------------------------------------------------------------------------
@@ -382,8 +389,9 @@ def _cut(blocks: DataFrame, length: int, fields: list, with_text: bool) -> DataF
                 body, offsets = np.frombuffer(row["body"], np.uint8), np.frombuffer(row["offsets"], np.int64)
                 gone = covered(len(body), [(unpack_sorted(a, np.uint32), unpack(m, np.uint32)) for a, m in zip(row["at"] or [], row["mask"] or [])], length)
                 edge = gone.copy()
-                inner = np.setdiff1d(np.arange(1, len(gone)), offsets)
-                edge[inner] &= ~gone[inner - 1]
+                edge[1:] &= ~gone[:-1]
+                heads = offsets[:-1][offsets[:-1] < len(gone)]
+                edge[heads] = gone[heads]
                 n = np.diff(offsets)
                 totals = [np.concatenate([[0], np.cumsum(x, dtype=np.int64)]) for x in (gone, edge)]
                 removed, spans = (t[offsets[1:]] - t[offsets[:-1]] for t in totals)
@@ -419,19 +427,21 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, carry: tuple[str,
     sort_ranges = ranges * PASSES
     tables = _Tables(spark)
     try:
-        blocks = tables.put(_blocks(rows, block_bytes), "block", math.ceil(max(1, n_bytes) / (6 * block_bytes)))
-        known = cover_sample(blocks, length, bits, ranges, tables, ranges, hot_blocks)
-        tables.drop(keep=1)
-        known = known.groupBy("block").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
-        with_shared = blocks.select("block", "ids", "offsets", "body").join(known.hint("shuffle_hash"), "block")
-        repeats = None
-        for turn in range(PASSES):
-            chosen = list(range(turn, sort_ranges, PASSES))
-            found = suffix_buckets(with_shared, length, bits, sort_ranges, chosen, tables, len(chosen))
-            tables.drop(keep=1)
-            repeats = found if repeats is None else repeats.unionByName(found)
-        repeats = repeats.groupBy("block").agg(F.collect_list(F.struct("at", "mask")).alias("s")).select("block", F.col("s.at"), F.col("s.mask"))
-        cut = _cut(blocks.join(repeats.hint("shuffle_hash"), "block", "left").select("offsets", "body", "rest", "at", "mask"), length, fields, with_text)
+        # All tables with a block are bucketed alike, so they are joined without moving a row.
+        buckets = math.ceil(max(1, n_bytes) / (6 * block_bytes))
+        blocks = tables.put(_blocks(rows, block_bytes), "block", buckets)
+        known = cover_sample(blocks, length, bits, ranges, tables, buckets, hot_blocks)
+        lists = known.groupBy("block").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
+        with_shared = blocks.select("block", "ids", "offsets", "body").join(lists.hint("shuffle_hash"), "block")
+        found = [suffix_buckets(with_shared, length, bits, sort_ranges, list(range(turn, sort_ranges, PASSES)), tables, buckets) for turn in range(PASSES)]
+        tables.drop(known)
+        joined, columns = blocks.select("block", "offsets", "body", "rest"), {"at": [], "mask": []}
+        for turn, repeats in enumerate(found):
+            own = repeats.groupBy("block").agg(F.collect_list(F.struct("at", "mask")).alias(f"s{turn}"))
+            joined = joined.join(own.hint("shuffle_hash"), "block", "left")
+            for c in columns:
+                columns[c].append(F.coalesce(F.col(f"s{turn}.{c}"), F.array().cast("array<binary>")))
+        cut = _cut(joined.select("offsets", "body", "rest", *(F.concat(*x).alias(c) for c, x in columns.items())), length, fields, with_text)
         return materialise(cut).withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
     finally:
         tables.drop()
