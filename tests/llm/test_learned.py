@@ -66,6 +66,30 @@ def test_neutral_mentions_are_not_flagged():
     assert regular[0] < 0.2 * plain[0] and regular[1] > 0 > regular[2]
 
 
+def test_rare_and_many_toxic_words_get_weights():
+    # 4 of 600 toxic texts have the rare word, and 1500 further words tell the classes apart.
+    word = lambda n: "".join(chr(97 + n // 26 ** k % 26) for k in range(3))
+    toxic = [" ".join(word((15 * i + j) % 1500) for j in range(15)) + (" qzjk" if i < 4 else "") for i in range(600)]
+    texts, labels = toxic + [f"{word(2000 + i % 300)} talk" for i in range(6000)], np.array([1] * 600 + [0] * 6000)
+    model = toxicity.fit(texts, labels, np.ones(len(texts)))
+    learned = dict(zip(model["at"].tolist(), model["weights"].tolist()))
+    assert learned.get(int(toxicity.features(["qzjk"])[1][0]), 0) > 0 and sum(w != 0 for w in learned.values()) > 1000
+
+
+def test_features_are_ranked_by_all_labelled_texts(spark):
+    # A sample of about 20 texts of each class; every copy of a text or row counts once for its class.
+    rows = [(i, f"word{i} talk" + (" qzj" if i % 4 == 0 else ""), int(i % 2 == 0)) for i in range(400)] + [(1000 + i, "same talk qzj", 0) for i in range(300)] + [(0, "word0 talk qzj", 1)] * 3
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    seen, true_screen = [], toxicity.screened
+    toxicity.screened = lambda found, sizes: seen.append((found, sizes)) or true_screen(found, sizes)
+    try:
+        toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "label").distinct(), 20)
+    finally:
+        toxicity.screened = true_screen
+    (found, sizes), at = seen[0], int(toxicity.features(["qzj"])[1][0])
+    assert sizes == (201, 200) and found[:, at].tolist() == [1, 100]
+
+
 def test_swaps():
     assert "Three men and a christian man" in [s for s in toxicity.swaps("Three women and a christian man")]
     assert toxicity.swaps("nothing here") == []
