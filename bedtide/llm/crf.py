@@ -23,7 +23,9 @@ from bedtide.session import materialise
 
 BUCKETS = 1 << 18
 TRAIN_TEXTS, TRAIN_TOTAL = 250, 4000  # labelled texts of each language, and of all, about
-MAX_LANGUAGES = 200  # the most frequent ones are learned
+# With more weights than this a language has weights only for the features of its own texts. Words x languages at a time.
+WEIGHTS, ENTRIES = 1 << 23, 1 << 22
+WEIGHT = np.dtype([("language", "<i4"), ("row", "<i4"), ("weight", "<f4")])
 SEQUENCE, STRETCH = 64, 16
 ROUNDS, RATE, DECAY = 25, 0.4, 1e-4
 AFFIXES, GRAMS = (1, 2, 3), (2, 3, 4)
@@ -68,10 +70,18 @@ class Words:
         self.n_types = len(at)
 
     def scores(self, weights: np.ndarray) -> np.ndarray:
-        """(type, language), the mean weight of the type's features."""
-        size = np.bincount(self.word, minlength=self.n_types)
-        sums = [np.bincount(self.word, weights[self.row, c], minlength=self.n_types) for c in range(weights.shape[1])]
-        return np.stack(sums, axis=1) / np.sqrt(np.maximum(size, 1))[:, None]
+        """(type, language), the mean weight of the type's features; ``weights`` are WEIGHT rows in order."""
+        edges = np.searchsorted(weights["language"], np.arange(int(weights["language"].max(initial=-1)) + 2))
+        return _scores(self.word, self.row, self.n_types, edges, weights["row"], weights["weight"])
+
+
+def _scores(word, row, n_types, edges, rows, values) -> np.ndarray:
+    size, out = np.bincount(word, minlength=n_types), np.zeros((n_types, len(edges) - 1))
+    for c, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        column = np.zeros(BUCKETS + 1)
+        column[rows[a:b]] = values[a:b]
+        out[:, c] = np.bincount(word, column[row], minlength=n_types)
+    return out / np.sqrt(np.maximum(size, 1))[:, None]
 
 
 def posteriors(scores: np.ndarray, firsts: np.ndarray, moves: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +109,8 @@ def posteriors(scores: np.ndarray, firsts: np.ndarray, moves: np.ndarray, begin:
         if len(state):
             ahead = emission[at[:len(state)] + 1] * state
             now[:len(state)] = ahead @ move.T
-            joint = forward[at[:len(state)]][:, :, None] * move[None] * ahead[:, None, :]
-            flow += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
+            before = forward[at[:len(state)]]
+            flow += move * ((before / ((before @ move) * ahead).sum(axis=1, keepdims=True)).T @ ahead)
         state = now / now.sum(axis=1, keepdims=True)
         backward[at] = state
     both = forward * backward
@@ -127,56 +137,92 @@ def fit(texts: list[str], labels: list[str]) -> dict[str, np.ndarray]:
     first = np.zeros(len(order) + 1, bool)
     first[firsts] = True
     n = len(names)
-    model = [np.zeros((BUCKETS, n)), np.zeros((n, n)), np.zeros(n)]
-    seen = np.bincount(words.row, minlength=BUCKETS) > 0
+    rows, edges = _places(words, types, truth, n)
+    model = [np.zeros(len(rows)), np.zeros((n, n)), np.zeros(n)]
     follow = np.flatnonzero(~first[1:-1]) + 1
     real_flow = np.zeros((n, n))
     np.add.at(real_flow, (truth[follow - 1], truth[follow]), 1)
-    size = np.sqrt(np.maximum(np.bincount(words.word, minlength=words.n_types), 1))
     means, squares = [np.zeros_like(m) for m in model], [np.zeros_like(m) for m in model]
     total = max(len(order), 1)
+    slices = list(_slices(words, types, truth, firsts, n))
     for step in range(1, ROUNDS + 1):
         if not len(order):
             break
-        post, flow = posteriors(words.scores(model[0])[types], firsts, model[1], model[2])
-        error = -post
-        error[np.arange(len(order)), truth] += 1
-        by_type = np.stack([np.bincount(types, error[:, c], minlength=words.n_types) for c in range(n)], axis=1) / size[:, None]
-        slope = np.stack([np.bincount(words.row, by_type[words.word, c], minlength=BUCKETS) for c in range(n)], axis=1)
-        slopes = [slope / total - DECAY * model[0] / BUCKETS, (real_flow - flow) / total - DECAY * model[1], error[firsts[:-1]].sum(axis=0) / total - DECAY * model[2]]
+        slope, flow, starts = np.zeros(len(rows)), np.zeros((n, n)), np.zeros(n)
+        for word, row, size, kinds, true, ends in slices:
+            post, moved = posteriors(_scores(word, row, len(size), edges, rows, model[0])[kinds], ends, model[1], model[2])
+            error = -post
+            error[np.arange(len(true)), true] += 1
+            for c, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+                by_type = np.bincount(kinds, error[:, c], minlength=len(size)) / size
+                slope[a:b] += np.bincount(row, by_type[word], minlength=BUCKETS + 1)[rows[a:b]]
+            flow += moved
+            starts += error[ends[:-1]].sum(axis=0)
+        slopes = [slope / total - DECAY * model[0] / BUCKETS, (real_flow - flow) / total - DECAY * model[1], starts / total - DECAY * model[2]]
         for i, g in enumerate(slopes):
             means[i] = 0.9 * means[i] + 0.1 * g
             squares[i] = 0.99 * squares[i] + 0.01 * g * g
-            change = RATE * (means[i] / (1 - 0.9 ** step)) / (np.sqrt(squares[i] / (1 - 0.99 ** step)) + 1e-8)
-            model[i] += change * (seen[:, None] if i == 0 else 1)
-    return {"weights": model[0].astype(np.float32), "moves": model[1], "begin": model[2], "names": np.array(names)}
-
-
-def labelled_sample(keyed: DataFrame, texts: DataFrame, per_label: int, total: int, most: int) -> tuple[DataFrame, DataFrame]:
+            model[i] += RATE * (means[i] / (1 - 0.9 ** step)) / (np.sqrt(squares[i] / (1 - 0.99 ** step)) + 1e-8)
+    weights = np.zeros(len(rows), WEIGHT)
+    weights["language"], weights["row"], weights["weight"] = np.repeat(np.arange(n), np.diff(edges)), rows, model[0]
+    return {"weights": weights, "moves": model[1], "begin": model[2], "names": np.array(names)}
+
+
+def _places(words: Words, types: np.ndarray, truth: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weight rows of each language one after another, and where each language begins. Every language has all rows
+    of the sample, or its own ones if these are too many, and the unused row BUCKETS, so that none is without."""
+    seen = np.unique(words.row)
+    found = []
+    for c in range(n):
+        own = seen
+        if n * len(seen) > WEIGHTS:
+            member = np.zeros(words.n_types, bool)
+            member[types[truth == c]] = True
+            own = np.unique(words.row[member[words.word]])
+        found.append(np.append(own, BUCKETS).astype(np.int32))
+    return np.concatenate([np.zeros(0, np.int32), *found]), np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int64)
+
+
+def _slices(words: Words, types: np.ndarray, truth: np.ndarray, firsts: np.ndarray, n: int):
+    """Some sequences at a time, with the features of their types: (type, row) of each feature, root of the number of
+    features of each type, type and truth of each word, bounds of the sequences."""
+    step = max(1, ENTRIES // (SEQUENCE * max(1, n)))
+    for a in range(0, len(firsts) - 1, step):
+        bounds = firsts[a:a + step + 1]
+        used, kinds = np.unique(types[bounds[0]:bounds[-1]], return_inverse=True)
+        place = np.full(words.n_types, -1)
+        place[used] = np.arange(len(used))
+        word = place[words.word]
+        word, row = word[word >= 0], words.row[word >= 0]
+        yield word, row, np.sqrt(np.maximum(np.bincount(word, minlength=len(used)), 1)), kinds, truth[bounds[0]:bounds[-1]], bounds - bounds[0]
+
+
+def labelled_sample(keyed: DataFrame, texts: DataFrame, per_label: int, total: int) -> tuple[DataFrame, DataFrame]:
     """Texts of a bounded sample as (label, text), and the number ``n`` of different texts of each label.
 
     ``keyed`` has label and key, the xxhash64 of the text that ``texts`` has. About ``per_label`` different texts of
-    each of the ``most`` frequent labels are taken, ``total`` at most (all where there are fewer): those whose hash lies
-    in the lowest n-th part, so the same at every run. Only hashes are shuffled and joined; the chosen ones are
-    written, small as they are, and the texts are filtered where they are read. Copies are merged.
+    each label are taken, about ``total`` in all but one of each label at least (all where there are fewer): those whose
+    hash lies in the lowest n-th part, and the lowest, so the same at every run. Only hashes are shuffled and joined; the
+    chosen ones are written, small as they are, and the texts are filtered where they are read. Copies are merged.
     """
     pairs = materialise(keyed.select("label", "key").distinct())
-    sizes = materialise(pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(most))
+    sizes = materialise(pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("lowest")))
     share = max(1, min(per_label, total // max(1, sizes.count())))
     unit = (F.col("key").cast("double") + 2.0 ** 63) / 2.0 ** 64
-    chosen = materialise(pairs.join(sizes, "label").where(unit * F.col("n") < share).select("label", "key").coalesce(1))
+    chosen = materialise(pairs.join(sizes, "label").where((unit * F.col("n") < share) | (F.col("key") == F.col("lowest"))).select("label", "key").coalesce(1))
     found = texts.select("text", F.xxhash64("text").alias("key")).join(chosen, "key")
     return found.groupBy("label", "key").agg(F.min("text").alias("text")).select("label", "text"), sizes
 
 
-def train(labelled: DataFrame, per_label: int = TRAIN_TEXTS) -> dict[str, np.ndarray]:
+def train(labelled: DataFrame, per_label: int = TRAIN_TEXTS, total: int = TRAIN_TOTAL) -> dict[str, np.ndarray]:
     """The field learned from columns text and label (null in either is left out).
 
-    Every label counts, up to the MAX_LANGUAGES most frequent. The result holds at most BUCKETS x languages
-    weights. Without any labelled text it has no names.
+    Every label that occurs is learned, from about ``per_label`` texts, or fewer so that all have about ``total``. The
+    result holds at most WEIGHTS weights, or as many as the sample has features by language. Without any labelled
+    text it has no names.
     """
     rows = labelled.where("text is not null and label is not null").select("text", "label")
-    sample, _ = labelled_sample(rows.select("label", F.xxhash64("text").alias("key")), rows, per_label, TRAIN_TOTAL, MAX_LANGUAGES)
+    sample, _ = labelled_sample(rows.select("label", F.xxhash64("text").alias("key")), rows, per_label, total)
 
     def run(batches):
         texts, labels = [], []
@@ -221,8 +267,9 @@ def language(documents: DataFrame, model, carry: tuple[str, ...] = ()) -> DataFr
         field = model.value
         names = field["names"].tolist()
         weights = field["weights"]
+        limit = X.CHUNK_BYTES * 16 // max(16, len(names))
         for batch in batches:
-            for part, _, _ in X.chunks(batch):
+            for part, _, _ in X.chunks(batch, limit=limit):
                 texts = pc.fill_null(part.column(1), "").to_pylist()
                 words = Words(texts)
                 sizes = np.diff(words.firsts)
@@ -251,11 +298,11 @@ def held_out(doc_id, folds: int, fold: int):
     return F.coalesce(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == fold, F.lit(False))
 
 
-def identify(documents: DataFrame, per_label: int = TRAIN_TEXTS, carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(documents: DataFrame, per_label: int = TRAIN_TEXTS, carry: tuple[str, ...] = (), total: int = TRAIN_TOTAL) -> DataFrame:
     """``language`` with a field learned from the texts and ``lang`` of the rows that are not held out."""
     rows = pick(documents, doc_id="doc_id", text="text", lang="lang")
     outside = held_out(F.col("doc_id"), 4, 2)
-    model = train(rows.where(~outside).select("text", F.col("lang").alias("label")), per_label)
+    model = train(rows.where(~outside).select("text", F.col("lang").alias("label")), per_label, total)
     context = documents.sparkSession.sparkContext
     return language(documents, context.broadcast(model), carry).withColumn("held_out", outside).select(
         "doc_id", "held_out", "lang_pred", "score", "n_words", "n_switches", *carry

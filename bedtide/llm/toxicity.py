@@ -232,7 +232,7 @@ def train(documents: DataFrame, marks: DataFrame, per_class: int = TRAIN_TEXTS,
     rows = documents.where("text is not null").withColumn("key", F.xxhash64("text"))
     keyed = rows.select("doc_id", "key").join(marks.where("label in (0, 1)"), "doc_id").groupBy("label", "key", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     heads = materialise(keyed.groupBy("label", "key").agg(F.min(F.struct("doc_id", "n")).alias("head")).select("label", "key", "head.doc_id", (1 / F.col("head.n")).alias("share")))
-    sample, sizes = labelled_sample(heads, rows, per_class, 2 * per_class, 2)
+    sample, sizes = labelled_sample(heads, rows, per_class, 2 * per_class)
     counts = {r["label"]: r["n"] for r in sizes.collect()}  # two rows at most
     ranked = screened(frequencies(rows.join(heads, ["doc_id", "key"])), (counts[0], counts[1])) if len(counts) == 2 else None
 

@@ -38,6 +38,33 @@ def test_code_switches_are_found():
     assert best == ["en"] * 9 + ["fr"] * 9
 
 
+def syllables(n):
+    return "".join(chr(97 + n // 26 ** k % 26) for k in range(2)) * 2
+
+
+def test_every_label_is_learned(spark):
+    rows = [(230 * j + i, f"{syllables(i)} {syllables(i)}ki {syllables(i)}{'xyz'[j]}", f"l{i:03}") for i in range(230) for j in range(3)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert len(crf.train(frame.select("text", F.col("lang").alias("label")), total=100)["names"]) == 230
+    truth = {r[0]: r[2] for r in rows}
+    got = crf.language(frame, spark.sparkContext.broadcast(crf.train(frame.select("text", F.col("lang").alias("label"))))).collect()
+    assert sum(r.lang_pred == truth[r.doc_id] for r in got) >= 0.97 * len(rows)
+
+
+def test_weights_of_own_features_and_slices(monkeypatch):
+    texts, labels = ([x for i in range(30) for x in (f"{syllables(i)} {syllables(i)}ki", f"{syllables(i)}ra")], [f"l{i:02}" for i in range(30) for _ in range(2)])
+    whole = crf.fit(texts, labels)
+    monkeypatch.setattr(crf, "ENTRIES", 1)
+    for name, value in crf.fit(texts, labels).items():
+        assert name == "names" or np.allclose(*(x["weight"] if name == "weights" else x for x in (value, whole[name])), atol=1e-4)
+    monkeypatch.setattr(crf, "WEIGHTS", 0)
+    field = crf.fit(texts, labels)
+    words = crf.Words(texts)
+    post, _ = crf.posteriors(words.scores(field["weights"])[words.types], words.firsts, field["moves"], field["begin"])
+    best = [field["names"][post[a:b].mean(axis=0).argmax()] for a, b in zip(words.firsts[:-1], words.firsts[1:])]
+    assert len(field["weights"]) < len(whole["weights"]) / 3 and best == labels
+
+
 def test_toxicity_learns(spark, small_dir):
     sf = small_dir.replace("sf0.001", "sf0.01")
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
