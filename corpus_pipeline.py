@@ -18,7 +18,6 @@ from bedtide.llm.winnow import contamination
 from bedtide.session import materialise, utc
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-MIN_SCORE = 0.3  # mean posterior under which no language is taken as found
 
 
 def _documents(docs: DataFrame) -> DataFrame:
@@ -26,9 +25,10 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language, which becomes their ``lang``. Null and letterless texts go."""
+    """Documents with a recognised language, which becomes their ``lang``. Null and letterless texts go; a text shared by
+    several languages stays, however low the mean posterior of each."""
     found = identify(_documents(docs), carry=("text", "source", "n_chars"))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= MIN_SCORE)).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
+    return found.where(F.col("lang_pred") != UNKNOWN).withColumnRenamed("lang_pred", "lang").select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

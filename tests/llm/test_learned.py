@@ -65,6 +65,17 @@ def test_weights_of_own_features_and_slices(monkeypatch):
     assert len(field["weights"]) < len(whole["weights"]) / 3 and best == labels
 
 
+def test_evenly_mixed_texts_stay(spark):
+    import corpus_pipeline
+
+    stretch = {f"l{i}": " ".join(syllables(40 * i + j) for j in range(20)) for i in range(6)}
+    rows = [(100 * i + j, text, lang) for i, (lang, text) in enumerate(stretch.items()) for j in range(12)]
+    rows += [(9000 + j, " ".join(stretch.values()), None) for j in range(3)] + [(9100, "123 !!", "l1")]
+    frame = spark.createDataFrame([(*r, "a", len(r[1])) for r in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in corpus_pipeline.language_stage(spark, frame, "").collect()}
+    assert kept == {r[0] for r in rows} - {9100}
+
+
 def test_toxicity_learns(spark, small_dir):
     sf = small_dir.replace("sf0.001", "sf0.01")
     truth = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
