@@ -42,13 +42,14 @@ def topic_of(text: Column, topics: tuple = TOPICS) -> Column:
 
 
 def weighted_documents(documents: DataFrame, topics: tuple = TOPICS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens) and ``carry`` of each row; tokens are runs without white space. Null
-    sources and languages are a value of their own."""
+    """(doc_id, source, lang, topic, tokens, draw) and ``carry`` of each row; tokens are runs without white space. Null
+    sources and languages are a value of their own. ``draw`` is the id, or the text's hash where there is none."""
     rows = pick(documents, doc_id="doc_id", text="text", source="source", lang="lang", **{f"carry_{i}": c for i, c in enumerate(carry)})
     text = F.coalesce("text", F.lit(""))
     return rows.select(
         "doc_id", *(F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in ("source", "lang")), topic_of(text, topics).alias("topic"),
-        F.regexp_count(text, F.lit(r"[^ \t-\r]+")).cast("bigint").alias("tokens"), *(f"carry_{i}" for i in range(len(carry))),
+        F.regexp_count(text, F.lit(r"[^ \t-\r]+")).cast("bigint").alias("tokens"),
+        F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string")).alias("draw"), *(f"carry_{i}" for i in range(len(carry))),
     )
 
 
@@ -105,8 +106,8 @@ def mix(documents: DataFrame, targets: dict[str, DataFrame] | None = None, topic
     """(doc_id, source, lang, topic, tokens, weight, probability, sample_weight, sampled) and ``carry`` for each row.
 
     ``weight`` is the calibrated weight of the document's tokens, ``probability`` that weight up to one and
-    ``sample_weight`` the weight divided by the probability. ``sampled`` is drawn by a hash of ``seed`` and doc_id, so that it is the same at every run and for repeated
-    rows. Null texts have no tokens; they share the weight of their cell. Without tokens at all every
+    ``sample_weight`` the weight divided by the probability. ``sampled`` is drawn by a hash of ``seed`` and doc_id, or of
+    the text where the id is null, so that it is the same at every run and for repeated rows. Null texts have no tokens; they share the weight of their cell. Without tokens at all every
     weight is 1.
     """
     rows = weighted_documents(documents, topics, carry)
@@ -115,5 +116,5 @@ def mix(documents: DataFrame, targets: dict[str, DataFrame] | None = None, topic
     raked = rake(cells, aims)
     weights = materialise(raked.select(
         *MARGINS, "weight", F.least(F.lit(1.0), "weight").alias("probability"), F.greatest(F.lit(1.0), "weight").alias("sample_weight")))
-    out = rows.join(weights, list(MARGINS)).withColumn("sampled", unit_hash(F.lit(seed), F.col("doc_id")) < F.col("probability"))
+    out = rows.join(weights, list(MARGINS)).withColumn("sampled", unit_hash(F.lit(seed), F.col("draw")) < F.col("probability"))
     return out.select("doc_id", *MARGINS, "tokens", "weight", "probability", "sample_weight", "sampled", *(F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)))

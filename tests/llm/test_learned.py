@@ -143,6 +143,17 @@ def test_marginals_are_met(spark, small_dir):
             assert abs(r.mass / total - aims.get(r[margin], 0) / sum(aims.values())) < 1e-7
 
 
+def test_rows_without_id_have_draws_of_their_own(spark):
+    rows = [(None, f"text {i} of many", "en", "a" if i % 2 else "b", 9) for i in range(400) for _ in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    share = lambda **x: spark.createDataFrame(list(x.items()), "value string, share double")
+    got = raking.mix(frame, {"source": share(a=1.0, b=3.0), "lang": share(en=1.0), "topic": share(prose=1.0)}, carry=("text",)).where("source = 'a'").collect()
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r.text, set()).add(r.sampled)
+    assert all(len(s) == 1 for s in by_text.values()) and 60 < sum(True in s for s in by_text.values()) < 140
+
+
 def test_given_targets(spark):
     rows = [(i, "one two three", "en" if i % 3 else "fr", "a" if i % 2 else "b", 13) for i in range(120)]
     frame = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string, n_chars int")
