@@ -6,14 +6,17 @@ hold. A document is then kept with its cell's weight as probability, or for cert
 one; what the probability can't give stays as the sample's weight, so weighted samples have the target shares
 in expectation.
 
-Cells are a small table that never leaves Spark; a margin's sum is a window over it, and some rounds make one
-job. Documents are read for the cells and once more for the result, and joined to cells as rows, whichever
-source they come from.
+A cell's weight is the product of its three values' factors. Cells and factors are tables that never leave Spark:
+a round reads the cells once for each margin, joins the other margins' factors and sums, map-side first, so that no
+task holds a margin's cells. Only factors are written, so plans stay as small as in the first round. Documents are
+read for the cells and once more for the result, and joined to cells as rows, whichever source they come from.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bedtide.llm.frames import pick
@@ -22,7 +25,7 @@ from bedtide.session import materialise
 MARGINS = ("source", "lang", "topic")
 # Target share of a value: its own share to this power, scaled to sum to one. 1 keeps shares, 0 makes them equal.
 TEMPER = {"source": 0.7, "lang": 0.7, "topic": 0.5}
-TOLERANCE, MAX_ROUNDS, ROUNDS_AT_ONCE = 1e-9, 102, 6
+TOLERANCE, MAX_ROUNDS = 1e-9, 102
 NONE = "(none)"
 # Topics by cues in the text, the first that is found counts.
 TOPICS = (
@@ -69,31 +72,30 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = TOL
     contradict each other the last round's weights are returned, which meet the last margin.
     """
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
-    cells = cells.withColumn("weight", F.lit(1.0))
     if not total:
-        return materialise(cells)
+        return materialise(cells.withColumn("weight", F.lit(1.0)))
+    cells, factors = materialise(cells), {}
     for margin in MARGINS:
         own = cells.groupBy(margin).agg(F.sum("tokens").alias("own"))
         aims = own.where("own > 0").join(targets[margin].withColumnRenamed("value", margin), margin)
         whole = aims.agg(F.sum("share")).first()[0] or 1.0
-        aim = own.join(aims.select(margin, (F.col("share") / F.lit(whole) * total).alias("share")), margin, "left").select(
-            margin, F.when(F.col("own") > 0, F.coalesce("share", F.lit(0.0))).alias(f"aim_{margin}"))
-        cells = cells.join(materialise(aim), margin)
-    cells = materialise(cells)
-    for _ in range(0, max_rounds, ROUNDS_AT_ONCE):
-        for _ in range(ROUNDS_AT_ONCE):
-            cells = cells.withColumn("moved", F.lit(0.0))
-            for margin in MARGINS:
-                mass = F.sum(F.col("tokens") * F.col("weight")).over(Window.partitionBy(margin))
-                factor = F.when(F.col(f"aim_{margin}").isNull(), 1.0).when(F.col("mass") > 0, F.col(f"aim_{margin}") / F.col("mass")).otherwise(0.0)
-                cells = cells.withColumn("mass", mass).withColumn("factor", factor).withColumns({
-                    "weight": F.col("weight") * F.col("factor"),
-                    "moved": F.greatest("moved", F.when(F.col("weight") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0)),
-                }).drop("mass", "factor")
-        cells = materialise(cells)
-        if (cells.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+        factors[margin] = materialise(own.join(aims.select(margin, (F.col("share") / F.lit(whole) * total).alias("share")), margin, "left").select(
+            margin, F.when(F.col("own") > 0, F.coalesce("share", F.lit(0.0))).alias("aim"), F.lit(1.0).alias("factor"), F.lit(0.0).alias("moved")))
+
+    def scaled(*margins: str) -> DataFrame:
+        return reduce(lambda rows, m: rows.join(factors[m].select(m, F.col("factor").alias(f"factor_{m}")), m), margins, cells)
+
+    for _ in range(max_rounds):
+        for margin in MARGINS:
+            first, second = (m for m in MARGINS if m != margin)
+            mass = scaled(first, second).groupBy(margin).agg(F.sum(F.col("tokens") * F.col(f"factor_{first}") * F.col(f"factor_{second}")).alias("mass"))
+            factor = F.when(F.col("aim").isNull(), 1.0).when(F.col("mass") > 0, F.col("aim") / F.col("mass")).otherwise(0.0)
+            moved = F.when(F.col("factor") > 0, F.abs(factor / F.col("factor") - 1)).otherwise(0.0)
+            factors[margin] = materialise(factors[margin].join(mass, margin).select(margin, "aim", factor.alias("factor"), moved.alias("moved")))
+        if reduce(DataFrame.union, (f.select("moved") for f in factors.values())).agg(F.max("moved")).first()[0] <= tolerance:
             break
-    return cells.drop("moved", *(f"aim_{m}" for m in MARGINS))
+    weight = reduce(lambda a, b: a * b, (F.col(f"factor_{m}") for m in MARGINS))
+    return materialise(scaled(*MARGINS).withColumn("weight", weight).drop(*(f"factor_{m}" for m in MARGINS)))
 
 
 def unit_hash(*columns: Column) -> Column:

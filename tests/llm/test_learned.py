@@ -143,6 +143,19 @@ def test_marginals_are_met(spark, small_dir):
             assert abs(r.mass / total - aims.get(r[margin], 0) / sum(aims.values())) < 1e-7
 
 
+def test_margins_are_summed_before_they_are_shuffled(spark, monkeypatch):
+    plans, written = [], raking.materialise
+    monkeypatch.setattr(raking, "materialise", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df))
+    cells = spark.createDataFrame([(f"s{i // 4}", "en" if i % 2 else "fr", "prose" if i // 2 % 2 else "marks", i) for i in range(90)], "source string, lang string, topic string, tokens bigint")
+    aims = {m: written(raking.tempered_targets(cells, m, 0.5)) for m in raking.MARGINS}
+    raked = raking.rake(cells, aims)
+    for margin in raking.MARGINS:
+        want = {r.value: r.share * sum(range(90)) for r in aims[margin].collect()}
+        got = {r[margin]: r.mass for r in raked.groupBy(margin).agg(F.sum(F.col("tokens") * F.col("weight")).alias("mass")).collect()}
+        assert all(abs(got[v] - x) < 1e-5 for v, x in want.items())
+    assert plans and not any("Window" in p for p in plans) and any("partial_sum" in p for p in plans) and max(map(len, plans)) < 20000
+
+
 def test_rows_without_id_have_draws_of_their_own(spark):
     rows = [(None, f"text {i} of many", "en", "a" if i % 2 else "b", 9) for i in range(400) for _ in range(2)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
