@@ -102,3 +102,90 @@ SELECT doc_id, n AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
   sha256(unhex(coalesce(kept_h, h))) AS kept_sha256
 FROM docs LEFT JOIN kept USING (doc_id) LEFT JOIN sums USING (doc_id)
 """
+
+
+def _table() -> list[int]:
+    """The table of crc32 by its polynomial."""
+    found = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        found.append(c)
+    return found
+
+
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of the UTF-8 bytes of ``text``, a byte at a time by the table ``t``."""
+    byte = f"CAST('0x' || substr(hex(encode({text})), 2 * i + 1, 2) AS UINTEGER)"
+    data = f"list_transform(range(strlen({text})), lambda i: {byte})"
+    step = "xor(c >> 8, t[CAST(xor(c & 255, b) AS INTEGER) + 1])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS UINTEGER), {data}), lambda c, b: {step}), CAST(4294967295 AS UINTEGER))"
+
+
+_CRC_TABLE = f"crc_table AS (SELECT CAST({_table()} AS UINTEGER[]) AS t)"
+
+# Near words by patterns: a replaced letter leaves the word around it, a lost one leaves another word of the list.
+SPELLING = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, run, count(*) AS k
+  FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents)
+  WHERE length(run) >= 5 GROUP BY ALL
+),
+hashed AS (SELECT run, k, {_crc32("CAST(doc_id AS VARCHAR) || ':' || run")} AS h FROM runs, crc_table),
+words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n
+  FROM (SELECT k, CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(k) >= 3
+),
+holes AS (
+  SELECT word, n, p, left(word, p) || '_' || substr(word, p + 2) AS replaced, left(word, p) || substr(word, p + 2) AS shorter
+  FROM (SELECT word, n, unnest(range(length(word))) AS p FROM words)
+),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.replaced = b.replaced AND a.p = b.p WHERE a.word <> b.word
+  UNION SELECT w.word, h.word, h.n FROM words w JOIN holes h ON h.shorter = w.word
+  UNION SELECT h.word, w.word, w.n FROM words w JOIN holes h ON h.shorter = w.word
+),
+best AS (
+  SELECT word, n_near, top.other AS other, top.other_n AS other_n
+  FROM (SELECT word, count(*) AS n_near, first(near ORDER BY other_n DESC, other) AS top FROM near GROUP BY word)
+),
+formed AS (
+  SELECT word, n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+    CASE WHEN other_n >= 2 * n THEN other END AS form, CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+),
+chain AS (
+  SELECT word, form AS led FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT chain.word, formed.form FROM chain JOIN formed ON formed.word = chain.led WHERE formed.form IS NOT NULL
+),
+ends AS (SELECT word, led FROM chain WHERE led NOT IN (SELECT word FROM formed WHERE form IS NOT NULL))
+SELECT word, form, coalesce(led, word) AS root, n, n_near, form_n FROM formed LEFT JOIN ends USING (word)
+"""
+
+RESAMPLING = f"""
+WITH {_CRC_TABLE},
+found AS (
+  SELECT 'S' AS side, doc_id, unnest({_words('text')}) AS word FROM documents
+  UNION ALL SELECT 'T', NULL, unnest({_words('text')}) FROM benchmark
+),
+hashed AS (SELECT word, {_crc32('word')} % 10000 AS bucket FROM (SELECT DISTINCT word FROM found), crc_table),
+sums AS (SELECT bucket, count(*) FILTER (side = 'S') AS s, count(*) FILTER (side = 'T') AS t FROM found JOIN hashed USING (word) GROUP BY bucket),
+whole AS (SELECT CAST(coalesce(sum(s), 0) AS DOUBLE) AS ss, CAST(coalesce(sum(t), 0) AS DOUBLE) AS tt FROM sums),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000)))) AS BIGINT) AS gain FROM sums, whole),
+weighed AS (
+  SELECT doc_id, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS BIGINT) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS weight
+  FROM found JOIN hashed USING (word) JOIN gains USING (bucket) WHERE side = 'S' GROUP BY doc_id
+),
+scored AS (
+  SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('2024:' || CAST(doc_id AS VARCHAR)), 1, 8) AS UBIGINT) AS DOUBLE) + 0.5) / 4294967296.0))) AS BIGINT) AS score
+  FROM documents LEFT JOIN weighed USING (doc_id)
+),
+placed AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS whole FROM scored WHERE n_features >= 20
+)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN place <= 10 * whole // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (doc_id)
+"""

@@ -11,10 +11,13 @@ from bedtide.llm.fertility import quality
 from bedtide.llm.fixity import audited_pages
 from bedtide.llm.licenses import license_digest, license_spans
 from bedtide.llm.raking import mix
+from bedtide.llm.resampling import resample
 from bedtide.llm.simhash import simhash_groups
+from bedtide.llm.spelling import spelling_variants
 from bedtide.llm.suffixes import remove_repeats
 from bedtide.llm.toxicity import score_documents
 from bedtide.llm.trie_tokens import token_counts
+from bedtide.llm.wavelets import token_files
 from bedtide.llm.winnow import contamination
 from bedtide.session import utc
 
@@ -64,5 +67,19 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return score_documents(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
-QUERIES = {f.__name__: f for f in [op1_license_scan, op2_suffix_dedup, op3_mixing, op4_fixity, op5_simhash, op6_winnow, op7_fertility, op8_language, op9_token_counts, op10_toxicity]}
-SQL = {"op2_suffix_dedup": oracle.SUFFIXES, "op3_mixing": oracle.MIXING, "op4_fixity": oracle.FIXITY, "op6_winnow": oracle.CONTAMINATION}
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_variants(table(spark, sf, "documents"))
+
+
+def op12_resampling(spark: SparkSession, sf: str) -> DataFrame:
+    return resample(table(spark, sf, "documents"), table(spark, sf, "benchmark")).drop("n_words")
+
+
+def op13_wavelets(spark: SparkSession, sf: str) -> DataFrame:
+    return token_files(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in [op1_license_scan, op2_suffix_dedup, op3_mixing, op4_fixity, op5_simhash, op6_winnow, op7_fertility, op8_language, op9_token_counts, op10_toxicity,
+                                   op11_spelling, op12_resampling, op13_wavelets]}
+SQL = {"op2_suffix_dedup": oracle.SUFFIXES, "op3_mixing": oracle.MIXING, "op4_fixity": oracle.FIXITY, "op6_winnow": oracle.CONTAMINATION,
+       "op11_spelling": oracle.SPELLING, "op12_resampling": oracle.RESAMPLING}
