@@ -87,22 +87,30 @@ def roll_forward(trees, known, history, capacity, shift, constant) -> np.ndarray
     return past[:, MEMORY:]
 
 
-def series_rows(hourly: DataFrame, future: DataFrame, metrics: DataFrame) -> DataFrame:
-    """One row per series. The arrays hold 72 hours and at most 168 steps, so a row stays under 25 KB."""
+def _ordered(value):
+    return F.transform(F.sort_array(F.collect_list(value)), lambda s: s["v"])
+
+
+def recent_history(hourly: DataFrame) -> DataFrame:
+    """(facility_id, department, history), the last 72 hours at most, oldest first."""
     newest_first = Window.partitionBy("facility_id").orderBy(F.desc("ts"))
     tail = hourly.withColumn("back", F.row_number().over(newest_first)).where(F.col("back") <= MEMORY)
-    ordered = lambda value: F.transform(F.sort_array(F.collect_list(value)), lambda s: s["v"])
-    history = (
+    return (
         by_department(tail, "back")
         .groupBy("facility_id", "department")
-        .agg(ordered(F.struct((-F.col("back")).alias("at"), F.col("occupied").alias("v"))).alias("history"))
+        .agg(_ordered(F.struct((-F.col("back")).alias("at"), F.col("occupied").alias("v"))).alias("history"))
     )
+
+
+def series_rows(hourly: DataFrame, future: DataFrame, metrics: DataFrame) -> DataFrame:
+    """One row per series. The arrays hold 72 hours and at most 168 steps, so a row stays under 25 KB."""
+    history = recent_history(hourly)
     numbers = F.array(*[F.col(c).cast("double") for c in KNOWN_FEATURES])
     shift = F.when(F.col("active"), F.col("occupancy_delta")).otherwise(F.lit(0.0))
     ahead = future.groupBy("facility_id", "scenario_id").agg(
         F.min("ts").alias("first_ts"),
-        F.flatten(ordered(F.struct("step", numbers.alias("v")))).alias("known"),
-        ordered(F.struct("step", shift.alias("v"))).alias("shift"),
+        F.flatten(_ordered(F.struct("step", numbers.alias("v")))).alias("known"),
+        _ordered(F.struct("step", shift.alias("v"))).alias("shift"),
     )
     constant = F.array(*C.SERIES_FEATURES).alias("constant")
     return history.join(metrics.select("facility_id", "department", "rmse", "capacity", constant), ["facility_id", "department"]).join(

@@ -19,7 +19,9 @@ from bedtide.operators.training import ForecastModels, model_metrics, train_all
 from bedtide.session import materialise, scratch_path, utc
 from bedtide.sources import sinks
 from bedtide.sources.columns import sniff_kind
-from bedtide.sources.readers import canonical_encounters, canonical_readings, load_hourly, read_raw, split_rejected, too_many_fields
+from bedtide.sources.readers import load_hourly, read_raw, too_many_fields
+from bedtide.sources.staging import accepted, quarantine, write_staged
+from bedtide.sources.staging import staged as stage_rows
 
 
 def clock() -> str:
@@ -75,39 +77,46 @@ class OccupancyEngine:
         """Read and normalise a dataset, train on it, and install both. Returns the dataset status.
 
         A CSV record with more fields than the header refuses the file; a record without a readable time is
-        counted as rejected. Facilities with too few hours stay in the fact and are left out of training, unless
+        set aside with the reason, see ``rejected``. Facilities with too few hours stay in the fact and are left out of training, unless
         ``strict`` refuses them. What fails leaves the dataset and the models that were there.
         """
         quality.check_dataset_name(dataset_name)
-        raw = read_raw(self.spark, path, fmt, multiline)
+        raw = read_raw(self.spark, path, fmt, multiline, with_file=True)
         kind = sniff_kind(raw.columns, kind)
         now = clock()
         stamp = "".join(c for c in now if c.isdigit())
         if keep_raw:
-            # Text is parsed once; the default stays and the hours then read pruned columns of the raw zone.
             sinks.write_raw(raw, f"{self.root}/raw/{kind}", stamp)
             raw = self.spark.read.parquet(f"{self.root}/raw/{kind}/_ingest_id={stamp}")
         wide = too_many_fields(raw).first()
         if wide is not None:
             raise ValueError(f"A record has more fields than the header: {wide.record[:200]}")
+        # Times are read once; the default stays and the hours then read pruned columns of typed rows.
+        staged = f"{self.root}/staged/{stamp}"
+        counted = write_staged(stage_rows(raw, kind), staged)
+        rows = accepted(self.spark, staged)
         if kind == "event":
-            rows, time, source_type = canonical_encounters(raw), "admission_time", "event_level_his"
-            fact = hourly_from_encounters(rows, urgency)
+            fact, source_type = hourly_from_encounters(rows, urgency), "event_level_his"
         else:
-            rows, time, source_type = canonical_readings(raw), "ts", "aggregate_his"
-            fact = hourly_from_readings(rows, derive_outbreak)
-        rejected = split_rejected(rows, time)[1].count()
+            fact, source_type = hourly_from_readings(rows, derive_outbreak), "aggregate_his"
         target = f"{self.root}/hourly/{stamp}"
         sinks.write_hourly(fact, target)
         written = load_hourly(self.spark, target)
         long_enough = quality.trainable(written, strict=strict)
         models = train_all(long_enough, now, **self.learner) if retrain and self.method == "gbt" else None
-        self._set({"hourly_path": target, "source_name": dataset_name, "source_type": source_type, "rejected_rows": str(rejected)}, now)
+        self._set({"hourly_path": target, "staged_path": staged, "source_name": dataset_name, "source_type": source_type, "rejected_rows": str(counted["rejected"])}, now)
         self.models = models
         seeds = state.default_thresholds(facilities_of(written), self._state("thresholds"), self.user, now)
         self._append(seeds, "thresholds")
         return self.dataset_status()
 
+    def rejected(self) -> DataFrame:
+        """The refused records of the installed dataset: file, reason, and the record as delivered."""
+        path = state.get_setting(self._state("settings"), "staged_path")
+        if path is None:
+            raise ValueError("No dataset has been ingested.")
+        return quarantine(self.spark, path)
+
     def issues(self) -> DataFrame:
         """Facilities of the installed dataset that are too short to train on."""
         return quality.short_series(self.hourly())

@@ -163,6 +163,49 @@ SELECT facility_id, patient_id, {micro('admission_time')} AS admission_time, {mi
   department, admission_type, mapped_department, CAST(discharge_imputed AS BIGINT) AS discharge_imputed,
   {iso('ab')} AS admission_bucket, {iso('db')} AS discharge_bucket, CAST(is_emergency AS BIGINT) AS is_emergency FROM clean""")
 
+# --- text files ------------------------------------------------------------------------------------------------
+shown = lambda c: f"date_trunc(CASE facility_id WHEN '1' THEN 'second' ELSE 'minute' END, {c})"
+add("time_formats", "WITH " + EVENT_ENCOUNTERS + f"""
+SELECT facility_id, patient_id, {iso(shown('admission_time'))} AS admission_time, {iso(shown('discharge_time'))} AS discharge_time,
+  department, admission_type FROM enc""")
+
+add("time_votes", "WITH " + EVENT_ENCOUNTERS + """,
+times AS (SELECT facility_id, 'Admission Time' AS "column", admission_time AS t FROM enc
+          UNION ALL SELECT facility_id, 'Departure-Time', discharge_time FROM enc WHERE discharge_time IS NOT NULL),
+parsed AS (
+  SELECT facility_id, "column", CASE facility_id WHEN '0' THEN 'month_first' WHEN '1' THEN 'day_first' WHEN '2' THEN 'year_first' ELSE 'month_name' END AS layout,
+    count(*) AS parsed FROM times GROUP BY ALL
+  UNION ALL
+  SELECT facility_id, "column", CASE facility_id WHEN '0' THEN 'day_first' ELSE 'month_first' END, count(*)
+  FROM times WHERE facility_id IN ('0', '1') AND day(t) <= 12 GROUP BY ALL)
+SELECT facility_id, "column", layout, parsed,
+  CAST(row_number() OVER (PARTITION BY facility_id, "column" ORDER BY parsed DESC, layout = 'day_first') = 1 AS BIGINT) AS chosen FROM parsed""")
+
+as_text = lambda c: f"""CASE facility_id WHEN '0' THEN strftime({c}, '%m/%d/%Y %H:%M') WHEN '1' THEN strftime({c}, '%d/%m/%Y %H:%M:%S')
+  WHEN '2' THEN strftime({c}, '%Y/%m/%d %H:%M') ELSE strftime({c}, '%b %-d, %Y %-I:%M %p') END"""
+SPOILED = EVENT_ENCOUNTERS + f""",
+written AS (
+  SELECT facility_id, patient_id, department, admission_type, discharge_time,
+    CASE WHEN n % 19 = 0 THEN 'n/a' WHEN n % 29 = 0 THEN '31/31/2024 99:00' WHEN n % 37 = 0 THEN NULL WHEN n % 31 = 0 AND facility_id = '0' THEN '25/12/2024 10:00'
+      ELSE {as_text('admission_time')} END AS admission,
+    CASE WHEN n % 19 = 0 OR n % 29 = 0 THEN 'unreadable' WHEN n % 37 = 0 THEN 'missing' WHEN n % 31 = 0 AND facility_id = '0' THEN 'other layout' END AS fault,
+    {as_text('discharge_time')} AS departure
+  FROM (SELECT *, CAST(patient_id AS BIGINT) AS n FROM enc))"""
+source_department = """CASE event_type WHEN 'error' THEN 'ICU' WHEN 'click' THEN 'Emergency Department'
+  WHEN 'view' THEN 'Pediatric Ward' WHEN 'signup' THEN 'Trauma ED' WHEN 'purchase' THEN 'General Ward' END"""
+entry = lambda header, c: f"""CASE WHEN {c} IS NULL THEN '' ELSE ',"{header}":' || to_json({c}) END"""
+add("rejected_rows", "WITH " + SPOILED + f""",
+kinds AS (SELECT CAST(event_id AS VARCHAR) AS patient_id, {source_department} AS unit FROM events)
+SELECT 1 AS has_file, 'admission_time: ' || fault AS reason,
+  '{{"Encounter ID":"' || patient_id || '"' || {entry('Admission Time', 'admission')} || {entry('Departure-Time', 'departure')}
+    || {entry('Care Unit', 'unit')} || ',"Visit Type":"' || admission_type || '","facility_id":"' || facility_id || '"}}' AS record
+FROM written JOIN kinds USING (patient_id) WHERE fault IS NOT NULL""")
+
+add("ingest_report", "WITH " + SPOILED + """
+SELECT count(*) FILTER (fault IS NULL) AS readable, count(discharge_time) FILTER (fault IS NULL) AS discharges, count(*) AS rows, count(fault) AS rejected,
+  count(*) FILTER (fault = 'missing') AS missing, count(*) FILTER (fault = 'other layout') AS other_layout, count(*) FILTER (fault = 'unreadable') AS unreadable,
+  count(*) FILTER (fault IS NULL AND departure IS NULL) AS discharge_missing, 0 AS discharge_other_layout, 0 AS discharge_unreadable FROM written""")
+
 for name, source in [("department_mapping", EVENT_ENCOUNTERS), ("department_mapping_orders", ORDER_ENCOUNTERS)]:
     add(name, "WITH " + source + f""",
 mapped AS (SELECT department, admission_type, {mapping('department', 'admission_type')} AS mapped_department FROM enc)
@@ -370,7 +413,7 @@ ahead AS (SELECT facility_id, scenario_id, step, last + to_hours(CAST(step AS BI
   FROM last_hour JOIN {scenario} USING (facility_id), range(1, 169) s(step) WHERE step <= {horizon})"""
 
 
-add("future_frame", FACT + SCENARIOS + ahead(str(HORIZON)) + "," + dense("fact", C.EXOGENOUS, "slot") + f""",
+FUTURE = "," + dense("fact", C.EXOGENOUS, "slot") + f""",
 projected AS (SELECT a.*, profile_fallback,
   admissions * CASE WHEN active THEN fa ELSE 1 END AS admissions, discharges * CASE WHEN active THEN fd ELSE 1 END AS discharges,
   emergency_cases * CASE WHEN active THEN fe ELSE 1 END AS emergency_cases,
@@ -380,7 +423,8 @@ joint AS (SELECT facility_id, scenario_id, ts, admissions, discharges, emergency
   UNION ALL SELECT facility_id, scenario_id, ts, admissions, discharges, emergency_cases FROM fact JOIN scenario USING (facility_id)),
 rolled AS (SELECT facility_id, scenario_id, ts,
   {commas(f"avg({c}) OVER m24 AS {n}" for c, n in zip(C.EXOGENOUS[:3], C.EXOGENOUS_ROLLING_FEATURES))} FROM joint
-  WINDOW m24 AS (PARTITION BY facility_id, scenario_id ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))
+  WINDOW m24 AS (PARTITION BY facility_id, scenario_id ORDER BY ts ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING))"""
+add("future_frame", FACT + SCENARIOS + ahead(str(HORIZON)) + FUTURE + f"""
 SELECT facility_id, scenario_id, step, {iso('ts')} AS ts, CAST(active AS BIGINT) AS active, round(docc, 6) AS occupancy_delta,
   CAST(profile_fallback AS BIGINT) AS profile_fallback, {calendar()},
   {commas(f"round({c}, 9) AS {c}" for c in C.EXOGENOUS[:3] + C.EXOGENOUS_ROLLING_FEATURES)}, round(outbreak_signal, 6) AS outbreak_signal
@@ -433,6 +477,75 @@ SUMMARY = f"""
 SELECT facility_id, scenario_id, department, {LABEL} AS label, occupied AS peak_occupancy, timestamp AS peak_timestamp, capacity FROM peak"""
 add("what_if_summary", ALL_POINTS + PEAK + SUMMARY)
 
+# --- linear model -------------------------------------------------------------------------------------------------------------------
+# Standardised normal equations, eliminated one feature at a time; the recursion carries the last hours as a list.
+F_, N_ = C.FEATURES, len(C.FEATURES)
+MARKED = TRAINING + f""",
+marked AS (SELECT facility_id, department, {calendar().replace("round(", "(").replace(", 6) + 0.0", ")")}, {commas(f"CAST({c} AS DOUBLE) AS {c}" for c in C.EXOGENOUS + OWN)}, CAST(target AS DOUBLE) AS target,
+  row_number() OVER (PARTITION BY facility_id, department ORDER BY ts) <=
+    greatest(1, floor(count(*) OVER (PARTITION BY facility_id, department) * {real(C.TRAIN_SHARE)})) AS is_train FROM training)"""
+ALL_ = [*F_, "target"]
+add("ridge_moments", MARKED + f""",
+sums AS (SELECT facility_id, department, is_train, count(*) AS n, [{commas([f"{{'one': '{c}', 'other': '', 'total': CAST(sum({c}) AS DOUBLE)}}" for c in ALL_]
+  + [f"{{'one': '{a}', 'other': '{b}', 'total': CAST(sum({a} * {b}) AS DOUBLE)}}" for i, a in enumerate(ALL_) for b in ALL_[i:]])}] AS entries FROM marked GROUP BY ALL)
+SELECT facility_id, department, CAST(is_train AS BIGINT) AS is_train, n, e.one AS one, e.other AS other, round(e.total / n + 1e-9, 6) AS mean
+FROM (SELECT facility_id, department, is_train, n, unnest(entries) AS e FROM sums)""")
+
+
+def fitted(name: str, source: str) -> str:
+    """CTEs that end in ``name`` (facility_id, department, w, c): weights and constant of a fit on the rows of ``source``."""
+    whole = lambda c: f"CAST({c} AS DOUBLE)"
+    return f""",
+{name}_sums AS (SELECT facility_id, department, [{commas(f"avg({whole(c)})" for c in F_)}] AS m, [{commas(f"var_pop({whole(c)})" for c in F_)}] AS v, avg(target) AS my,
+    [{commas(f"avg({whole(c)} * {whole(c)})" for c in F_)}] AS q FROM {source} GROUP BY ALL),
+{name}_scale AS (SELECT *, list_transform(range(1, {N_ + 1}), lambda i: CASE WHEN v[i] <= 1e-12 * greatest(q[i], 1.0) THEN NULL ELSE sqrt(v[i]) END) AS s FROM {name}_sums),
+{name}_z AS (SELECT facility_id, department, target - my AS y, {commas(f"coalesce(({whole(c)} - m[{i}]) / s[{i}], 0.0) AS z{i}" for i, c in enumerate(F_, 1))}
+  FROM {source} JOIN {name}_scale USING (facility_id, department)),
+{name}_matrix AS (SELECT facility_id, department, 0 AS k, [{commas("[" + commas([f"avg(z{i} * z{j})" + (" + 1e-3" if i == j else "") for j in range(1, N_ + 1)] + [f"avg(z{i} * y)"]) + "]" for i in range(1, N_ + 1))}] AS a
+  FROM {name}_z GROUP BY ALL),
+{name}_steps AS (
+  SELECT * FROM {name}_matrix
+  UNION ALL
+  SELECT facility_id, department, k + 1, list_transform(range(1, {N_ + 1}), lambda i: list_transform(range(1, {N_ + 2}), lambda j:
+    CASE WHEN i = k + 1 THEN a[k + 1][j] / a[k + 1][k + 1] ELSE a[i][j] - a[i][k + 1] * a[k + 1][j] / a[k + 1][k + 1] END)) FROM {name}_steps WHERE k < {N_}),
+{name}_weights AS (SELECT facility_id, department, m, my, list_transform(range(1, {N_ + 1}), lambda i: coalesce(a[i][{N_ + 1}] / s[i], 0.0)) AS w
+  FROM {name}_steps JOIN {name}_scale USING (facility_id, department) WHERE k = {N_}),
+{name} AS (SELECT facility_id, department, w, my, my - list_sum(list_transform(range(1, {N_ + 1}), lambda i: w[i] * m[i])) AS c FROM {name}_weights)"""
+
+
+RIDGE = MARKED.replace("WITH ", "WITH RECURSIVE ", 1) + ",\nearly_rows AS (SELECT * FROM marked WHERE is_train)" + fitted("early_fit", "early_rows") + fitted("fit_all", "marked") + f""",
+late AS (SELECT facility_id, department, sqrt(avg(pow(target - c - ({' + '.join(f'w[{i}] * {c}' for i, c in enumerate(F_, 1))}), 2))) AS error
+  FROM marked JOIN early_fit USING (facility_id, department) WHERE NOT is_train GROUP BY ALL),
+ridge AS (SELECT f.*, counted.rows, capacity, greatest(1.5, coalesce(error, 0.15 * spread)) AS rmse
+  FROM fit_all f JOIN (SELECT facility_id, department, count(*) AS rows, stddev_samp(target) AS spread FROM marked GROUP BY ALL) counted USING (facility_id, department)
+  JOIN cap USING (facility_id, department) LEFT JOIN late USING (facility_id, department))"""
+add("ridge_metrics", RIDGE + " SELECT facility_id, department, round(rmse, 5) AS rmse, capacity, rows, 1 AS is_solved FROM ridge")
+
+KNOWN = [c for c in F_ if c not in C.LAG_FEATURES + C.ROLLING_FEATURES]
+at_ = lambda c: F_.index(c) + 1
+RIDGE_POINTS = RIDGE + SCENARIOS + ahead(str(HORIZON)) + FUTURE + f""",
+base AS (SELECT facility_id, department, scenario_id, step, p.ts, capacity, rmse, w,
+    c + {' + '.join(f'w[{at_(c)}] * f.{c}' for c in KNOWN)} AS base, CASE WHEN active THEN docc ELSE 0.0 END AS shift
+  FROM (SELECT facility_id, scenario_id, step, ts, active, docc, {calendar().replace("round(", "(").replace(", 6) + 0.0", ")")}, {commas(C.EXOGENOUS + C.EXOGENOUS_ROLLING_FEATURES)}
+        FROM projected JOIN rolled USING (facility_id, scenario_id, ts)) f
+  JOIN (SELECT facility_id, scenario_id, ts FROM projected) p USING (facility_id, scenario_id, ts) JOIN ridge USING (facility_id)),
+tail AS (SELECT facility_id, department, list(occupied ORDER BY ts) AS h FROM (
+    SELECT facility_id, department, ts, occupied FROM long QUALIFY row_number() OVER (PARTITION BY facility_id, department ORDER BY ts DESC) <= 72) GROUP BY ALL),
+roll AS (
+  SELECT r.facility_id, r.department, s.scenario_id, 0 AS step, CAST(NULL AS TIMESTAMP) AS ts, list_concat(list_transform(range(72 - len(h)), lambda i: my), list_transform(h, lambda x: coalesce(x, my))) AS past
+  FROM ridge r JOIN tail USING (facility_id, department) JOIN (SELECT DISTINCT facility_id, scenario_id FROM scenario) s USING (facility_id)
+  UNION ALL
+  SELECT b.facility_id, b.department, b.scenario_id, b.step, CAST(b.ts AS TIMESTAMP), list_append(past[2:], greatest(0.0, least(CAST(capacity AS DOUBLE), base + shift
+    + {' + '.join(f'w[{at_(f"lag_{k}")}] * past[{73 - k}]' for k in C.TARGET_LAGS)}
+    + {' + '.join(f'w[{at_(f"rolling_mean_{k}")}] * list_sum(past[{73 - k}:72]) / {k}.0e0' for k in C.TARGET_WINDOWS)})))
+  FROM roll JOIN base b ON b.facility_id = roll.facility_id AND b.department = roll.department AND b.scenario_id = roll.scenario_id AND b.step = roll.step + 1),
+value AS (SELECT facility_id, scenario_id, department, step, ts, capacity, rmse, past[72] AS v FROM roll JOIN ridge USING (facility_id, department) WHERE step > 0),
+points AS (SELECT facility_id, scenario_id, department, step, {iso('ts')} AS timestamp, capacity, {r('v', 1)} AS occupied,
+  {r(f'greatest(0.0, v - {real(C.BAND_Z)} * rmse)', 1)} AS lower, {r(f'least(CAST(capacity AS DOUBLE), v + {real(C.BAND_Z)} * rmse)', 1)} AS upper,
+  {r('v / capacity', 3)} AS utilization FROM value)"""
+add("ridge_forecast", RIDGE_POINTS + " SELECT * FROM points")
+add("ridge_what_if", RIDGE_POINTS + PEAK + SUMMARY)
+
 # --- thresholds and alerts ---------------------------------------------------------------------------------------------------------
 UPDATES = f""",
 upd AS (SELECT CAST(user_id % 4 AS VARCHAR) AS facility_id,

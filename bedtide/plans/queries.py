@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from bedtide import config as C
 from bedtide.functions import scalar as S
 from bedtide.operators import alerts as A
-from bedtide.operators import capacity, features, forecast, hourly, kpis, profile, quality, scenarios, state, stays, trends
+from bedtide.operators import capacity, features, forecast, hourly, kpis, profile, quality, ridge, scenarios, state, stays, trends
 from bedtide.operators.recursive import gbt_forecast
 from bedtide.operators.training import ForecastModels, model_metrics, train_all
 from bedtide.session import materialise, scratch_path, utc
-from bedtide.sources import adapters, derived
+from bedtide.sources import adapters, derived, readers, staging, timeformats
 from bedtide.sources.sinks import dataset_manifest
 from bedtide.streaming import flow
 
@@ -87,6 +87,40 @@ def default_stay_orders(spark, sf):
     return stays.default_stays(adapters.encounters_from_orders(spark, sf)).drop("default_stay_micros")
 
 
+# --- text files ----------------------------------------------------------------------------------------
+def time_formats(spark, sf):
+    """Encounters read back from CSV files with four layouts of times and other headers."""
+    rows = readers.read_encounters(spark, derived.event_exports(spark, sf))
+    return _iso(rows, "admission_time", "discharge_time")
+
+
+def time_votes(spark, sf):
+    """What each layout reads in each file, and which is chosen."""
+    raw = readers.read_raw(spark, derived.event_exports(spark, sf), with_file=True)
+    found = timeformats.vote_table(raw, ["Admission Time", "Departure-Time"], [readers.FILE, "facility_id"])
+    return _whole(found.drop(readers.FILE), "chosen")
+
+
+def _spoiled(spark, sf) -> tuple[str, dict[str, int]]:
+    raw = readers.read_raw(spark, derived.event_exports(spark, sf, True), with_file=True)
+    path = scratch_path(spark, "staged")
+    return path, staging.write_staged(staging.staged(raw, "event"), path)
+
+
+def rejected_rows(spark, sf):
+    """Records that an ingest sets aside, with the reason; each is of one of the files."""
+    found = staging.quarantine(spark, _spoiled(spark, sf)[0])
+    return _whole(found.withColumn("file", F.col("file").endswith(".csv")).withColumnRenamed("file", "has_file"), "has_file")
+
+
+def ingest_report(spark, sf):
+    """What was counted while accepted and refused rows were written, beside what there is to read."""
+    path, counted = _spoiled(spark, sf)
+    rows = staging.accepted(spark, path)
+    return rows.agg(F.count(F.lit(1)).alias("readable"), F.count("discharge_time").alias("discharges")).select(
+        "*", *(F.lit(n).cast("bigint").alias(name) for name, n in counted.items()))
+
+
 # --- hourly fact ---------------------------------------------------------------------------------------
 def _flow(occupancy: DataFrame) -> DataFrame:
     return _iso(occupancy, "ts").select("facility_id", "ts", *hourly.FLOWS)
@@ -448,6 +482,42 @@ def gbt_what_if(spark, sf):
     return forecast.scenario_summary(_gbt_points(spark, sf))
 
 
+# --- linear model ---------------------------------------------------------------------------------------------------------
+def ridge_moments(spark, sf):
+    """The sums a fit needs, as means a row, for each series and half of the split; features and target by their names."""
+    found = ridge.moments(features.time_split(features.training_frame(shared_fact(spark, sf))))
+    names = F.array(*[F.struct(F.lit(one).alias("one"), F.lit(other).alias("other")) for one, other in [
+        *((c, "") for c in ridge.COLUMNS), *((ridge.COLUMNS[i], ridge.COLUMNS[j]) for i, j in ridge.PAIRS)]])
+    rows = found.select(*ridge.KEY, "is_train", "n", F.posexplode(F.concat("sums", "products")).alias("at", "total"))
+    rows = rows.withColumn("pair", F.get(names, F.col("at"))).select(*ridge.KEY, "is_train", "n", "pair.one", "pair.other", "total")
+    return _rounded(_whole(rows.withColumn("mean", F.col("total") / F.col("n")).drop("total"), "is_train"), ["mean"], nudge=1e-9)
+
+
+def _ridge(spark, sf):
+    hours = shared_fact(spark, sf)
+    return hours, ridge.train(hours)
+
+
+def ridge_metrics(spark, sf):
+    """Error of each series, and whether its normal equations hold to a millionth."""
+    table = _ridge(spark, sf)[1].table
+    return table.select(*ridge.KEY, F.round("rmse", 5).alias("rmse"), "capacity", "rows", (F.col("residual") < 1e-6).cast("bigint").alias("is_solved"))
+
+
+def _ridge_points(spark, sf, baseline_only=False):
+    hours, models = _ridge(spark, sf)
+    chosen = scenarios.baseline(scenarios.facilities_of(hours)) if baseline_only else _all_scenarios(spark, sf, hours)
+    return ridge.ridge_forecast(hours, models, chosen, HORIZON)
+
+
+def ridge_forecast(spark, sf):
+    return _whole(_ridge_points(spark, sf), "step")
+
+
+def ridge_what_if(spark, sf):
+    return forecast.scenario_summary(_ridge_points(spark, sf))
+
+
 # --- streaming --------------------------------------------------------------------------------------------------------------
 def stream_hourly_flow(spark, sf):
     utc(spark)
@@ -459,6 +529,10 @@ def stream_hourly_flow(spark, sf):
 
 
 REGISTERED: dict[str, Query] = {
+    "time_formats": time_formats,
+    "time_votes": time_votes,
+    "rejected_rows": rejected_rows,
+    "ingest_report": ingest_report,
     "encounters_clean": encounters_clean,
     "department_mapping": department_mapping,
     "department_mapping_orders": department_mapping_orders,
@@ -517,5 +591,9 @@ REGISTERED: dict[str, Query] = {
     "gbt_checks": gbt_checks,
     "gbt_alerts": gbt_alerts,
     "gbt_what_if": gbt_what_if,
+    "ridge_moments": ridge_moments,
+    "ridge_metrics": ridge_metrics,
+    "ridge_forecast": ridge_forecast,
+    "ridge_what_if": ridge_what_if,
     "stream_hourly_flow": stream_hourly_flow,
 }

@@ -1,11 +1,12 @@
-"""State-table inputs derived from whole test tables: threshold updates, scenario payloads, settings."""
+"""Inputs derived from whole test tables: exports as text files, threshold updates, scenario payloads, settings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bedtide.sources.adapters import table
+from bedtide.session import scratch_path
+from bedtide.sources.adapters import event_encounters, table
 
 DEPARTMENT_KEY_OF_EVENT = {
     "error": "icu", "click": "emergency", "view": "pediatric", "purchase": "ward", "signup": "maternity",
@@ -105,3 +106,29 @@ def event_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("props").alias("value"),
         F.col("ts").cast("timestamp").alias("updated_at"),
     )
+
+
+TIME_PATTERN_OF_FACILITY = {"0": "MM/dd/yyyy HH:mm", "1": "dd/MM/yyyy HH:mm:ss", "2": "yyyy/MM/dd HH:mm", "3": "MMM d, yyyy h:mm a"}
+
+
+def event_exports(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> str:
+    """A folder with the events' encounters as CSV files, one for each facility, in the headers of some system and with a layout
+    of times of their own. ``spoiled`` makes some admission times unreadable, of another layout, or empty."""
+    rows = event_encounters(table(spark, sf_dir, "events"))
+
+    def text(c: str):
+        written = F.lit(None).cast("string")
+        for facility, pattern in TIME_PATTERN_OF_FACILITY.items():
+            written = F.when(F.col("facility_id") == facility, F.date_format(c, pattern)).otherwise(written)
+        return written
+
+    admission, number = text("admission_time"), F.col("patient_id").cast("bigint")
+    if spoiled:
+        admission = F.when(number % 19 == 0, "n/a").when(number % 29 == 0, "31/31/2024 99:00").when(number % 37 == 0, F.lit(None)).when(
+            (number % 31 == 0) & (F.col("facility_id") == "0"), "25/12/2024 10:00").otherwise(admission)
+    path = scratch_path(spark, "exports")
+    rows.select(
+        "facility_id", F.col("patient_id").alias("Encounter ID"), admission.alias("Admission Time"), text("discharge_time").alias("Departure-Time"),
+        F.col("department").alias("Care Unit"), F.col("admission_type").alias("Visit Type"),
+    ).repartition("facility_id").write.partitionBy("facility_id").option("header", True).csv(path)
+    return path

@@ -12,17 +12,21 @@ from bedtide import config as C
 from bedtide.functions import scalar as S
 from bedtide.session import utc
 from bedtide.sources.columns import require_columns, resolve_aliases, sniff_kind, with_defaults
+from bedtide.sources.timeformats import with_times
 
-CORRUPT = "_corrupt_record"
+CORRUPT, FILE = "_corrupt_record", "_file"
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool = True) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool = True, with_file: bool = False) -> DataFrame:
     """Raw columns: CSV and JSON values stay text, Parquet and ORC keep their types.
 
     CSV columns are those of the header, all text, with the whole record beside them where its number of fields
     is another one. Quoted fields may hold line breaks; ``multiline=False`` gives that up for splittable files.
+    ``with_file`` adds the file of each row as ``_file``.
     """
     utc(spark)
+    if with_file:
+        return read_raw(spark, path, fmt, multiline).select("*", F.col("_metadata.file_path").alias(FILE))
     if fmt == "csv":
         reader = lambda: spark.read.options(header=True, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE")
         columns = [T.StructField(name, T.StringType()) for name in reader().csv(path).columns]
@@ -41,8 +45,23 @@ def _as_ts(df: DataFrame, column: str):
     return F.col(column).cast("timestamp") if kind.startswith("timestamp") or kind == "date" else S.coerce_ts(F.col(column))
 
 
-def canonical_encounters(df: DataFrame) -> DataFrame:
-    """Any encounter table to the canonical encounter columns; unreadable admissions stay, as NULL."""
+def _timed(df: DataFrame, columns: list[str], keep: tuple[str, ...]) -> DataFrame:
+    """``columns`` as timestamps, and their faults where ``keep`` names them. Typed ones pass, zone-less ones are taken as UTC; text is read
+    as its file's rows vote, or month first where the files aren't known."""
+    kinds = dict(df.dtypes)
+    text = [c for c in columns if not kinds[c].startswith("timestamp") and kinds[c] != "date"]
+    if text:
+        df = with_times(df, text, [FILE] if FILE in df.columns and not df.isStreaming else None)
+    typed = {c: F.col(c).cast("timestamp") for c in columns if c not in text}
+    faults = {f"{c}_fault": F.when(F.col(c).isNull(), "missing") for c in typed if f"{c}_fault" in keep}
+    return df.withColumns(typed | faults)
+
+
+def canonical_encounters(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Any encounter table to the canonical encounter columns; unreadable admissions stay, as NULL.
+
+    ``keep`` names further columns to leave beside them, ``admission_time_fault`` and ``discharge_time_fault`` among them.
+    """
     df = resolve_aliases(df, C.ENCOUNTER_ALIASES)
     if "admission_time" not in df.columns:
         raise ValueError("Encounter dataset requires an admission_time column.")
@@ -50,31 +69,31 @@ def canonical_encounters(df: DataFrame) -> DataFrame:
         "facility_id": C.DEFAULT_FACILITY, "patient_id": None, "discharge_time": None,
         "department": C.DEFAULT_DEPARTMENT_TEXT, "admission_type": "",
     })
-    return df.select(
+    return _timed(df, ["admission_time", "discharge_time"], keep).select(
         F.col("facility_id").cast("string").alias("facility_id"),
         F.col("patient_id").cast("string").alias("patient_id"),
-        _as_ts(df, "admission_time").alias("admission_time"),
-        _as_ts(df, "discharge_time").alias("discharge_time"),
+        "admission_time", "discharge_time",
         F.coalesce(F.col("department").cast("string"), F.lit(C.DEFAULT_DEPARTMENT_TEXT)).alias("department"),
-        F.coalesce(F.col("admission_type").cast("string"), F.lit("")).alias("admission_type"),
+        F.coalesce(F.col("admission_type").cast("string"), F.lit("")).alias("admission_type"), *keep,
     )
 
 
-def canonical_readings(df: DataFrame) -> DataFrame:
+def canonical_readings(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Any reading table to the canonical reading columns.
 
-    ``outbreak_given`` tells whether the source had the column at all, see ``hourly_from_readings``.
+    ``outbreak_given`` tells whether the source had the column at all, see ``hourly_from_readings``. ``keep`` names further
+    columns to leave beside them, ``timestamp_fault`` among them.
     """
     df = resolve_aliases(df, C.READING_ALIASES)
     require_columns(df, ["timestamp", "admissions", "discharges", *C.OCCUPANCY_COLUMNS], "Aggregate dataset")
     given = "outbreak_signal" in df.columns
     df = with_defaults(df, {"facility_id": C.DEFAULT_FACILITY, "emergency_cases": "0", "outbreak_signal": "0"})
     numbers = ["admissions", "discharges", "emergency_cases", "outbreak_signal", *C.OCCUPANCY_COLUMNS]
-    return df.select(
+    return _timed(df, ["timestamp"], keep).select(
         F.col("facility_id").cast("string").alias("facility_id"),
-        _as_ts(df, "timestamp").alias("ts"),
+        F.col("timestamp").alias("ts"),
         *[S.coerce_num(F.col(c)).alias(c) for c in numbers],
-        F.lit(given).alias("outbreak_given"),
+        F.lit(given).alias("outbreak_given"), *keep,
     )
 
 
@@ -83,7 +102,8 @@ def too_many_fields(raw: DataFrame) -> DataFrame:
     if CORRUPT not in raw.columns:
         return raw.limit(0).select(F.lit(None).cast("string").alias("record"))
     fields = F.split(F.col(CORRUPT), ',(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
-    return raw.where(F.col(CORRUPT).isNotNull() & (F.size(fields) > len(raw.columns) - 1)).select(F.col(CORRUPT).alias("record"))
+    header = [c for c in raw.columns if c not in (CORRUPT, FILE)]
+    return raw.where(F.col(CORRUPT).isNotNull() & (F.size(fields) > len(header))).select(F.col(CORRUPT).alias("record"))
 
 
 def split_rejected(df: DataFrame, time_column: str) -> tuple[DataFrame, DataFrame]:
@@ -92,16 +112,17 @@ def split_rejected(df: DataFrame, time_column: str) -> tuple[DataFrame, DataFram
 
 
 def read_encounters(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
-    return canonical_encounters(read_raw(spark, path, fmt, **options))
+    """Encounters of a file or folder; times are read as each file's rows vote."""
+    return canonical_encounters(read_raw(spark, path, fmt, with_file=True, **options))
 
 
 def read_readings(spark: SparkSession, path: str, fmt: str = "csv", **options) -> DataFrame:
-    return canonical_readings(read_raw(spark, path, fmt, **options))
+    return canonical_readings(read_raw(spark, path, fmt, with_file=True, **options))
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str = "csv", kind: str | None = None, **options) -> tuple[str, DataFrame]:
     """Sniff the kind of a file and return (kind, canonical rows)."""
-    raw = read_raw(spark, path, fmt, **options)
+    raw = read_raw(spark, path, fmt, with_file=True, **options)
     kind = sniff_kind(raw.columns, kind)
     return kind, canonical_encounters(raw) if kind == "event" else canonical_readings(raw)
 
