@@ -65,9 +65,9 @@ def offset_words(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     points = np.concatenate([[0], np.cumsum((body & 0xC0) != 0x80, dtype=np.int64)])
     found, strings = [], []
     for a, b in spans.slices(starts, ends):
-        low = starts[a]
-        first, which = spans.distinct(body[low:ends[b - 1]], starts[a:b] - low, ends[a:b] - low)
-        words, piece, at, to = _split([body[starts[a + k]:ends[a + k]].tobytes() for k in first])
+        some, low, high = body[starts[a]:ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]
+        first, which = spans.distinct(some, low, high)
+        words, piece, at, to = _split(spans.strings(some, low[first], high[first]))
         number = np.bincount(piece, minlength=len(first))
         begin = np.cumsum(number) - number
         some = spans.flat(begin[which], number[which])

@@ -10,6 +10,7 @@ gives any single id, how often an id occurs in a range, and, with select, where.
 from __future__ import annotations
 
 import os
+from array import array
 from functools import cache
 from zlib import crc32
 
@@ -22,13 +23,14 @@ from pyspark.sql import functions as F
 from bedtide.llm import spans
 from bedtide.llm import text as X
 from bedtide.llm.frames import pick
-from bedtide.session import materialise, scratch_path
+from bedtide.session import scratch_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 0
 SHARD_TOKENS = 1 << 22
+BYTES_PER_TOKEN = 3  # about; sets the number of ranges only
 BLOCK = 512  # bits between two counts of a plane
-HELD_PIECES = 300_000  # distinct pieces whose ids a worker remembers
+HELD_PIECES = 600_000  # distinct pieces whose ids a worker remembers
 COLUMNS = ["shard", "n_tokens", "doc_ids", "sizes", "zeros", "planes", "counts"]
 
 
@@ -47,8 +49,9 @@ def tokenizer(path: str | None = None):
 
 
 _HELD: dict[bytes, bytes] = {}
+_BLANK, _BREAK, _MARK = 1, 2, 3
+_KIND = np.array([_BLANK if b == 0x20 else _BREAK if b == 0x0A else _MARK if 0x21 <= b <= 0x7E and not chr(b).isalnum() and b != 0x27 else 0 for b in range(256)], np.uint8)
 _LETTER = X.byte_class(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
-_MARK = X.byte_class(lambda b: 0x21 <= b <= 0x7E and not chr(b).isalnum() and b != 0x27)
 _GRAPHIC = X.byte_class(lambda b: 0x21 <= b <= 0x7E)
 _LEAD = X.byte_class(lambda b: 0xC3 <= b <= 0xDF)  # of characters of two bytes, none of them white space
 
@@ -60,17 +63,20 @@ def cuts(body: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     always begins at a single blank between two visible characters, ends before an ASCII mark other than the apostrophe, and a single
     line break between visible ASCII characters stands alone. Cuts are made there and nowhere else, and where texts meet.
     """
-    n = len(body)
-    around = np.zeros(n + 4, np.uint8)
+    kind = _KIND[body]
+    around = np.zeros(len(body) + 4, np.uint8)
     around[2:-2] = body
-    before2, before, after = around[:n], around[1:n + 1], around[3:n + 3]
-    seen_before = _GRAPHIC[before] | (_LEAD[before2] & (before >= 0x80) & (before < 0xC0))
-    cut = np.zeros(n + 1, bool)
-    cut[:-1] = (body == 0x20) & seen_before & (_GRAPHIC[after] | _LEAD[after])
-    cut[:-1] |= _LETTER[before] & _MARK[body]
-    breaks = np.flatnonzero((body == 0x0A) & _GRAPHIC[before] & _GRAPHIC[after])
-    cut[breaks] = True
-    cut[breaks + 1] = True
+    before2, before, after = around[:-4], around[1:-3], around[3:-1]
+    cut = np.zeros(len(body) + 1, bool)
+    at = np.flatnonzero(kind == _BLANK)
+    seen = _GRAPHIC[before[at]] | (_LEAD[before2[at]] & (before[at] >= 0x80))
+    cut[at[seen & (_GRAPHIC | _LEAD)[after[at]]]] = True
+    at = np.flatnonzero(kind == _MARK)
+    cut[at[_LETTER[before[at]]]] = True
+    at = np.flatnonzero(kind == _BREAK)
+    at = at[_GRAPHIC[before[at]] & _GRAPHIC[after[at]]]
+    cut[at] = True
+    cut[at + 1] = True
     cut[offsets] = True
     places = np.flatnonzero(cut)
     return places[:-1], places[1:]
@@ -82,14 +88,14 @@ def token_ids(body: np.ndarray, offsets: np.ndarray, path: str | None = None) ->
     owner = np.searchsorted(offsets[1:], starts, "right")
     parts, sizes = [np.zeros(0, np.uint32)], np.zeros(len(offsets) - 1, np.int64)
     for a, b in spans.slices(starts, ends):
-        low = starts[a]
-        first, which = spans.distinct(body[low:ends[b - 1]], starts[a:b] - low, ends[a:b] - low)
-        pieces = [body[starts[a + k]:ends[a + k]].tobytes() for k in first]
+        some, low, high = body[starts[a]:ends[b - 1]], starts[a:b] - starts[a], ends[a:b] - starts[a]
+        first, which = spans.distinct(some, low, high)
+        pieces = spans.strings(some, low[first], high[first])
         if len(_HELD) > HELD_PIECES:
             _HELD.clear()
         new = [p for p in pieces if p not in _HELD]
         for p, found in zip(new, tokenizer(path).encode_batch_fast([p.decode() for p in new], add_special_tokens=False)):
-            _HELD[p] = np.array(found.ids, np.uint32).tobytes()
+            _HELD[p] = array("I", found.ids).tobytes()
         held = [_HELD[p] for p in pieces]
         number = np.array([len(h) >> 2 for h in held], np.int64)
         begin = np.cumsum(number) - number
@@ -103,22 +109,6 @@ def with_end(ids: np.ndarray, sizes: np.ndarray, end_id: int) -> tuple[np.ndarra
     return np.insert(ids, np.cumsum(sizes), end_id), sizes + 1
 
 
-def encoded(documents: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids, n_tokens), the ids as little-endian numbers of 32 bits."""
-    rows = pick(documents, doc_id="doc_id", text="text")
-
-    def run(batches):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        for batch in batches:
-            for part, body, offsets in X.chunks(batch):
-                ids, sizes = with_end(*token_ids(body, offsets, path), end_id)
-                ends = np.concatenate([[0], np.cumsum(sizes)]) * 4
-                blobs = pa.LargeBinaryArray.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
-                yield pa.RecordBatch.from_arrays([part.column(0), blobs.cast(pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "ids", "n_tokens"])
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids binary, n_tokens bigint")
-
-
 # --- the wavelet matrix --------------------------------------------------------------------------------------
 def build(ids: np.ndarray, bits: int) -> tuple[list[bytes], list[bytes], list[int]]:
     """Planes, their counts of ones before every block, and their numbers of zeros."""
@@ -215,37 +205,45 @@ class WaveletMatrix:
 
 
 # --- files ---------------------------------------------------------------------------------------------------
-def shards(tokens: DataFrame, bits: int, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """(shard, n_tokens, doc_ids, sizes, zeros, planes, counts), shards in the order of doc_id."""
-    total = tokens.agg(F.sum("n_tokens").alias("n")).first().n or 0
-    ordered = tokens.repartitionByRange(max(1, -(-total // shard_tokens)), "doc_id", "row").sortWithinPartitions("doc_id", "row")
-    kind = tokens.schema["doc_id"].dataType.simpleString()
+def shards(documents: DataFrame, tokenizer_path: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """(shard, n_tokens, doc_ids, sizes, zeros, planes, counts), shards in the order of doc_id.
+
+    Documents are dealt out by ranges of doc_id; where many rows share one, by their place in the table too.
+    """
+    rows = pick(documents, doc_id="doc_id", text="text").withColumn("row", F.monotonically_increasing_id())
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    ordered = rows.repartitionByRange(max(1, -(-size // (BYTES_PER_TOKEN * shard_tokens))), "doc_id", "row").sortWithinPartitions("doc_id", "row")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    bits = max(tokenizer(tokenizer_path).get_vocab_size() - 1, end_id, 1).bit_length()
 
     def run(batches):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         first, number = TaskContext.get().partitionId() << 32, 0
-        names, blobs, held, id_type = [], [], 0, None
+        names, sizes, ids, id_type = [], [], [], None
 
         def shard():
-            planes, counts, zeros = build(np.frombuffer(b"".join(blobs), "<u4"), bits)
+            found = np.concatenate(ids)
+            planes, counts, zeros = build(found, bits)
             one = lambda values, kind: pa.array([values], pa.list_(kind))
             return pa.RecordBatch.from_arrays([
-                pa.array([first + number], pa.int64()), pa.array([held], pa.int64()), one(names, id_type), one([len(b) >> 2 for b in blobs], pa.int32()),
+                pa.array([first + number], pa.int64()), pa.array([len(found)], pa.int64()), one(names, id_type), one(sizes, pa.int32()),
                 one(zeros, pa.int64()), one(planes, pa.binary()), one(counts, pa.binary()),
             ], names=COLUMNS)
 
         for batch in batches:
             id_type = batch.column(0).type
-            for name, blob in zip(batch.column(0), batch.column(1)):
-                names.append(name.as_py())
-                blobs.append(blob.as_py())
-                held += len(blobs[-1]) >> 2
-                if held >= shard_tokens:
+            for part, body, offsets in X.chunks(batch):
+                found, length = with_end(*token_ids(body, offsets, tokenizer_path), end_id)
+                names += part.column(0).to_pylist()
+                sizes += length.tolist()
+                ids.append(found.astype(np.uint16 if bits <= 16 else np.uint32))
+                if sum(map(len, ids)) >= shard_tokens:
                     yield shard()
-                    names, blobs, held, number = [], [], 0, number + 1
-        if blobs:
+                    names, sizes, ids, number = [], [], [], number + 1
+        if names:
             yield shard()
 
-    return ordered.select("doc_id", "ids").mapInArrow(
+    return ordered.select("doc_id", "text").mapInArrow(
         run, f"shard bigint, n_tokens bigint, doc_ids array<{kind}>, sizes array<int>, zeros array<bigint>, planes array<binary>, counts array<binary>")
 
 
@@ -253,12 +251,10 @@ def write_shards(documents: DataFrame, path: str, tokenizer_path: str | None = N
     """Encode ``documents`` (doc_id, text) and write their shards to the folder ``path``, a file each.
 
     Null and empty texts have the end id alone; rows without doc_id come first; rows of one doc_id keep the order in which
-    they were read; an empty table gives an empty folder of shards. Other columns are not read. A document is never cut,
-    so a shard may exceed ``shard_tokens`` by one document.
+    they were read; an empty table gives an empty folder of shards. Other columns are not read. A document is never cut, and some
+    megabytes of documents are encoded at once, so a shard may exceed ``shard_tokens`` by those.
     """
-    tokens = materialise(encoded(documents, tokenizer_path, end_id).withColumn("row", F.monotonically_increasing_id()))
-    bits = max(tokenizer(tokenizer_path).get_vocab_size() - 1, end_id, 1).bit_length()
-    shards(tokens, bits, shard_tokens).write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path)
+    shards(documents, tokenizer_path, end_id, shard_tokens).write.option("maxRecordsPerFile", 1).option("compression", "zstd").parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
