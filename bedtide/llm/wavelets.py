@@ -258,24 +258,36 @@ def write_shards(documents: DataFrame, path: str, tokenizer_path: str | None = N
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shards of a folder; ``start`` is the place of a shard's first id in the whole corpus."""
-    files = spark.read.parquet(path)
-    rising = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row for millions of ids
-    begins = files.select("shard", F.coalesce(F.sum("n_tokens").over(rising), F.lit(0)).alias("start"))
-    return files.join(begins, "shard")
+    return spark.read.parquet(path)
+
+
+def begins(shards: DataFrame) -> DataFrame:
+    """(shard, start, n_tokens): the place of each shard's first id in the whole corpus. One row stands for millions of ids."""
+    before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    return shards.select("shard", F.coalesce(before, F.lit(0)).alias("start"), "n_tokens")
 
 
 def _each(shards: DataFrame, found, schema: str) -> DataFrame:
-    """``found(matrix, start, doc_ids, bounds)`` of every shard, as rows of ``schema``."""
+    """``found(matrix, doc_ids, bounds, asked)`` of every shard, as rows of ``schema`` behind the shard's number. Planes stay where
+    they are read; ``asked`` is the shard's column of that name, if it has one."""
+    columns = ["shard", "n_tokens", "doc_ids", "sizes", "zeros", "planes", "counts", *(c for c in shards.columns if c == "asked")]
+
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                n, start, ids, sizes, zeros, planes, counts = (batch.column(c)[r] for c in range(7))
+                shard, n, ids, sizes, zeros, planes, counts, *asked = (batch.column(c)[r] for c in range(batch.num_columns))
                 matrix = WaveletMatrix(n.as_py(), planes.as_py(), counts.as_py(), zeros.as_py())
                 bounds = np.concatenate([[0], np.cumsum(sizes.values.to_numpy(), dtype=np.int64)])
-                yield found(matrix, start.as_py(), ids.values, bounds)
+                rows = found(matrix, ids.values, bounds, *asked)
+                size = len(next(iter(rows.values())))
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(size, shard.as_py(), np.int64)), **rows})
+
+    return shards.select(*columns).mapInArrow(run, f"shard bigint, {schema}")
+
 
-    return shards.select("n_tokens", "start", "doc_ids", "sizes", "zeros", "planes", "counts").mapInArrow(run, schema)
+def _in_corpus(rows: DataFrame, shards: DataFrame, place: str) -> DataFrame:
+    """``rows`` with ``place``, counted from the shard's beginning, counted from the corpus's."""
+    return rows.join(begins(shards).select("shard", F.col("start").alias("_start")), "shard").withColumn(place, F.col(place) + F.col("_start")).drop("shard", "_start")
 
 
 def _id_type(shards: DataFrame) -> str:
@@ -284,43 +296,46 @@ def _id_type(shards: DataFrame) -> str:
 
 def document_table(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document, from the planes."""
-    def found(matrix, start, doc_ids, bounds):
+    def found(matrix, doc_ids, bounds):
         ids = memoryview(matrix.all().astype("<u4")).cast("B")
         sums = [crc32(ids[4 * a:4 * b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-        return pa.RecordBatch.from_arrays([doc_ids, pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        return {"doc_id": doc_ids, "start": pa.array(bounds[:-1]), "n_tokens": pa.array(np.diff(bounds)), "ids_crc32": pa.array(sums, pa.int64())}
 
-    return _each(shards, found, f"doc_id {_id_type(shards)}, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return _in_corpus(_each(shards, found, f"doc_id {_id_type(shards)}, start bigint, n_tokens bigint, ids_crc32 bigint"), shards, "start")
 
 
 def occurrences(shards: DataFrame, token: int) -> DataFrame:
     """(doc_id, position, place) of each occurrence of ``token``: its position in the document and in the corpus."""
-    def found(matrix, start, doc_ids, bounds):
+    def found(matrix, doc_ids, bounds):
         at = matrix.places(token)
         owner = np.searchsorted(bounds, at, "right") - 1
-        return pa.RecordBatch.from_arrays([doc_ids.take(pa.array(owner)), pa.array(at - bounds[owner]), pa.array(at + start)], names=["doc_id", "position", "place"])
+        return {"doc_id": doc_ids.take(pa.array(owner)), "position": pa.array(at - bounds[owner]), "place": pa.array(at)}
 
-    return _each(shards, found, f"doc_id {_id_type(shards)}, position bigint, place bigint")
+    return _in_corpus(_each(shards, found, f"doc_id {_id_type(shards)}, position bigint, place bigint"), shards, "place")
 
 
 def token_frequency(shards: DataFrame, token: int) -> DataFrame:
     """(doc_id, n) of the documents that have ``token``: two ranks a plane for each document."""
-    def found(matrix, start, doc_ids, bounds):
+    def found(matrix, doc_ids, bounds):
         n = matrix.count(token, bounds[:-1], bounds[1:])
         some = np.flatnonzero(n)
-        return pa.RecordBatch.from_arrays([doc_ids.take(pa.array(some)), pa.array(n[some])], names=["doc_id", "n"])
+        return {"doc_id": doc_ids.take(pa.array(some)), "n": pa.array(n[some])}
 
-    return _each(shards, found, f"doc_id {_id_type(shards)}, n bigint")
+    return _each(shards, found, f"doc_id {_id_type(shards)}, n bigint").drop("shard")
 
 
 def tokens_at(shards: DataFrame, places: list[int]) -> DataFrame:
-    """(place, token) of the ids at the given places of the corpus; a place beyond its end has no row."""
-    wanted = np.unique(np.array(places, np.int64))
+    """(place, token) of the ids at the given places of the corpus; a place beyond its end has no row. Shards without any of the
+    places are not opened."""
+    wanted = F.explode(F.array(*[F.lit(int(p)).cast("bigint") for p in sorted(set(places))])).alias("place")
+    inside = (F.col("place") >= F.col("start")) & (F.col("place") < F.col("start") + F.col("n_tokens"))
+    asked = begins(shards).select("shard", "start", "n_tokens", wanted).where(inside).groupBy("shard").agg(F.collect_set(F.col("place") - F.col("start")).alias("asked"))
 
-    def found(matrix, start, doc_ids, bounds):
-        here = wanted[(wanted >= start) & (wanted < start + matrix.n)]
-        return pa.RecordBatch.from_arrays([pa.array(here), pa.array(matrix.access(here - start).astype(np.int64))], names=["place", "token"])
+    def found(matrix, doc_ids, bounds, asked):
+        here = np.sort(asked.values.to_numpy())
+        return {"place": pa.array(here), "token": pa.array(matrix.access(here).astype(np.int64))}
 
-    return _each(shards, found, "place bigint, token bigint")
+    return _in_corpus(_each(shards.join(F.broadcast(asked), "shard"), found, "place bigint, token bigint"), shards, "place")
 
 
 def token_files(documents: DataFrame, tokenizer_path: str | None = None, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
