@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from bedtide import config as C
 from bedtide.functions import scalar as S
 from bedtide.operators.signal import with_outbreak_signal
+from bedtide.operators.span import main_spans, within_span
 from bedtide.operators.stays import clean_encounters
+from bedtide.session import materialise
 from bedtide.sources.readers import total_occupied
 
 FLOWS = ["admissions", "discharges", "emergency_cases"]
@@ -26,14 +28,17 @@ def by_time(first: int | None = None, last: int = 0):
 def fill_hours(sparse: DataFrame, flows: list[str], levels: list[str], gap_level: str) -> DataFrame:
     """Give every facility one row per hour between its first and last one.
 
-    Each row is repeated up to the next one of its facility, which replaces a spine and a join. In the
-    added hours flows are 0; levels are carried (``gap_level="carry"``) or NULL (``"null"``).
+    Each row is repeated up to the next one of its facility, day by day and then hour by hour, which replaces a spine
+    and a join. In the added hours flows are 0; levels are carried (``gap_level="carry"``) or NULL (``"null"``).
     """
     following = F.lead("ts").over(Window.partitionBy("facility_id").orderBy("ts"))
     until = F.coalesce(S.plus_hours(F.col("next_ts"), F.lit(-1)), F.col("ts"))
-    filled = sparse.withColumn("next_ts", following).withColumn(
-        "hour_ts", F.explode(F.sequence("ts", until, F.expr("INTERVAL 1 HOUR")))
+    day = lambda c: F.date_trunc("day", c)
+    days = sparse.withColumn("next_ts", following).withColumn("until", until).withColumn(
+        "day_ts", F.explode(F.sequence(day("ts"), day("until"), F.expr("INTERVAL 1 DAY")))
     )
+    last = F.least("until", S.plus_hours(F.col("day_ts"), F.lit(23)))
+    filled = days.withColumn("hour_ts", F.explode(F.sequence(F.greatest("ts", "day_ts"), last, F.expr("INTERVAL 1 HOUR"))))
     own = F.col("hour_ts") == F.col("ts")
     level = (lambda c: F.col(c)) if gap_level == "carry" else (lambda c: F.when(own, F.col(c)))
     return filled.select(
@@ -79,8 +84,13 @@ def hourly_occupancy(clean: DataFrame) -> DataFrame:
     return filled.withColumn("total_occupied", total_occupied())
 
 
-def hourly_from_encounters(encounters: DataFrame, urgency: str = "reference") -> DataFrame:
-    """Canonical encounters to the complete hourly fact."""
+def hourly_from_encounters(encounters: DataFrame, urgency: str = "reference", max_gap_days: int | None = None) -> DataFrame:
+    """Canonical encounters to the complete hourly fact.
+
+    With ``max_gap_days`` only the encounters within each facility's span count, see ``span.within_span``.
+    """
+    if max_gap_days is not None:
+        encounters = within_span(encounters, materialise(main_spans(encounters, max_gap_days)), max_gap_days)
     return with_outbreak_signal(hourly_occupancy(clean_encounters(encounters, urgency)))
 
 

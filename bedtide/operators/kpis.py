@@ -70,6 +70,22 @@ def overview_hospital(hourly: DataFrame) -> DataFrame:
     )
 
 
+def overview_rollup(hourly: DataFrame) -> DataFrame:
+    """Capacity, occupied and free beds and utilization at three levels in one aggregate: department, facility, and the network
+    of all facilities, each as it stands at its own last hour. A NULL key stands for all of its values."""
+    entries = ", ".join(f"'{d}', latest_{d}_occupied, {d}_capacity" for d in C.DEPARTMENTS)
+    long = _with_capacities(snapshot(hourly)).select("facility_id", F.expr(f"stack({len(C.DEPARTMENTS)}, {entries}) AS (department, beds, capacity)"))
+    rolled = long.rollup("facility_id", "department").agg(
+        F.grouping_id().alias("level"), F.sum("capacity").alias("capacity"), F.sum("beds").alias("beds"), F.count(F.lit(1)).alias("series"))
+    level = F.when(F.col("level") == 0, "department").when(F.col("level") == 1, "facility").otherwise("network")
+    return rolled.select(
+        level.alias("level"), "facility_id", "department", "series", "capacity",
+        S.round_binary(F.col("beds"), 1).alias("occupied"),
+        S.round_binary(F.col("capacity") - F.col("beds"), 1).alias("available"),
+        S.round_binary(S.utilization(F.col("beds"), F.col("capacity")), 3).alias("utilization"),
+    )
+
+
 def admission_patterns(hourly: DataFrame) -> DataFrame:
     """Hour and weekday with the highest mean admissions.
 

@@ -2,7 +2,8 @@
 
 Each table is a log of rows; the newest row of a key is its state. Writing is appending, so a reader never
 sees a half-replaced table, and a batch that is written twice leaves the same state. Every write has the next
-sequence number of its log, which decides between equal times; a log has one writer at a time. Every function
+sequence number of its log, which decides between equal times; a log has one writer at a time. ``compact`` replaces what
+was written so far by one row a key, so that reading costs the keys and what was written since. Every function
 takes ``now`` instead of reading a clock.
 """
 
@@ -170,13 +171,16 @@ def list_scenarios(scenarios: DataFrame) -> DataFrame:
     return scenarios.orderBy(F.desc("updated_at"), F.desc("id"), "facility_id")
 
 
-def get_scenario(scenarios: DataFrame, facility_id: str, scenario_id: int) -> DataFrame:
-    """One scenario with its last summary decoded."""
+def decoded(scenarios: DataFrame) -> DataFrame:
+    """``scenarios`` with their last summaries decoded."""
     summary = "struct<generated_at:string,summary:array<struct<department:string,label:string," \
               "peak_occupancy:double,peak_timestamp:string,capacity:int>>>"
-    return scenarios.where((F.col("facility_id") == facility_id) & (F.col("id") == scenario_id)).withColumn(
-        "last_run_summary", F.from_json("last_run_summary", summary)
-    )
+    return scenarios.withColumn("last_run_summary", F.from_json("last_run_summary", summary))
+
+
+def get_scenario(scenarios: DataFrame, facility_id: str, scenario_id: int) -> DataFrame:
+    """One scenario with its last summary decoded."""
+    return decoded(scenarios.where((F.col("facility_id") == facility_id) & (F.col("id") == scenario_id)))
 
 
 def run_summaries(summary: DataFrame, now: str) -> DataFrame:
@@ -217,33 +221,74 @@ def latest_metadata(history: DataFrame) -> DataFrame:
 LOG_COLUMNS = "deleted boolean, logged_at timestamp, sequence bigint"
 
 
-def log_path(root: str, name: str) -> str:
-    return f"{root.rstrip('/')}/{name}"
+POINTER = "generation bigint, sequence bigint"
+
+
+def _place(root: str, name: str, part: str) -> str:
+    return f"{root.rstrip('/')}/{name}/{part}"
+
+
+def _log_schema(name: str) -> str:
+    return f"{SCHEMAS[name]}, {LOG_COLUMNS}"
 
 
 def create_log(spark: SparkSession, root: str, name: str) -> None:
-    spark.createDataFrame([], f"{SCHEMAS[name]}, {LOG_COLUMNS}").write.mode("ignore").parquet(log_path(root, name))
+    """An empty log: its pointers, and the first tail that writes go to."""
+    spark.createDataFrame([], POINTER).write.mode("ignore").parquet(_place(root, name, "pointers"))
+    spark.createDataFrame([], _log_schema(name)).write.mode("ignore").parquet(_place(root, name, "tail-0"))
+
+
+def pointer(spark: SparkSession, root: str, name: str) -> tuple[int, int]:
+    """(generation, last sequence number in its snapshot) of the log's newest snapshot; (0, 0) before the first."""
+    newest = spark.read.schema(POINTER).parquet(_place(root, name, "pointers")).agg(F.max(F.struct("generation", "sequence")).alias("p")).first().p
+    return (newest.generation, newest.sequence) if newest else (0, 0)
+
+
+def read_tail(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The rows written since the newest snapshot."""
+    return spark.read.schema(_log_schema(name)).parquet(_place(root, name, f"tail-{pointer(spark, root, name)[0]}"))
 
 
 def read_log(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.schema(f"{SCHEMAS[name]}, {LOG_COLUMNS}").parquet(log_path(root, name))
+    """The newest snapshot, which holds one row for each key ever written, and the tail; earlier files are not read."""
+    generation, _ = pointer(spark, root, name)
+    parts = [f"tail-{generation}"] + ([f"snapshot-{generation}"] if generation else [])
+    return spark.read.schema(_log_schema(name)).parquet(*(_place(root, name, part) for part in parts))
+
+
+def _newest_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return latest(read_log(spark, root, name), KEYS[name], F.struct("logged_at", "sequence"))
 
 
 def read_state(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The newest row of every key that was not deleted."""
-    newest = latest(read_log(spark, root, name), KEYS[name], F.struct("logged_at", "sequence"))
-    return newest.where("NOT deleted").drop("deleted", "logged_at", "sequence")
+    return _newest_rows(spark, root, name).where("NOT deleted").drop("deleted", "logged_at", "sequence")
 
 
 def next_sequence(spark: SparkSession, root: str, name: str) -> int:
-    return (read_log(spark, root, name).agg(F.max("sequence")).first()[0] or 0) + 1
+    last = read_tail(spark, root, name).agg(F.max("sequence")).first()[0]
+    return max(last or 0, pointer(spark, root, name)[1]) + 1
 
 
 def append_log(rows: DataFrame, root: str, name: str, logged_at: str, deleted: bool = False) -> None:
-    sequence = next_sequence(rows.sparkSession, root, name)
-    stamped = rows.withColumns({"deleted": F.lit(deleted), "logged_at": at(logged_at), "sequence": F.lit(sequence)})
-    target = rows.sparkSession.createDataFrame([], f"{SCHEMAS[name]}, {LOG_COLUMNS}").schema
-    stamped.select(*[F.col(f.name).cast(f.dataType) for f in target]).write.mode("append").parquet(log_path(root, name))
+    spark = rows.sparkSession
+    stamped = rows.withColumns({"deleted": F.lit(deleted), "logged_at": at(logged_at), "sequence": F.lit(next_sequence(spark, root, name))})
+    target = spark.createDataFrame([], _log_schema(name)).schema
+    columns = [F.col(f.name).cast(f.dataType) for f in target]
+    stamped.select(*columns).write.mode("append").parquet(_place(root, name, f"tail-{pointer(spark, root, name)[0]}"))
+
+
+def compact(spark: SparkSession, root: str, name: str) -> int:
+    """Write the newest row of every key, deleted ones included, as a snapshot and begin a new tail; its generation.
+
+    The pointer is written last: a reader sees the old snapshot and tail or the new ones, and what a broken attempt left is
+    overwritten by the next. Earlier files stay for readers that began with them. A log has one writer at a time.
+    """
+    generation, sequence = pointer(spark, root, name)[0] + 1, next_sequence(spark, root, name) - 1
+    _newest_rows(spark, root, name).write.mode("overwrite").parquet(_place(root, name, f"snapshot-{generation}"))
+    spark.createDataFrame([], _log_schema(name)).write.mode("overwrite").parquet(_place(root, name, f"tail-{generation}"))
+    spark.createDataFrame([(generation, sequence)], POINTER).coalesce(1).write.mode("append").parquet(_place(root, name, "pointers"))
+    return generation
 
 
 def last_ids(spark: SparkSession, root: str) -> DataFrame:

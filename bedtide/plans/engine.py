@@ -42,6 +42,14 @@ class OccupancyEngine:
         for name in state.SCHEMAS:
             state.create_log(spark, self._state_root, name)
 
+    def branch(self, root: str) -> OccupancyEngine:
+        """An engine at another root on the dataset installed here, with default thresholds and no scenarios, alerts or models."""
+        other = OccupancyEngine(self.spark, root, self.method, self.learner, self.user)
+        settings, now = self._state("settings"), clock()
+        other._append(materialise(settings.withColumn("updated_at", state.at(now))), "settings")
+        other._append(state.default_thresholds(facilities_of(other.hourly()), None, self.user, now), "thresholds")
+        return other
+
     # --- places -------------------------------------------------------------------------------
     @property
     def _state_root(self) -> str:
@@ -61,6 +69,10 @@ class OccupancyEngine:
     def _append(self, rows: DataFrame, name: str, deleted: bool = False) -> None:
         state.append_log(rows, self._state_root, name, clock(), deleted)
 
+    def compact(self) -> dict[str, int]:
+        """Make every state table a snapshot, so that reading it costs its keys and not its past; the generations."""
+        return {name: state.compact(self.spark, self._state_root, name) for name in state.SCHEMAS}
+
     def _set(self, values: dict[str, str], now: str) -> None:
         """One write for all values: a reader sees them together or not at all."""
         rows = self.spark.createDataFrame(list(values.items()), "key string, value string").withColumn("updated_at", state.at(now))

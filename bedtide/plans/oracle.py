@@ -226,6 +226,27 @@ add("hourly_total", BASE + f" SELECT facility_id, {iso('ts')} AS ts, {commas(OCC
 add("occupancy_by_overlap", BASE + f"""
 SELECT s.facility_id, c.mapped_department AS department, {iso('s.ts')} AS ts, CAST(count(*) AS DOUBLE) AS occupied
 FROM spine s JOIN clean c ON s.facility_id = c.facility_id AND c.ab <= s.ts AND s.ts < c.db GROUP BY ALL""")
+add("occupancy_by_range_join", ORACLE["occupancy_by_overlap"])
+add("occupancy_by_range_join_volume", VOLUME + LONG_OUT + " WHERE occupied > 0")
+STRAYS = EVENT_ENCOUNTERS.replace("enc AS (", "plain AS (", 1) + """,
+strays AS (SELECT * REPLACE (
+    CASE WHEN CAST(patient_id AS BIGINT) % 251 = 0 THEN TIMESTAMP '0202-01-02 03:00:00' WHEN CAST(patient_id AS BIGINT) % 241 = 0 THEN TIMESTAMP '9998-06-01 05:00:00' ELSE admission_time END AS admission_time,
+    CASE WHEN CAST(patient_id AS BIGINT) % 41 = 0 THEN TIMESTAMP '9999-12-31 00:00:00' ELSE discharge_time END AS discharge_time) FROM plain),
+days AS (SELECT facility_id, CAST(admission_time AS DATE) AS day, count(*) AS n FROM strays GROUP BY ALL),
+opened AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY facility_id ORDER BY day) <= 366 THEN 0 ELSE 1 END AS opens FROM days),
+runs AS (SELECT *, sum(opens) OVER (PARTITION BY facility_id ORDER BY day) AS run FROM opened),
+sizes AS (SELECT facility_id, run, sum(n) AS n, min(day) AS first_day, max(day) AS last_day FROM runs GROUP BY ALL),
+spans AS (SELECT * FROM sizes QUALIFY row_number() OVER (PARTITION BY facility_id ORDER BY n DESC, last_day DESC) = 1),
+judged AS (SELECT strays.*, CASE WHEN CAST(admission_time AS DATE) NOT BETWEEN first_day AND last_day THEN 'admission outside span'
+    WHEN CAST(discharge_time AS DATE) > last_day + 366 THEN 'discharge outside span' END AS issue FROM strays JOIN spans USING (facility_id))"""
+add("robust_hours", "WITH " + STRAYS + """,
+enc AS (SELECT * EXCLUDE (issue) REPLACE (CASE WHEN issue IS NULL THEN discharge_time END AS discharge_time) FROM judged WHERE issue IS NULL OR issue LIKE 'discharge%')""" + "," + cleaning() + "," + SPINE + "," + LONG + LONG_OUT)
+add("span_issues", "WITH " + STRAYS + f"""
+SELECT facility_id, issue, count(*) AS rows, {iso("min(CASE WHEN issue LIKE 'ad%' THEN admission_time ELSE discharge_time END)")} AS first_time,
+  {iso("max(CASE WHEN issue LIKE 'ad%' THEN admission_time ELSE discharge_time END)")} AS last_time FROM judged WHERE issue IS NOT NULL GROUP BY ALL""")
+add("default_stay_sketch", "WITH " + EVENT_ENCOUNTERS + f"""
+SELECT facility_id, round(median(epoch_us(discharge_time) - epoch_us(admission_time)) / {HOUR_US}.0e0, 6) AS median_hours, count(*) AS rows, 1 AS is_close
+FROM enc WHERE discharge_time IS NOT NULL GROUP BY facility_id""")
 add("hourly_occupancy_volume", VOLUME + LONG_OUT)
 add("hourly_flow_volume", VOLUME + FLOW)
 add("outbreak_signal", FACT + f" SELECT facility_id, {iso('ts')} AS ts, round(outbreak_signal, 6) AS outbreak_signal FROM fact")
@@ -308,6 +329,12 @@ add("overview_departments", FACT + overview_departments("fact"))
 add("overview_departments_as_of", FACT + CUT + overview_departments("cut"))
 add("overview_hospital", FACT + overview_hospital("fact"))
 add("overview_hospital_as_of", FACT + CUT + overview_hospital("cut"))
+add("overview_rollup", BASE + f""",
+newest AS (SELECT facility_id, department, arg_max(occupied, ts) AS beds FROM long GROUP BY ALL)
+SELECT CASE WHEN grouping(facility_id) = 1 THEN 'network' WHEN grouping(department) = 1 THEN 'facility' ELSE 'department' END AS level,
+  facility_id, department, count(*) AS series, CAST(sum(capacity) AS BIGINT) AS capacity, {r('sum(beds)', 1)} AS occupied, {r('sum(capacity) - sum(beds)', 1)} AS available,
+  {r('sum(beds) / sum(capacity)', 3)} AS utilization
+FROM newest JOIN cap USING (facility_id, department) GROUP BY GROUPING SETS ((facility_id, department), (facility_id), ())""")
 add("overview_analytics", FACT + f""",
 by_hour AS (SELECT facility_id, hour(ts) AS h, avg(admissions) AS m FROM fact GROUP BY ALL),
 by_day AS (SELECT facility_id, dayname(ts) AS d, avg(admissions) AS m FROM fact GROUP BY ALL),
@@ -587,6 +614,13 @@ SELECT *, row_number() OVER (PARTITION BY facility_id, scenario_id ORDER BY util
 add("alerts", CUT_POINTS + UPDATES + breaches("stored") + RANKED)
 add("alerts_override", CUT_POINTS + breaches(real(OVERRIDE)) + RANKED)
 add("what_if_alerts", ALL_POINTS + UPDATES + breaches("stored") + RANKED)
+add("thresholds_from_snapshot", BASE + UPDATES + f""",
+batch AS (SELECT *, request_id % 3 AS b FROM upd WHERE request_id NOT IN (SELECT request_id FROM bad)
+  QUALIFY row_number() OVER (PARTITION BY facility_id, department, b ORDER BY updated_at DESC, utilization_threshold DESC, updated_by DESC) = 1),
+written AS (SELECT facility_id, department, utilization_threshold, updated_by, updated_at, b FROM batch
+  UNION ALL SELECT facility_id, department, {real(0.9)}, 'admin', TIMESTAMP '2024-01-01 00:00:00', -1 FROM cap)
+SELECT facility_id, department, utilization_threshold, updated_by, {iso('updated_at')} AS updated_at, (SELECT 2 * count(*) FROM batch WHERE b = 2) AS tail_rows
+FROM written QUALIFY row_number() OVER (PARTITION BY facility_id, department ORDER BY b DESC) = 1""")
 add("thresholds", BASE + UPDATES + f" SELECT facility_id, department, utilization_threshold, updated_by, {iso('updated_at')} AS updated_at FROM stored")
 add("threshold_violations", BASE + UPDATES + f"""
 SELECT facility_id, department, round(utilization_threshold, 6) AS utilization_threshold, updated_by, {iso('updated_at')} AS updated_at,
@@ -658,7 +692,38 @@ add("metadata_history", BASE + META + f"""
 SELECT facility_id, 'whole' AS source_name, 'event_level_his' AS source_type, rows, coverage_start, coverage_end,
   {commas(f"{d} AS capacity_{d}" for d in D)}, '{NOW[2]}' AS recorded_at FROM meta JOIN caps USING (facility_id)""")
 
+# --- the engine, end to end -----------------------------------------------------------------------------------------------------------
+add("engine_status", BASE + META + f"""
+SELECT facility_id, 'Events export' AS source_name, 'event_level_his' AS source_type, rows, coverage_start, coverage_end,
+  {commas(f"{d} AS capacity_{d}" for d in D)}, CAST(NULL AS VARCHAR) AS trained_at, CAST(0 AS BIGINT) AS rejected_rows FROM meta JOIN caps USING (facility_id)""")
+NOW_ROWS = overview_departments("fact")
+add("engine_dashboard", FACT + SCENARIOS + PLAIN + ERRORS + points(str(HORIZON), "plain") + PEAK + f""",
+shown AS (WITH {(FACT + NOW_ROWS)[5:]}),
+figures AS ({ORACLE["overview_analytics"]})
+SELECT p.facility_id, p.department, {LABEL.replace("department", "p.department", 1)} AS label, p.capacity, n AS horizon_hours, p.occupied AS peak_occupancy, p.timestamp AS peak_timestamp,
+  s.occupied, s.available, s.utilization, s.delta_24h, {real(0.9)} AS utilization_threshold, peak_admission_hour, busiest_day
+FROM peak p JOIN shown s ON s.facility_id = p.facility_id AND s.department = p.department JOIN figures f ON f.facility_id = p.facility_id""")
+FIXED_CUT = ",\ntotal AS (SELECT * FROM whole WHERE ts <= TIMESTAMP '2024-01-20 00:00:00')"
+FIXED_BASE = CUT_BASE.replace(CUT_TOTAL, FIXED_CUT)
+add("engine_alerts", FIXED_BASE + SCENARIOS + PLAIN + ERRORS + points(str(HORIZON), "plain") + breaches(real(OVERRIDE)) + """,
+history AS (SELECT row_number() OVER (PARTITION BY facility_id ORDER BY utilization DESC, department, timestamp, threshold) AS id, facility_id, department, label,
+  timestamp AS forecast_timestamp, utilization, threshold, severity, message FROM alerts)
+SELECT *, row_number() OVER (PARTITION BY facility_id ORDER BY forecast_timestamp DESC, id DESC) AS position FROM history""")
+MADE = """,
+booked AS (SELECT facility_id, id AS scenario_id, name, admissions_multiplier AS fa, discharges_multiplier AS fd, emergency_multiplier AS fe,
+  outbreak_delta AS dout, occupancy_delta AS docc, duration_hours AS duration FROM made)"""
+MADE_POINTS = BASE + "," + TABLE + SCENARIOS + MADE + ERRORS + points("greatest(6, least(168, duration))", "booked") + PEAK
+add("engine_simulation", MADE_POINTS + f"""
+SELECT p.facility_id, p.scenario_id, department, {LABEL} AS label, occupied AS peak_occupancy, timestamp AS peak_timestamp, capacity, m.name, 1 AS is_stored
+FROM peak p JOIN made m ON m.facility_id = p.facility_id AND m.id = p.scenario_id""")
+add("engine_scenarios", MADE_POINTS + f"""
+SELECT p.facility_id, m.id, m.name, department, {LABEL} AS label, occupied AS peak_occupancy, timestamp AS peak_timestamp, CAST(capacity AS BIGINT) AS capacity
+FROM peak p JOIN made m ON m.facility_id = p.facility_id AND m.id = p.scenario_id""")
+
 # --- streaming: hours closed by the slower of the two watermarks --------------------------------------------------------------------------------
+CLOSED = SPINE.replace("max(db) AS hi", "(SELECT max(ab) FROM clean) - INTERVAL 3 HOUR AS hi")
+add("stream_hourly_occupancy", "WITH " + EVENT_ENCOUNTERS + "," + cleaning() + "," + CLOSED + f"""
+SELECT facility_id, {iso('ts')} AS ts, admissions, discharges, emergency_cases, {commas(OCC)} FROM total""")
 add("stream_hourly_flow", BASE + f""",
 mark AS (SELECT least(max(ab), max(db)) - INTERVAL 2 HOUR AS w FROM clean)
 SELECT facility_id, {iso('ts')} AS ts, admissions, discharges, emergency_cases FROM total, mark

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from bedtide import config as C
 from bedtide.functions import scalar as S
 from bedtide.operators import alerts as A
-from bedtide.operators import capacity, features, forecast, hourly, kpis, profile, quality, ridge, scenarios, state, stays, trends
+from bedtide.operators import capacity, features, forecast, hourly, intervals, kpis, profile, quality, ridge, scenarios, span, state, stays, trends
 from bedtide.operators.recursive import gbt_forecast
 from bedtide.operators.training import ForecastModels, model_metrics, train_all
+from bedtide.plans.engine import OccupancyEngine
 from bedtide.session import materialise, scratch_path, utc
 from bedtide.sources import adapters, derived, readers, staging, timeformats
 from bedtide.sources.sinks import dataset_manifest
-from bedtide.streaming import flow
+from bedtide.streaming import flow, running
 
 Query = Callable[[SparkSession, str], DataFrame]
 HORIZON, OVERRIDE = 48, 0.6
@@ -87,6 +88,14 @@ def default_stay_orders(spark, sf):
     return stays.default_stays(adapters.encounters_from_orders(spark, sf)).drop("default_stay_micros")
 
 
+def default_stay_sketch(spark, sf):
+    """The exact median stay beside that of a sketch: whether the sketch's rank is within 2 % of the middle."""
+    lengths = materialise(stays.stay_lengths(events(spark, sf)))
+    exact, errors = stays.median_stays(lengths), stays.rank_errors(lengths, stays.sketched_median_stays(lengths))
+    found = exact.select("facility_id", (F.col("median_micros") / F.lit(float(S.MICROS_PER_HOUR))).alias("median_hours")).join(errors, "facility_id")
+    return found.select("facility_id", F.round("median_hours", 6).alias("median_hours"), "rows", (F.col("rank_error") <= 0.02).cast("bigint").alias("is_close"))
+
+
 # --- text files ----------------------------------------------------------------------------------------
 def time_formats(spark, sf):
     """Encounters read back from CSV files with four layouts of times and other headers."""
@@ -148,6 +157,30 @@ def occupancy_by_overlap(spark, sf):
     return _iso(hourly.occupancy_by_overlap(stays.clean_encounters(events(spark, sf))), "ts")
 
 
+def occupancy_by_range_join(spark, sf):
+    return _iso(intervals.occupancy_by_range_join(stays.clean_encounters(events(spark, sf))), "ts")
+
+
+def occupancy_by_range_join_volume(spark, sf):
+    return _iso(intervals.occupancy_by_range_join(_volume(spark, sf)), "ts")
+
+
+def _spanned(spark, sf):
+    """Encounters with strays among them, and the span of each facility."""
+    strays = materialise(derived.stray_encounters(spark, sf))
+    return strays, materialise(span.main_spans(strays))
+
+
+def robust_hours(spark, sf):
+    """Hourly occupancy of the encounters within each facility's span."""
+    strays, spans = _spanned(spark, sf)
+    return _iso(hourly.by_department(hourly.hourly_occupancy(stays.clean_encounters(span.within_span(strays, spans)))), "ts")
+
+
+def span_issues(spark, sf):
+    return _iso(span.span_issues(*_spanned(spark, sf)), "first_time", "last_time")
+
+
 def _volume(spark, sf):
     """Order encounters, joined once and written: both the default stays and the hours are read from them."""
     return stays.clean_encounters(materialise(adapters.encounters_from_orders(spark, sf).drop("patient_id")))
@@ -222,6 +255,10 @@ def overview_hospital_as_of(spark, sf):
     return kpis.overview_hospital(hourly.up_to_last_admission(fact(spark, sf)))
 
 
+def overview_rollup(spark, sf):
+    return kpis.overview_rollup(fact(spark, sf))
+
+
 def overview_analytics(spark, sf):
     return kpis.overview_analytics(shared_fact(spark, sf))
 
@@ -347,6 +384,27 @@ def thresholds(spark, sf):
     return _iso(_stored_thresholds(spark, sf), "updated_at")
 
 
+def thresholds_from_snapshot(spark, sf):
+    """Thresholds written in three batches with two compactions between them, the last batch twice; beside each row, how many
+    rows had to be read behind the snapshot."""
+    root = scratch_path(spark, "thresholds")
+    known = materialise(capacity.capacities(hourly.hourly_occupancy(stays.clean_encounters(events(spark, sf)))))
+    accepted = materialise(quality.accepted_updates(derived.threshold_updates(spark, sf), known))
+    put = lambda rows, now: state.append_log(rows, root, "thresholds", now)
+    state.create_log(spark, root, "thresholds")
+    put(state.default_thresholds(scenarios.facilities_of(known), None, "admin", "2024-01-01 00:00:00"), NOW[1])
+    for number, now in enumerate((NOW[2], NOW[3], NOW[4])):
+        batch = accepted.where(F.col("request_id") % 3 == number).drop("request_id")
+        newest = state.latest(batch, state.THRESHOLD_KEY, F.struct("updated_at", "utilization_threshold", "updated_by"))
+        put(newest, now)
+        if number < 2:
+            state.compact(spark, root, "thresholds")
+        else:
+            put(newest, now)
+    tail = state.read_tail(spark, root, "thresholds").count()
+    return _iso(state.read_state(spark, root, "thresholds"), "updated_at").withColumn("tail_rows", F.lit(tail).cast("bigint"))
+
+
 def threshold_violations(spark, sf):
     known = capacity.capacities(hourly.hourly_occupancy(stays.clean_encounters(events(spark, sf))))
     return _rounded(
@@ -482,6 +540,62 @@ def gbt_what_if(spark, sf):
     return forecast.scenario_summary(_gbt_points(spark, sf))
 
 
+# --- the engine, end to end --------------------------------------------------------------------------------------------------
+_ENGINES: dict[tuple[str, str], OccupancyEngine] = {}
+AS_OF = "2024-01-20 00:00:00"
+
+
+def installed(spark, sf) -> OccupancyEngine:
+    """An engine that has ingested the events' encounters, once per application and data folder."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _ENGINES:
+        path = scratch_path(spark, "delivery")
+        adapters.event_encounters(adapters.table(spark, sf, "events")).write.parquet(path)
+        engine = OccupancyEngine(spark, scratch_path(spark, "engine"), method="profile")
+        engine.ingest(path, "Events export", fmt="parquet")
+        _ENGINES[key] = engine
+    return _ENGINES[key]
+
+
+def engine_status(spark, sf):
+    return installed(spark, sf).dataset_status()
+
+
+def engine_dashboard(spark, sf):
+    """What one screen shows of each department: figures of now, the peak to come, and the threshold."""
+    screen = installed(spark, sf).dashboard(HORIZON)
+    now = screen["overview"]["departments"].drop("label", "capacity", "is_critical")
+    peaks = screen["summaries"].select("facility_id", "department", "label", "capacity", "horizon_hours", "peak_occupancy", "peak_timestamp")
+    rows = peaks.join(now, ["facility_id", "department"]).join(screen["thresholds"], ["facility_id", "department"])
+    return _whole(rows.join(screen["overview"]["analytics"].select("facility_id", "peak_admission_hour", "busiest_day"), "facility_id"), "horizon_hours")
+
+
+def engine_alerts(spark, sf):
+    """Alerts found as of a time, as the history then lists them; finding them twice changes nothing."""
+    root = scratch_path(spark, "engine")
+    engine = installed(spark, sf).branch(root)
+    for _ in range(2):
+        engine.alerts(HORIZON, OVERRIDE, as_of=AS_OF)
+    return _whole(engine.alert_history(200).drop("created_at"), "position")
+
+
+def engine_simulation(spark, sf):
+    """Scenarios saved and simulated through the engine: the summaries returned, beside whether they were stored."""
+    engine = installed(spark, sf).branch(scratch_path(spark, "engine"))
+    engine.save_scenarios(quality.valid_scenarios(derived.scenario_inserts(spark, sf)))
+    summary = engine.simulate(engine.scenarios().select(*state.SCENARIO_KEY))["summary"]
+    stored = engine.scenarios().select("facility_id", F.col("id").alias("scenario_id"), "name", F.col("last_run_summary").isNotNull().cast("bigint").alias("is_stored"))
+    return summary.join(stored, ["facility_id", "scenario_id"])
+
+
+def engine_scenarios(spark, sf):
+    """Saved scenarios as they stand after they ran: what is stored of each run, decoded."""
+    engine = installed(spark, sf).branch(scratch_path(spark, "engine"))
+    engine.save_scenarios(quality.valid_scenarios(derived.scenario_inserts(spark, sf)))
+    engine.simulate(engine.scenarios().select(*state.SCENARIO_KEY))
+    return state.decoded(engine.scenarios()).select("facility_id", "id", "name", F.inline("last_run_summary.summary")).withColumn("capacity", F.col("capacity").cast("bigint"))
+
+
 # --- linear model ---------------------------------------------------------------------------------------------------------
 def ridge_moments(spark, sf):
     """The sums a fit needs, as means a row, for each series and half of the split; features and target by their names."""
@@ -528,7 +642,19 @@ def stream_hourly_flow(spark, sf):
     return _iso(flow.run_available(closed, scratch_path(spark, "stream"), scratch_path(spark, "stream-log")), "ts")
 
 
+def stream_hourly_occupancy(spark, sf):
+    """Occupancy of closed hours, carried in the state of a stream."""
+    utc(spark)
+    stream = spark.readStream.schema(adapters.table(spark, sf, "events").schema).parquet(f"{sf}/events*.parquet")
+    encounters = adapters.canonical_encounters(adapters.event_encounters(stream))
+    closed = running.stream_hourly_occupancy(encounters, materialise(stays.default_stays(events(spark, sf))))
+    path = scratch_path(spark, "stream")
+    running.run_occupancy(closed, path, scratch_path(spark, "stream-log"))
+    return _iso(spark.read.schema(closed.schema).parquet(path), "ts")
+
+
 REGISTERED: dict[str, Query] = {
+    "stream_hourly_occupancy": stream_hourly_occupancy,
     "time_formats": time_formats,
     "time_votes": time_votes,
     "rejected_rows": rejected_rows,
@@ -543,6 +669,12 @@ REGISTERED: dict[str, Query] = {
     "hourly_occupancy": hourly_occupancy,
     "hourly_total": hourly_total,
     "occupancy_by_overlap": occupancy_by_overlap,
+    "occupancy_by_range_join": occupancy_by_range_join,
+    "occupancy_by_range_join_volume": occupancy_by_range_join_volume,
+    "robust_hours": robust_hours,
+    "span_issues": span_issues,
+    "default_stay_sketch": default_stay_sketch,
+    "overview_rollup": overview_rollup,
     "hourly_occupancy_volume": hourly_occupancy_volume,
     "hourly_flow_volume": hourly_flow_volume,
     "hourly_readings": hourly_readings,
@@ -577,6 +709,7 @@ REGISTERED: dict[str, Query] = {
     "alerts_override": alerts_override,
     "what_if_alerts": what_if_alerts,
     "thresholds": thresholds,
+    "thresholds_from_snapshot": thresholds_from_snapshot,
     "threshold_violations": threshold_violations,
     "alert_merge": alert_merge,
     "alert_history": alert_history,
@@ -591,6 +724,11 @@ REGISTERED: dict[str, Query] = {
     "gbt_checks": gbt_checks,
     "gbt_alerts": gbt_alerts,
     "gbt_what_if": gbt_what_if,
+    "engine_status": engine_status,
+    "engine_dashboard": engine_dashboard,
+    "engine_alerts": engine_alerts,
+    "engine_simulation": engine_simulation,
+    "engine_scenarios": engine_scenarios,
     "ridge_moments": ridge_moments,
     "ridge_metrics": ridge_metrics,
     "ridge_forecast": ridge_forecast,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bedtide.session import scratch_path
 from bedtide.sources.adapters import event_encounters, table
+from bedtide.sources.readers import canonical_encounters
 
 DEPARTMENT_KEY_OF_EVENT = {
     "error": "icu", "click": "emergency", "view": "pediatric", "purchase": "ward", "signup": "maternity",
@@ -132,3 +133,13 @@ def event_exports(spark: SparkSession, sf_dir: str, spoiled: bool = False) -> st
         F.col("department").alias("Care Unit"), F.col("admission_type").alias("Visit Type"),
     ).repartition("facility_id").write.partitionBy("facility_id").option("header", True).csv(path)
     return path
+
+
+def stray_encounters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events' encounters, some of them dated millennia away, some with a discharge that stands for "still here"."""
+    rows = event_encounters(table(spark, sf_dir, "events"))
+    number = F.col("patient_id").cast("bigint")
+    at = lambda text: F.lit(text).cast("timestamp")
+    admission = F.when(number % 251 == 0, at("0202-01-02 03:00:00")).when(number % 241 == 0, at("9998-06-01 05:00:00")).otherwise(F.col("admission_time"))
+    discharge = F.when(number % 41 == 0, at("9999-12-31 00:00:00")).otherwise(F.col("discharge_time"))
+    return canonical_encounters(rows.withColumns({"admission_time": admission, "discharge_time": discharge}))

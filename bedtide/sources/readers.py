@@ -12,26 +12,32 @@ from bedtide import config as C
 from bedtide.functions import scalar as S
 from bedtide.session import utc
 from bedtide.sources.columns import require_columns, resolve_aliases, sniff_kind, with_defaults
+from bedtide.sources.csvsplits import read_quoted_csv
 from bedtide.sources.timeformats import with_times
 
 CORRUPT, FILE = "_corrupt_record", "_file"
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool = True, with_file: bool = False) -> DataFrame:
+def read_raw(spark: SparkSession, path: str, fmt: str = "csv", multiline: bool = True, with_file: bool = False, split: bool = True) -> DataFrame:
     """Raw columns: CSV and JSON values stay text, Parquet and ORC keep their types.
 
     CSV columns are those of the header, all text, with the whole record beside them where its number of fields
-    is another one. Quoted fields may hold line breaks; ``multiline=False`` gives that up for splittable files.
+    is another one. Quoted fields may hold line breaks; files are read in byte ranges all the same. ``split=False`` reads each
+    whole by one task instead, with Spark's own reader; ``multiline=False`` takes every line for a record.
     ``with_file`` adds the file of each row as ``_file``.
     """
     utc(spark)
-    if with_file:
-        return read_raw(spark, path, fmt, multiline).select("*", F.col("_metadata.file_path").alias(FILE))
     if fmt == "csv":
         reader = lambda: spark.read.options(header=True, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE")
-        columns = [T.StructField(name, T.StringType()) for name in reader().csv(path).columns]
-        schema = T.StructType([*columns, T.StructField(CORRUPT, T.StringType())])
-        return reader().option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", False).schema(schema).csv(path)
+        names = reader().csv(path).columns
+        if multiline and split:
+            rows = read_quoted_csv(spark, path, names, CORRUPT, FILE)
+            return rows if with_file else rows.drop(FILE)
+        schema = T.StructType([*(T.StructField(name, T.StringType()) for name in names), T.StructField(CORRUPT, T.StringType())])
+        rows = reader().option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", False).schema(schema).csv(path)
+        return rows.select("*", F.col("_metadata.file_path").alias(FILE)) if with_file else rows
+    if with_file:
+        return read_raw(spark, path, fmt).select("*", F.col("_metadata.file_path").alias(FILE))
     if fmt == "json":
         return spark.read.option("primitivesAsString", True).option("columnNameOfCorruptRecord", CORRUPT).json(path)
     if fmt in ("parquet", "orc"):

@@ -56,15 +56,17 @@ def run_available(flow: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return flow.sparkSession.read.schema(flow.schema).parquet(path)
 
 
-def alert_sink(alerts: DataFrame, root: str, checkpoint: str, now: str) -> StreamingQuery:
+def alert_sink(alerts: DataFrame, root: str, checkpoint: str, now: str, compact_every: int = 50) -> StreamingQuery:
     """Upsert a stream of history rows, batch by batch. A batch that is retried finds its alerts known and
-    leaves the same history."""
+    leaves the same history. Every ``compact_every`` batches the history becomes a snapshot."""
     spark = alerts.sparkSession
     state.create_log(spark, root, "alert_history")
 
-    def upsert(batch: DataFrame, _: int) -> None:
+    def upsert(batch: DataFrame, number: int) -> None:
         existing = state.read_state(batch.sparkSession, root, "alert_history")
         state.append_log(state.alert_changes(existing, batch), root, "alert_history", now)
+        if number % compact_every == compact_every - 1:
+            state.compact(batch.sparkSession, root, "alert_history")
 
     return (
         alerts.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
