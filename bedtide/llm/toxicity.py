@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from bedtide.llm import text as X
 from bedtide.llm.crf import _packed, _unpacked, held_out, labelled_sample
 from bedtide.llm.frames import pick
+from bedtide.llm.suffixes import pack_sorted, unpack_sorted
 from bedtide.session import materialise
 
 BUCKETS = 1 << 20
@@ -144,14 +145,13 @@ def _changes(texts: list[str], identities: tuple, column: np.ndarray, width: int
     return Sparse(parts, (n, width))
 
 
-def class_counts(texts: list[str], labels: np.ndarray, shares: np.ndarray | None = None) -> np.ndarray:
-    """(class, feature), the number of texts with the feature; ``shares`` counts a text as less than one."""
+def class_counts(texts: list[str], labels: np.ndarray) -> np.ndarray:
+    """(class, feature), the number of texts with the feature."""
     found = np.zeros((2, BUCKETS))
     for first, part in _slices(texts):
         text_of, keys = _features(part)
         pairs = np.unique(text_of.astype(np.int64) * BUCKETS + keys)
-        owner = first + pairs // BUCKETS
-        found += np.bincount(labels[owner] * BUCKETS + pairs % BUCKETS, None if shares is None else shares[owner], 2 * BUCKETS).reshape(2, BUCKETS)
+        found += np.bincount(labels[first + pairs // BUCKETS] * BUCKETS + pairs % BUCKETS, minlength=2 * BUCKETS).reshape(2, BUCKETS)
     return found
 
 
@@ -204,18 +204,35 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, swap_weight:
     return {"at": chosen, "weights": w * scale, "bias": np.array(b)}
 
 
-def frequencies(labelled: DataFrame) -> np.ndarray:
-    """``class_counts`` of all rows of ``labelled`` (text, label, share), summed by Spark."""
+def distinct_features(rows: DataFrame) -> DataFrame:
+    """(doc_id, key, found) of ``rows`` (doc_id, text, key): the features of each text, each once, in order and packed."""
+    kinds = dict(rows.dtypes)
+
     def run(batches):
-        found = np.zeros((2, BUCKETS))
         for batch in batches:
             for part, _, _ in X.chunks(batch):
-                labels, shares = (part.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
-                found += class_counts(part.column(0).to_pylist(), labels.astype(np.int64), shares)
-        at = np.flatnonzero(found.reshape(-1))
-        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "n": pa.array(found.reshape(-1)[at])})
+                text_of, keys = features(part.column(1).to_pylist())
+                pairs = np.unique(text_of.astype(np.int64) * BUCKETS + keys)
+                edges = np.searchsorted(pairs, np.arange(part.num_rows + 1) * BUCKETS)
+                found = [pack_sorted((pairs[a:b] % BUCKETS).astype(np.uint32)) for a, b in zip(edges[:-1], edges[1:])]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.binary())], names=["doc_id", "key", "found"])
+
+    return rows.select("doc_id", "text", "key").mapInArrow(run, f"doc_id {kinds['doc_id']}, key bigint, found binary")
+
+
+def frequencies(labelled: DataFrame) -> np.ndarray:
+    """How many texts of each class have each feature, over all rows of ``labelled`` (found, label, share); ``share`` counts a text as less
+    than one. Summed by Spark."""
+    def run(batches):
+        total = np.zeros((2, BUCKETS))
+        for batch in batches:
+            labels, shares = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+            for found, label, share in zip(batch.column(0), labels.astype(np.int64), shares):
+                total[label, unpack_sorted(found.as_py(), np.uint32)] += share
+        at = np.flatnonzero(total.reshape(-1))
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int32()), "n": pa.array(total.reshape(-1)[at])})
 
-    sums = labelled.select("text", "label", "share").mapInArrow(run, "at int, n double").groupBy("at").agg(F.round(F.sum("n")).alias("n"))
+    sums = labelled.select("found", "label", "share").mapInArrow(run, "at int, n double").groupBy("at").agg(F.round(F.sum("n")).alias("n"))
     counted = sums.toArrow()  # 2 x BUCKETS rows at most
     found = np.zeros(2 * BUCKETS)
     found[counted["at"].to_numpy()] = counted["n"].to_numpy()
@@ -234,7 +251,9 @@ def train(documents: DataFrame, marks: DataFrame, per_class: int = TRAIN_TEXTS,
     heads = materialise(keyed.groupBy("label", "key").agg(F.min(F.struct("doc_id", "n")).alias("head")).select("label", "key", "head.doc_id", (1 / F.col("head.n")).alias("share")))
     sample, sizes = labelled_sample(heads, rows, per_class, 2 * per_class)
     counts = {r["label"]: r["n"] for r in sizes.collect()}  # two rows at most
-    ranked = screened(frequencies(rows.join(heads, ["doc_id", "key"])), (counts[0], counts[1])) if len(counts) == 2 else None
+    # Both sides are shuffled at every size; what moves of a text are its features.
+    met = distinct_features(rows).join(heads.hint("merge"), ["doc_id", "key"])
+    ranked = screened(frequencies(met), (counts[0], counts[1])) if len(counts) == 2 else None
 
     def run(batches):
         pairs = []
