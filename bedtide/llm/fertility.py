@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import importlib.util
 import os
+import re
 from functools import cache
 
 import numpy as np
@@ -24,6 +25,9 @@ MIN_WORDS, REPEAT_PERCENT = 50, 50
 BPE_FILE, PIECE_FILE = "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+# White space of Unicode (fixed values). The split looks ahead from every place of such a run, on a stack that ends near a million.
+LONG_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{100000,}")
+
 SCRIPTS = ("latin", "cyrillic", "han", "other")
 # For each script: characters per token, share of byte-fallback tokens, entropy of tokens in bits (low, high).
 # English and other Latin prose has two to five characters a token and five to ten bits. Below one and a
@@ -53,7 +57,19 @@ def encoders(folder: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
     pieces = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{PIECE_FILE}")
     is_byte = np.array([pieces.is_byte(i) for i in range(pieces.vocab_size())])
-    return tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), pieces, is_byte
+    bpe, unsplit = (tiktoken.Encoding("bytes", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (PATTERN, "(?s:.+)"))
+    return (bpe, unsplit), pieces, is_byte
+
+
+def bpe_tokens(bpe, unsplit, text: str, long_blanks: re.Pattern = LONG_BLANKS) -> list[int]:
+    """Tokens of ``text``. Of a run of white space before a word the split takes all but the last character as one piece; that piece
+    is cut out of long runs and goes to ``unsplit``, the same vocabulary without a split."""
+    tokens, done = [], 0
+    for run in long_blanks.finditer(text):
+        end = run.end() - (run.end() < len(text))
+        tokens += bpe.encode_ordinary(text[done:run.start()]) + unsplit.encode_ordinary(text[run.start():end])
+        done = end
+    return tokens + bpe.encode_ordinary(text[done:])
 
 
 def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -112,7 +128,7 @@ def main_script(body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def token_figures(texts: list[str], n_chars: np.ndarray, folder: str) -> dict[str, np.ndarray]:
     bpe, pieces, is_byte = encoders(folder)
-    tokens = [np.array(bpe.encode_ordinary(t), np.int64) for t in texts]
+    tokens = [np.array(bpe_tokens(*bpe, t), np.int64) for t in texts]
     sizes = np.array([len(t) for t in tokens], np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes)
     keys, counts = np.unique(owner << 32 | np.concatenate([*tokens, np.zeros(0, np.int64)]), return_counts=True)

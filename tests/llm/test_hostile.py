@@ -1,5 +1,8 @@
 """Every operator and stage on nulls, empty and long texts, repeated rows, empty tables and clashing columns."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +93,17 @@ def test_stage(spark, hostile, tmp_path, benchmark_items, at):
         assert ids.count(1) == 2 and next(r["text"] for r in rows if r["doc_id"] == 5) == LONG
     if name == "decontamination":
         assert 1 not in ids and 5 in ids
+
+
+def test_long_runs_of_white_space(spark):
+    rng = random.Random(0)
+    bpe, _, _ = fertility.encoders(fertility.vocabulary_folder())
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "b c", "!", "'s", " " * rng.randint(1, 30), "\n" * rng.randint(1, 9), " \t\r\n　"]) for _ in range(rng.randint(0, 8)))
+        few = re.compile(fertility.LONG_BLANKS.pattern.replace("100000", "3"))
+        assert fertility.bpe_tokens(*bpe, text, few) == bpe[0].encode_ordinary(text)
+    texts = [" " * 3_000_000, "word " + " \n" * 1_500_000 + "word", "x" * 3_000_000, "!" * 3_000_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    got = {r.doc_id: r for r in fertility.quality(rows).collect()}
+    assert len(got) == 4 and got[0].n_tokens == 3_000_000 and not any(r.kept for r in got.values())
+    assert got[1].n_tokens == len(bpe[0].encode_ordinary("word")) + len(bpe[1].encode_ordinary((" " + " \n" * 1_500_000)[:-1])) + len(bpe[0].encode_ordinary("\nword"))
