@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from bedtide import config as C
 from bedtide.operators import alerts as A
 from bedtide.operators import forecast as FC
-from bedtide.operators import kpis, quality, state, trends
+from bedtide.operators import kpis, quality, span, state, trends
 from bedtide.operators.capacity import capacities, dataset_metadata
 from bedtide.operators.hourly import hourly_from_encounters, hourly_from_readings, up_to
 from bedtide.operators.recursive import gbt_forecast
@@ -85,11 +85,12 @@ class OccupancyEngine:
     # --- ingest -------------------------------------------------------------------------------
     def ingest(self, path: str, dataset_name: str, fmt: str = "csv", kind: str | None = None, urgency: str = "reference",
                derive_outbreak: str = "reference", keep_raw: bool = True, retrain: bool = True, strict: bool = False,
-               multiline: bool = True) -> DataFrame:
+               multiline: bool = True, max_gap_days: int | None = span.MAX_GAP_DAYS) -> DataFrame:
         """Read and normalise a dataset, train on it, and install both. Returns the dataset status.
 
         A CSV record with more fields than the header refuses the file; a record without a readable time is
-        set aside with the reason, see ``rejected``. Facilities with too few hours stay in the fact and are left out of training, unless
+        set aside with the reason, see ``rejected``. Encounters dated more than ``max_gap_days`` away from the bulk of their facility's
+        don't stretch its series, see ``issues``. Facilities with too few hours stay in the fact and are left out of training, unless
         ``strict`` refuses them. What fails leaves the dataset and the models that were there.
         """
         quality.check_dataset_name(dataset_name)
@@ -108,7 +109,7 @@ class OccupancyEngine:
         counted = write_staged(stage_rows(raw, kind), staged)
         rows = accepted(self.spark, staged)
         if kind == "event":
-            fact, source_type = hourly_from_encounters(rows, urgency), "event_level_his"
+            fact, source_type = hourly_from_encounters(rows, urgency, max_gap_days), "event_level_his"
         else:
             fact, source_type = hourly_from_readings(rows, derive_outbreak), "aggregate_his"
         target = f"{self.root}/hourly/{stamp}"
@@ -130,8 +131,14 @@ class OccupancyEngine:
         return quarantine(self.spark, path)
 
     def issues(self) -> DataFrame:
-        """Facilities of the installed dataset that are too short to train on."""
-        return quality.short_series(self.hourly())
+        """(facility_id, rows, issue): facilities of the installed dataset that are too short to train on, and encounters dated so far away
+        that they don't count."""
+        short = quality.short_series(self.hourly())
+        settings = self._state("settings")
+        if state.get_setting(settings, "source_type") != "event_level_his":
+            return short
+        rows = accepted(self.spark, state.get_setting(settings, "staged_path"))
+        return short.unionByName(span.span_issues(rows, materialise(span.main_spans(rows))).select("facility_id", "rows", "issue"))
 
     def ingest_text(self, csv_text: str, dataset_name: str, **options) -> DataFrame:
         """Ingest the CSV text of one request; files go through ``ingest``."""

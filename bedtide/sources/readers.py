@@ -143,10 +143,6 @@ def load_hourly(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFra
     from bedtide.operators.signal import with_outbreak_signal
 
     raw = read_raw(spark, path, fmt)
-    if fmt == "parquet" and "facility_id" in raw.columns:
-        # The facility is a partition folder; its name is text even where it looks like a number.
-        text = T.StructField("facility_id", T.StringType())
-        raw = spark.read.schema(T.StructType([text if f.name == text.name else f for f in raw.schema])).parquet(path)
     if "ts" not in raw.columns and "timestamp" in raw.columns:
         raw = raw.withColumnRenamed("timestamp", "ts")
     raw = with_defaults(raw, {"facility_id": C.DEFAULT_FACILITY})

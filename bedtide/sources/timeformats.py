@@ -2,7 +2,7 @@
 
 A layout is a form of date, with a 24-hour or 12-hour clock behind it or none. Most are plain from the text alone. Dates
 such as 01/02/2026 are not: there all rows of a file's column decide together, as 13/02/2026 can only be day first.
-Reading goes in steps of a few columns each, so that every regular expression runs once a row.
+Each step of a reading is bound once and used by the next, so that every regular expression runs once.
 """
 
 from __future__ import annotations
@@ -42,41 +42,51 @@ def _shift(read: Column, clock: Column, half: Column) -> Column:
     return F.when(half == "", read).when(hour.between(1, 12), F.timestamp_micros(F.unix_micros(read) + moved * F.lit(3_600_000_000)))
 
 
-def read_times(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with, for each text column c, ``c_shape``, ``c_time`` (numeric dates month first) and ``c_swapped`` (numeric dates
-    day first, NULL for others). Times without a zone are UTC; what is no time is NULL. Years of two digits are 1969 to 2068."""
-    steps: list[dict[str, Column]] = [{} for _ in range(6)]
-    for c in columns:
-        col = lambda name, c=c: F.col(f"{c}_{name}")
-        text = F.regexp_replace(F.lower(F.trim(F.regexp_replace(F.col(f"`{c}`").cast("string"), r"[\s  ]+", " "))), WEEKDAY, "")
-        steps[0] |= {f"{c}_text": text}
-        name = F.regexp_extract(col("text"), MONTH, 1)
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once: as a variable of a function it is not copied to where it is used, however often that is."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _reading(column: Column) -> Column:
+    """(shape, time, swapped) of a text."""
+    def by_text(text: Column) -> Column:
+        name = F.regexp_extract(text, MONTH, 1)
         number = F.concat(F.lit("@"), (F.floor(F.call_function("instr", F.lit(MONTHS), name) / 3) + 1).cast("string"))
-        bare = F.regexp_replace(col("text"), r"(?<=\d) *[ap]\.?m\.?$", "")
+        bare = F.regexp_replace(text, r"(?<=\d) *[ap]\.?m\.?$", "")
         century = F.regexp_replace(F.regexp_replace(bare, r"^(\d{1,2}([-/.])\d{1,2}\2)(69|[7-9]\d)(?!\d)", "$119$3"), r"^(\d{1,2}([-/.])\d{1,2}\2)(\d\d)(?!\d)", "$120$3")
-        steps[1] |= {
-            f"{c}_half": F.regexp_extract(col("text"), r"\d *([ap])\.?m\.?$", 1),
-            f"{c}_bare": F.when(name != "", F.regexp_replace(bare, F.lit(MONTH), number)).otherwise(century),
-        }
-        fits = {shape: col("bare").rlike(pattern) & ((col("half") == "") if shape == "iso" else F.lit(True)) for shape, (pattern, _) in SHAPES.items()}
-        steps[2] |= {f"{c}_shape": F.coalesce(*[F.when(hit, shape) for shape, hit in fits.items()])}
+        half = F.regexp_extract(text, r"\d *([ap])\.?m\.?$", 1)
+        return _let(F.struct(half.alias("half"), F.when(name != "", F.regexp_replace(bare, F.lit(MONTH), number)).otherwise(century).alias("bare")), by_parts)
+
+    def by_parts(parts: Column) -> Column:
+        fits = {shape: parts["bare"].rlike(pattern) & ((parts["half"] == "") if shape == "iso" else F.lit(True)) for shape, (pattern, _) in SHAPES.items()}
+        return _let(F.coalesce(*[F.when(hit, shape) for shape, hit in fits.items()]), lambda shape: by_shape(parts, shape))
+
+    def by_shape(parts: Column, shape: Column) -> Column:
         plain = F.lit(None).cast("string")
-        for shape, (pattern, parts) in SHAPES.items():
-            plain = F.when(col("shape") == shape, F.regexp_replace(col("bare"), pattern, parts)).otherwise(plain)
-        steps[3] |= {f"{c}_plain": F.trim(plain), f"{c}_turned": F.when(col("shape") == "numeric", F.trim(F.regexp_replace(col("bare"), SHAPES["numeric"][0], DAY_FIRST)))}
-        steps[4] |= {f"{c}_time": F.try_to_timestamp(F.upper(col("plain"))), f"{c}_swapped": F.try_to_timestamp(col("turned"))}
-        steps[5] |= {f"{c}_time": _shift(col("time"), col("plain"), col("half")), f"{c}_swapped": _shift(col("swapped"), col("turned"), col("half"))}
-    read = reduce(lambda frame, step: frame.withColumns(step), steps, df)
-    return read.drop(*(f"{c}_{x}" for c in columns for x in ("text", "half", "bare", "plain", "turned")))
+        for name, (pattern, order) in SHAPES.items():
+            plain = F.when(shape == name, F.regexp_replace(parts["bare"], pattern, order)).otherwise(plain)
+        turned = F.when(shape == "numeric", F.regexp_replace(parts["bare"], SHAPES["numeric"][0], DAY_FIRST))
+        written = F.struct(F.trim(plain).alias("plain"), F.trim(turned).alias("turned"))
+        stamp = lambda text: _shift(F.try_to_timestamp(F.upper(text)), text, parts["half"])
+        return _let(written, lambda w: F.struct(shape.alias("shape"), stamp(w["plain"]).alias("time"), stamp(w["turned"]).alias("swapped")))
+
+    return _let(F.regexp_replace(F.lower(F.trim(F.regexp_replace(column.cast("string"), r"[\s\u00a0\u202f]+", " "))), WEEKDAY, ""), by_text)
+
+
+def read_times(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with, for each text column c, ``c_read``: its shape, time (numeric dates month first) and swapped (numeric dates day
+    first, NULL for others). Times without a zone are UTC; what is no time is NULL. Years of two digits are 1969 to 2068."""
+    return df.withColumns({f"{c}_read": _reading(F.col(f"`{c}`")) for c in columns})
 
 
 def _readings(c: str) -> dict[str, Column]:
     """By layout, what it reads in column ``c`` of ``read_times``."""
-    found = {"month_first": F.when(F.col(f"{c}_shape") == "numeric", F.col(f"{c}_time")), "day_first": F.col(f"{c}_swapped")}
+    read = F.col(f"`{c}_read`")
+    found = {"month_first": F.when(read["shape"] == "numeric", read["time"]), "day_first": read["swapped"]}
     for layout in LAYOUTS:
         shapes = [s for s, name in LAYOUT_OF_SHAPE.items() if name == layout]
         if shapes:
-            found[layout] = F.when(F.col(f"{c}_shape").isin(shapes), F.col(f"{c}_time"))
+            found[layout] = F.when(read["shape"].isin(shapes), read["time"])
     return {layout: found[layout] for layout in LAYOUTS}
 
 
@@ -119,14 +129,14 @@ def with_times(df: DataFrame, columns: list[str], by: list[str] | None = None, s
         rows = rows.join(found, same, "left")
     added = {}
     for c in columns:
-        readings, numeric = _readings(c), F.col(f"{c}_shape") == "numeric"
+        readings, read = _readings(c), F.col(f"`{c}_read`")
         if by is None:
-            time = F.col(f"{c}_time")
+            time = read["time"]
         elif strict:
-            time = F.coalesce(*[F.when(F.col(f"{c}_layout") == name, read) for name, read in readings.items()])
+            time = F.coalesce(*[F.when(F.col(f"{c}_layout") == name, r) for name, r in readings.items()])
         else:
-            time = F.when(numeric & F.col(f"{c}_is_day_first"), F.col(f"{c}_swapped")).otherwise(F.col(f"{c}_time"))
-        some = F.coalesce(F.col(f"{c}_time"), F.col(f"{c}_swapped")).isNotNull()
+            time = F.when((read["shape"] == "numeric") & F.col(f"{c}_is_day_first"), read["swapped"]).otherwise(read["time"])
+        some = F.coalesce(read["time"], read["swapped"]).isNotNull()
         blank = F.coalesce(F.trim(F.col(f"`{c}`").cast("string")) == "", F.lit(True))
         added[c] = time
         added[f"{c}_fault"] = F.when(blank, "missing").when(time.isNull() & some, "other layout").when(time.isNull(), "unreadable")

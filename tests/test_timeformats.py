@@ -122,3 +122,17 @@ def test_short_and_flat_series(spark):
     assert all(abs(ward[s] - (100 + (199 + s) % 24)) < 2 for s in ward)
     assert all(p.occupied == 1.0 for p in points if p.facility_id == "b")
     assert ridge.train(hours.limit(0)).table.count() == 0
+
+
+def test_engine_sets_stray_dates_aside(spark, tmp_path):
+    path = visits_csv(tmp_path / "visits.csv")
+    header, *lines = open(path).read().splitlines()
+    names = header.split(",")
+    column = names.index(next(h for h in names if "dmi" in h))
+    fields = lines[3].split(",")
+    fields[column] = "0202-01-01 05:00"
+    open(path, "w").write("\n".join([header, *lines, ",".join(fields)]) + "\n")
+    engine = OccupancyEngine(spark, str(tmp_path / "root"), method="profile")
+    status = engine.ingest(str(path), "spring visits").first()
+    assert status.rejected_rows == 0 and status.coverage_start > "2000" and status.rows < 10000
+    assert [(r.rows, r.issue) for r in engine.issues().collect()] == [(1, "admission outside span")]
