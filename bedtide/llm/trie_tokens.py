@@ -4,7 +4,8 @@ A text is cut at white space; every word with a word mark before it is a pre-tok
 megabytes of text are sorted, which is the order of a trie: what a word shares with the one before is a path
 it does not open again. Level by level, each new trie node gets the best score of its prefix, from the scores
 of the nodes above and the pieces that end there, once for all words that share it; a word's last node holds
-its count, and counts go to the texts by the words' places.
+its count, and counts go to the texts by the words' places. Words of more than 512 bytes are no words that others begin
+like; each is segmented for itself.
 
 Pieces come from a public vocabulary. Its order is one of frequency, so a piece's probability follows Zipf's
 law in its rank. A character that the vocabulary lacks costs one token for each of its bytes.
@@ -25,6 +26,7 @@ from bedtide.llm.frames import documents_of
 MARK = "▁"
 UNKNOWN_LOSS = 10.0  # a byte of an unknown character is that much below the rarest piece
 TRIE_BYTES = 8 << 20
+LONG_WORD, LONG_PLACES = 512, 1 << 15  # words of more bytes share no trie; places of theirs looked up at once
 
 
 @cache
@@ -128,6 +130,38 @@ def segment(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabulary:
     return tokens, scores
 
 
+def segment_long(word: np.ndarray, vocabulary: Pieces) -> tuple[int, float]:
+    """``segment`` of one word: all pieces that end in some ten thousand places are looked up at once, then the best way to each
+    place is one sum and one maximum over the places before. Of equal scores the longest last piece counts, as there."""
+    n, reach = len(word), vocabulary.longest
+    power, inverse = X._powers(n + 1)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((word.astype(np.uint64) + np.uint64(1)) * power[:-1], out=total[1:])
+    opens = np.append((word & 0xC0) != 0x80, True)
+    characters = np.concatenate([[0], np.cumsum(opens)])
+    best, count = np.full(reach + n + 1, -np.inf), np.zeros(reach + n + 1, np.int64)
+    best[reach] = 0.0
+    for first in range(1, n + 1, LONG_PLACES):
+        ends = np.arange(first, min(n + 1, first + LONG_PLACES))
+        ends = ends[opens[ends]]
+        gain, cost = np.full((len(ends), reach), -np.inf), np.ones((len(ends), reach), np.int64)
+        for size in range(1, reach + 1):
+            some = np.flatnonzero(ends >= size)
+            some = some[opens[ends[some] - size]]
+            low, high = ends[some] - size, ends[some]
+            found = vocabulary.find(X.mix((total[high] - total[low]) * inverse[low]))
+            if size <= 4:
+                spelled = (characters[high] - characters[low] == 1) & (found == -np.inf)
+                found = np.where(spelled, vocabulary.unknown * size, found)
+                cost[some[spelled], reach - size] = size
+            gain[some, reach - size] = found
+        for i, end in enumerate(ends.tolist()):
+            score = best[end:end + reach] + gain[i]
+            at = int(score.argmax())
+            best[reach + end], count[reach + end] = score[at], count[end + at] + cost[i, at]
+    return int(count[-1]), float(best[-1])
+
+
 def _shared_prefix(body: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Bytes that each word shares with the word before; -1 for the first."""
     shared = np.full(len(starts), -1)
@@ -158,13 +192,16 @@ def token_counts(documents: DataFrame, folder: str | None = None) -> DataFrame:
                 _, at, kind = np.unique(X.span_hashes(body, starts, ends), return_index=True, return_inverse=True)
                 raw = body.tobytes()
                 words = [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())]
-                order = np.array(sorted(range(len(words)), key=words.__getitem__), np.int64)
                 mark = MARK.encode()
+                long = [i for i, w in enumerate(words) if len(w) > LONG_WORD]
+                order = np.array(sorted((i for i, w in enumerate(words) if len(w) <= LONG_WORD), key=words.__getitem__), np.int64)
                 joined = np.frombuffer(b"".join([mark + words[i] for i in order.tolist()]), np.uint8)
                 sizes = ends[at][order] - starts[at][order] + len(mark)
                 stops = np.cumsum(sizes)
                 tokens, scores = np.zeros(len(words), np.int64), np.zeros(len(words))
                 tokens[order], scores[order] = segment(joined, stops - sizes, stops, table)
+                for i in long:
+                    tokens[i], scores[i] = segment_long(np.frombuffer(mark + words[i], np.uint8), table)
                 sums = [np.concatenate([[0], np.cumsum(x[kind])]) for x in (tokens, scores)]
                 per_text = [s[firsts[1:]] - s[firsts[:-1]] for s in sums]
                 yield pa.RecordBatch.from_arrays(
