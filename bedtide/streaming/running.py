@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -113,17 +114,23 @@ def stream_hourly_occupancy(encounters: DataFrame, stays: DataFrame, urgency: st
     return timed.groupBy("facility_id").transformWithStateInPandas(RunningOccupancy(), OUTPUT, "Append", "EventTime")
 
 
-def run_occupancy(occupancy: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def run_occupancy(occupancy: DataFrame, path: str, checkpoint: str, restarts: int = 1) -> StreamingQuery:
     """Process what is there and write closed hours as Parquet; the finished query, whose progress counts the late rows.
 
-    Keyed state of this kind needs the RocksDB store; the session's own choice is put back once the query runs.
+    A query that fails is started again from its checkpoint, ``restarts`` times; no hour is lost or written twice by that. Keyed state of this kind needs the RocksDB store; the session's own choice is put back once the query runs.
     """
     conf, key = occupancy.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
     before = conf.get(key, None)
     conf.set(key, ROCKS)
     try:
-        query = occupancy.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
-        query.awaitTermination()
+        for left in range(restarts, -1, -1):
+            query = occupancy.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path)
+            try:
+                query.awaitTermination()
+                break
+            except StreamingQueryException:
+                if not left:
+                    raise
     finally:
         conf.unset(key) if before is None else conf.set(key, before)
     return query
