@@ -4,7 +4,7 @@ A line break ends a record only outside quotes, and whether a range begins insid
 it. So the lines are read twice. First each range tells, from its lines alone, in which state it ends for either state it may
 begin in; composed along a file, that gives the state each range really begins in. Then each range cuts its lines into
 records. What a range holds of a record that began in an earlier one, or goes on in the next, is a piece; pieces, at
-most two or so a range, are put together by file.
+most two or so a range, are put together by file. The records are written once, as several passes over them follow.
 """
 
 from __future__ import annotations
@@ -12,11 +12,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bedtide.session import materialise
+
 _FIELDS = r'(?:"(?:[^"]|"")*+"[^,]*|[^",][^,]*|)'  # one field of a line, closed
 OPEN_AT_END = re.compile(rf'(?:{_FIELDS},)*"(?:[^"]|"")*+')
 CLOSING = re.compile(r'(?:[^"]|"")*+"(?!")[^,]*')  # from inside a field to the comma behind it
@@ -50,13 +54,11 @@ def placed_lines(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
 def _ranges(batches: Iterator[pa.RecordBatch]):
     """(place, lines) of runs of lines of one range, as they come; a place is the file, the start, and what else is by range."""
     for batch in batches:
-        values = batch.column(2).to_pylist()
-        places = list(zip(*(batch.column(i).to_pylist() for i in (0, 1, *range(3, batch.num_columns)))))
+        places = [batch.column(i) for i in (0, 1, *range(3, batch.num_columns))]
         first = 0
-        for i in range(1, len(values) + 1):
-            if i == len(values) or places[i] != places[first]:
-                yield places[first], values[first:i]
-                first = i
+        for end in sorted({end for c in places for end in pc.run_end_encode(c).run_ends.to_pylist()}):
+            yield tuple(c[first].as_py() for c in places), batch.column(2).slice(first, end - first)
+            first = end
 
 
 def range_states(lines: DataFrame) -> DataFrame:
@@ -69,9 +71,8 @@ def range_states(lines: DataFrame) -> DataFrame:
             if current != place:
                 found += [(*current, *state)] if current else []
                 current, state = place, [False, True]
-            for line in values:
-                if '"' in line:
-                    state = [ends_inside(line, s) for s in state]
+            for line in values.filter(pc.match_substring(values, '"')).to_pylist():
+                state = [ends_inside(line, s) for s in state]
         found += [(*current, *state)] if current else []
         yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind.types[i]) for i in range(4)], schema=kind)
 
@@ -107,15 +108,25 @@ def records(lines: DataFrame, begun: DataFrame, parts: list[str]) -> DataFrame:
             columns = [[place[0]] * len(found), [place[1]] * len(found), *zip(*found), *([p] * len(found) for p in place[3:])]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], names=names)
 
+        def plain(place, values, number):
+            """Lines without quotes, met outside of them: each is a record."""
+            n = len(values)
+            columns = [pa.repeat(pa.scalar(place[0], types[0]), n), pa.repeat(place[1], n), pa.array(np.arange(number, number + n)), values, pa.repeat(False, n), pa.repeat(False, n)]
+            return pa.RecordBatch.from_arrays([*columns, *(pa.repeat(pa.scalar(p, pa.string()), n) for p in place[3:])], names=names)
+
         for place, values in _ranges(batches):
             found = []
             if current != place:
                 if held:
                     yield rows(current, [(number, "\n".join(held), head, True)])
                 current, state, held, number, head = place, place[2], [], 0, place[2]
-            for line in values:
+            if not state and not pc.any(pc.match_substring(values, '"')).as_py():
+                yield plain(place, values, number)
+                number += len(values)
+                continue
+            for line in values.to_pylist():
                 held.append(line)
-                state = ends_inside(line, state)
+                state = ends_inside(line, state) if '"' in line else state
                 if not state:
                     found.append((number, "\n".join(held) if len(held) > 1 else line, head, False))
                     held, number, head = [], number + 1, False
@@ -147,7 +158,7 @@ def read_quoted_csv(spark: SparkSession, path: str, columns: list[str], corrupt:
     All files must have the same header.
     """
     lines, parts = placed_lines(spark, path)
-    found = whole_records(records(lines, begun_inside(range_states(lines)), parts), parts)
+    found = whole_records(materialise(records(lines, begun_inside(range_states(lines)), parts)), parts)
     heads = found.where("is_header").select(F.regexp_replace("value", "^\ufeff", "").alias("value")).distinct().take(2)
     if len(heads) > 1:
         raise ValueError(f"Files have different headers: {heads[0].value[:200]} / {heads[1].value[:200]}")

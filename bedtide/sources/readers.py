@@ -51,12 +51,13 @@ def _as_ts(df: DataFrame, column: str):
     return F.col(column).cast("timestamp") if kind.startswith("timestamp") or kind == "date" else S.coerce_ts(F.col(column))
 
 
-def _timed(df: DataFrame, columns: list[str], keep: tuple[str, ...]) -> DataFrame:
-    """``columns`` as timestamps, and their faults where ``keep`` names them. Typed ones pass, zone-less ones are taken as UTC; text is read
+def _timed(df: DataFrame, columns: list[str], keep: tuple[str, ...], wanted: list[str]) -> DataFrame:
+    """``columns`` as timestamps beside what is ``wanted`` or to ``keep``, and their faults where ``keep`` names them. Typed ones pass, zone-less ones are taken as UTC; text is read
     as its file's rows vote, or month first where the files aren't known."""
     kinds = dict(df.dtypes)
     text = [c for c in columns if not kinds[c].startswith("timestamp") and kinds[c] != "date"]
     if text:
+        df = df.select(*(f"`{c}`" for c in df.columns if c in (*wanted, *columns, *keep, FILE)))
         df = with_times(df, text, [FILE] if FILE in df.columns and not df.isStreaming else None)
     typed = {c: F.col(c).cast("timestamp") for c in columns if c not in text}
     faults = {f"{c}_fault": F.when(F.col(c).isNull(), "missing") for c in typed if f"{c}_fault" in keep}
@@ -75,7 +76,8 @@ def canonical_encounters(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame
         "facility_id": C.DEFAULT_FACILITY, "patient_id": None, "discharge_time": None,
         "department": C.DEFAULT_DEPARTMENT_TEXT, "admission_type": "",
     })
-    return _timed(df, ["admission_time", "discharge_time"], keep).select(
+    wanted = ["facility_id", "patient_id", "department", "admission_type"]
+    return _timed(df, ["admission_time", "discharge_time"], keep, wanted).select(
         F.col("facility_id").cast("string").alias("facility_id"),
         F.col("patient_id").cast("string").alias("patient_id"),
         "admission_time", "discharge_time",
@@ -95,7 +97,7 @@ def canonical_readings(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     given = "outbreak_signal" in df.columns
     df = with_defaults(df, {"facility_id": C.DEFAULT_FACILITY, "emergency_cases": "0", "outbreak_signal": "0"})
     numbers = ["admissions", "discharges", "emergency_cases", "outbreak_signal", *C.OCCUPANCY_COLUMNS]
-    return _timed(df, ["timestamp"], keep).select(
+    return _timed(df, ["timestamp"], keep, ["facility_id", *numbers]).select(
         F.col("facility_id").cast("string").alias("facility_id"),
         F.col("timestamp").alias("ts"),
         *[S.coerce_num(F.col(c)).alias(c) for c in numbers],

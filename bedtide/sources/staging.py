@@ -18,19 +18,20 @@ REJECTED = "_rejected"
 def staged(raw: DataFrame, kind: str) -> DataFrame:
     """Canonical rows of ``raw`` (``event`` or ``aggregate``) with ``reason``, NULL for accepted ones, ``record``, the refused row as
     delivered (the CSV text where its number of fields is wrong, else JSON), and ``_file``."""
-    record = F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw.columns if c not in (CORRUPT, FILE)]))
-    if CORRUPT in raw.columns:
-        record = F.coalesce(F.col(CORRUPT), record)
     rows = raw if FILE in raw.columns else raw.withColumn(FILE, F.lit(None).cast("string"))
-    rows = rows.withColumn("_record", record)
+    rows = rows.withColumns({
+        "_record": F.struct(*[F.col(f"`{c}`") for c in raw.columns if c not in (CORRUPT, FILE)]),
+        "_text": F.col(CORRUPT) if CORRUPT in raw.columns else F.lit(None).cast("string"),
+    })
     if kind == "event":
-        typed = canonical_encounters(rows, (FILE, "_record", "admission_time_fault", "discharge_time_fault"))
+        typed = canonical_encounters(rows, (FILE, "_record", "_text", "admission_time_fault", "discharge_time_fault"))
         fault, name = F.col("admission_time_fault"), "admission_time"
     else:
-        typed = canonical_readings(rows, (FILE, "_record", "timestamp_fault"))
+        typed = canonical_readings(rows, (FILE, "_record", "_text", "timestamp_fault"))
         fault, name = F.col("timestamp_fault"), "timestamp"
     reason = F.concat(F.lit(f"{name}: "), fault)
-    return typed.withColumns({"reason": reason, "record": F.when(fault.isNotNull(), F.col("_record"))}).drop("_record", f"{name}_fault")
+    record = F.when(fault.isNotNull(), F.coalesce(F.col("_text"), F.to_json("_record")))
+    return typed.withColumns({"reason": reason, "record": record}).drop("_record", "_text", f"{name}_fault")
 
 
 def write_staged(staged: DataFrame, path: str) -> dict[str, int]:

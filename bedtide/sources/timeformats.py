@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bedtide.session import materialise
+
 # The layouts in the order in which they win ties, and the forms of date they are read by.
 LAYOUTS = ("iso", "year_first", "month_first", "day_first", "month_name", "compact")
 MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
@@ -29,6 +31,9 @@ SHAPES = {  # shape: pattern, year-month-day and clock by its groups
     "compact_second": (r"^(\d{4})(\d{2})(\d{2})[t ]?(\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6"),
 }
 DAY_FIRST = "$4-$3-$1 $5"
+FIGURES = r"^\d[-\d/.:+]*(?: [-\d/.:+]+)?\z"  # no letter, and no blanks but one between date and clock
+SPACE = r"[\s\u00a0\u202f]"
+SHORT_YEAR = r"^(\d{1,2}([-/.])\d{1,2}\2)"
 LAYOUT_OF_SHAPE = {
     "iso": "iso", "year_first": "year_first", "month_day": "month_name", "day_month": "month_name",
     "compact": "compact", "compact_minute": "compact", "compact_second": "compact",
@@ -49,13 +54,17 @@ def _let(value: Column, body) -> Column:
 
 def _reading(column: Column) -> Column:
     """(shape, time, swapped) of a text."""
+    def with_century(bare: Column) -> Column:
+        written = F.regexp_replace(F.regexp_replace(bare, SHORT_YEAR + r"(69|[7-9]\d)(?!\d)", "$119$3"), SHORT_YEAR + r"(\d\d)(?!\d)", "$120$3")
+        return F.when(bare.rlike(SHORT_YEAR + r"\d\d(?!\d)"), written).otherwise(bare)
+
     def by_text(text: Column) -> Column:
         name = F.regexp_extract(text, MONTH, 1)
         number = F.concat(F.lit("@"), (F.floor(F.call_function("instr", F.lit(MONTHS), name) / 3) + 1).cast("string"))
         bare = F.regexp_replace(text, r"(?<=\d) *[ap]\.?m\.?$", "")
-        century = F.regexp_replace(F.regexp_replace(bare, r"^(\d{1,2}([-/.])\d{1,2}\2)(69|[7-9]\d)(?!\d)", "$119$3"), r"^(\d{1,2}([-/.])\d{1,2}\2)(\d\d)(?!\d)", "$120$3")
         half = F.regexp_extract(text, r"\d *([ap])\.?m\.?$", 1)
-        return _let(F.struct(half.alias("half"), F.when(name != "", F.regexp_replace(bare, F.lit(MONTH), number)).otherwise(century).alias("bare")), by_parts)
+        words = F.struct(half.alias("half"), F.when(name != "", F.regexp_replace(bare, F.lit(MONTH), number)).otherwise(with_century(bare)).alias("bare"))
+        return _let(F.when(text.rlike(FIGURES), F.struct(F.lit("").alias("half"), with_century(text).alias("bare"))).otherwise(words), by_parts)
 
     def by_parts(parts: Column) -> Column:
         fits = {shape: parts["bare"].rlike(pattern) & ((parts["half"] == "") if shape == "iso" else F.lit(True)) for shape, (pattern, _) in SHAPES.items()}
@@ -70,7 +79,11 @@ def _reading(column: Column) -> Column:
         stamp = lambda text: _shift(F.try_to_timestamp(F.upper(text)), text, parts["half"])
         return _let(written, lambda w: F.struct(shape.alias("shape"), stamp(w["plain"]).alias("time"), stamp(w["turned"]).alias("swapped")))
 
-    return _let(F.regexp_replace(F.lower(F.trim(F.regexp_replace(column.cast("string"), r"[\s\u00a0\u202f]+", " "))), WEEKDAY, ""), by_text)
+    def cleaned(text: Column) -> Column:
+        spaced = F.when(text.rlike(r"(?! )" + SPACE + "|  "), F.regexp_replace(text, SPACE + "+", " ")).otherwise(text)
+        return F.when(text.rlike(FIGURES), text).otherwise(F.regexp_replace(F.lower(F.trim(spaced)), WEEKDAY, ""))
+
+    return _let(_let(column.cast("string"), cleaned), by_text)
 
 
 def read_times(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -94,8 +107,13 @@ def votes(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """One row per file (``by``): how many rows each layout reads in each column (``<column>_<layout>``), the layout that reads
     most (``<column>_layout``, the first of equals, NULL where none reads any), and whether more rows can be read day first
     than month first (``<column>_is_day_first``). A map-side aggregate over the time columns alone."""
-    counts = [F.count(read).alias(f"{c}_{name}") for c in columns for name, read in _readings(c).items()]
-    counted = read_times(df.select(*by, *columns), columns).groupBy(*by).agg(*counts)
+    return _counted(read_times(df.select(*by, *columns), columns), columns, by)
+
+
+def _counted(read: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """``votes`` of what ``read_times`` has read."""
+    counts = [F.count(reading).alias(f"{c}_{name}") for c in columns for name, reading in _readings(c).items()]
+    counted = read.groupBy(*by).agg(*counts)
     chosen = {}
     for c in columns:
         most = F.greatest(*[F.col(f"{c}_{name}") for name in LAYOUTS])
@@ -119,12 +137,14 @@ def with_times(df: DataFrame, columns: list[str], by: list[str] | None = None, s
     With ``by`` (columns that tell files apart) the order of day and month is the one that reads more rows of that column in
     that file; month first where both read equally many, and without ``by``. Texts of other layouts that leave no doubt are
     read as well, unless ``strict`` allows the elected layout alone. Faults are ``missing``, ``other layout``
-    (a time, but not in this file's layout) and ``unreadable``.
+    (a time, but not in this file's layout) and ``unreadable``. Texts are read once: with ``by`` the readings are written, and
+    so are the votes, which have a row for each file.
     """
     rows = read_times(df, columns)
     if by is not None:
-        found = votes(df, columns, by).select(
-            *(F.col(f"`{b}`").alias(f"_by_{i}") for i, b in enumerate(by)), *(f"{c}_{x}" for c in columns for x in ("layout", "is_day_first")))
+        rows = materialise(rows)
+        found = materialise(_counted(rows, columns, by).select(
+            *(F.col(f"`{b}`").alias(f"_by_{i}") for i, b in enumerate(by)), *(f"{c}_{x}" for c in columns for x in ("layout", "is_day_first"))))
         same = reduce(lambda a, b: a & b, (F.col(f"`{b}`").eqNullSafe(F.col(f"_by_{i}")) for i, b in enumerate(by)), F.lit(True))
         rows = rows.join(found, same, "left")
     added = {}
