@@ -2,8 +2,10 @@
 
 An interval is cut at the borders of bins of a fixed width: its two ends meet the points of their bins under a residual
 predicate, and the bins it covers whole are covers. A run of covered bins, however long, is a handful of blocks of 1, 2, 4, 8...
-bins (at most two of each size), which a point's bin meets through the blocks it lies in. So an interval makes
-some tens of rows at most, not one for each unit of its length, and both sides are summed before they meet.
+bins (at most two of each size), which a point's bin meets through the blocks it lies in. A run from a to b is the run from a
+to the next border of the largest blocks, less that from b: so runs are summed by where they begin, and make blocks afterwards.
+Equal intervals are summed and written first, so that their source is read once; each then makes five rows at most, whatever its
+length, summed map-side by bin.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from bedtide import config as C
 from bedtide.functions import scalar as S
+from bedtide.session import materialise
 
 LEVELS = 23  # blocks of up to 2^22 bins: with bins of a day, more than the years 1 to 9999
 HOURS_OF_A_BIN = 24
@@ -44,15 +47,23 @@ def _blocks(first: Column, last: Column) -> Column:
 def interval_counts(intervals: DataFrame, points: DataFrame, keys: list[str], width: int) -> DataFrame:
     """(keys, at, n) for the distinct ``points`` (keys, at): the sum of ``n`` over the ``intervals`` (keys, low, high, n) of
     the same keys with low <= at < high; 0 where there is none. All are whole numbers; empty intervals hold nothing."""
-    rows = intervals.where("low < high").groupBy(*keys, "low", "high").agg(F.sum("n").alias("n"))
+    rows = materialise(intervals.where("low < high").groupBy(*keys, "low", "high").agg(F.sum("n").alias("n")))
     placed = rows.withColumns({"first": _bin(F.col("low"), width), "last": _bin(F.col("high") - 1, width)})
-    whole = F.col("first") < F.col("last")
-    ends = F.array_compact(F.array(
-        F.struct(F.col("first").alias("bin"), "low", F.least("high", (F.col("first") + 1) * width).alias("high")),
-        F.when(whole, F.struct(F.col("last").alias("bin"), (F.col("last") * width).alias("low"), F.col("high"))),
+    some, whole, n = F.col("first") < F.col("last"), F.col("first") + 1 < F.col("last"), F.col("n")
+    border = lambda c: (-_bin(-c, 1 << LEVELS - 1) * (1 << LEVELS - 1)).cast("bigint")
+    part = lambda at, low, high, n: F.struct(at.alias("bin"), low.alias("low"), high.alias("high"), n.alias("n"))
+    run = lambda low, high, n: part(F.lit(None).cast("bigint"), low, high, n)
+    begin, end = F.col("first") + 1, F.col("last")
+    parts = F.array_compact(F.array(
+        part(F.col("first"), F.col("low"), F.least("high", begin * width), n),
+        F.when(some, part(end, end * width, F.col("high"), n)),
+        F.when(whole, run(begin, border(begin), n)),
+        F.when(whole, run(end, border(end), -n)),
+        F.when(whole & (border(begin) < border(end)), run(border(begin), border(end), n)),
     ))
-    edges = placed.select(*keys, "n", F.inline(ends)).groupBy(*keys, "bin", "low", "high").agg(F.sum("n").alias("n"))
-    covers = placed.where(F.col("first") + 1 < F.col("last")).select(*keys, "n", F.inline(_blocks(F.col("first") + 1, F.col("last"))))
+    summed = placed.select(*keys, F.inline(parts)).groupBy(*keys, "bin", "low", "high").agg(F.sum("n").alias("n"))
+    edges, runs = summed.where("bin is not null"), summed.where("bin is null and low < high")
+    covers = runs.select(*keys, "n", F.inline(_blocks(F.col("low"), F.col("high"))))
     covers = covers.groupBy(*keys, "level", "block").agg(F.sum("n").alias("n"))
     asked = points.select(*keys, "at").distinct().withColumn("bin", _bin(F.col("at"), width))
     above = F.transform(F.sequence(F.lit(0), F.lit(LEVELS - 1)), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", F.col("bin"), level).alias("block")))

@@ -4,6 +4,7 @@ import datetime
 
 from pyspark.sql import functions as F
 
+from bedtide.operators import intervals
 from bedtide.sources import csvsplits, readers, timeformats
 
 
@@ -36,3 +37,13 @@ def test_figures_with_odd_blanks_are_read_alike(spark):
     plain, odd = "1/2/99 03:04", ["\t1/2/99 03:04\n", "1/2/99  03:04", " 1/2/99 03:04 ", "1/2/99 03:04\n"]
     rows = timeformats.with_times(spark.createDataFrame([(t,) for t in [plain, *odd]], "t string"), ["t"]).select(F.col("t").cast("string")).collect()
     assert {r.t for r in rows} == {"1999-01-02 03:04:00"}
+
+
+def test_intervals_are_read_once_and_long_ones_cross_the_largest_blocks(spark):
+    border = 24 << intervals.LEVELS - 1
+    some = [("a", -30, 50, 2), ("a", border - 100, border + 100, 1), ("a", -border - 60, border * 2 + 60, 3), ("a", 5, 5, 9), ("b", 0, 24, 1), ("b", 0, 24, 4)]
+    asked = [("a", at) for at in (-border - 61, -border - 60, -31, -30, 0, 49, 50, border - 100, border, border + 99, border + 100, border * 2 + 59, border * 2 + 60)] + [("b", 0), ("b", 23), ("b", 24)]
+    source = spark.createDataFrame(some, "k string, low bigint, high bigint, m bigint").withColumn("n", F.hash("k") * 0 + F.col("m"))
+    counted = intervals.interval_counts(source, spark.createDataFrame(asked, "k string, at bigint"), ["k"], 24)
+    assert "hash(" not in plan(counted)
+    assert {(r.k, r["at"]): r.n for r in counted.collect()} == {(k, at): sum(n for one, low, high, n in some if one == k and low <= at < high) for k, at in asked}
