@@ -13,10 +13,14 @@ than k are resolved by ranks, and no task needs the text of another document. Th
    the v - 1 bytes before and the L bytes after the sample. One bucket at a time is sorted in a task: first the
    sample suffixes, byte by byte, which gives their ranks at every depth from the longest common prefixes of
    neighbours; then for each shift k the suffixes that begin k bytes before, by those k bytes and the rank at
-   depth L - k. Equal ones form a run, and all but its smallest document are repeats.
+   depth L - k. Equal ones form a run, and all but its smallest document are repeats. Contexts that are equal as a
+   whole are equal at each shift, so only one of them is sorted; a shift for which a context shares too few bytes
+   with any other, on either side, is left out.
 4. *Removal.* Every block gets its repeats back and cuts them out.
 
-Memory is bounded by the bucket and the block, disk by the pass. Equal contexts of a block are sent once, for
+Texts stay in a table bucketed by block. What blocks send to ranges and ranges to blocks is shuffled, one range to a
+partition, so the number of files grows with the blocks and with the ranges; Spark removes the shuffle files of a step
+when it ends. Memory is bounded by the bucket and the block, disk by the pass. Equal contexts of a block are sent once, for
 the smallest document that has them, so copies cost one row for each block. A fingerprint that is found in
 more than HOT_BLOCKS blocks is dealt out by its full windows, one shift at a time, so that no bucket has to
 hold all contexts of a frequent string.
@@ -24,9 +28,11 @@ hold all contexts of a frequent string.
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import math
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,24 +56,45 @@ HOT_BLOCKS = 1000
 NO_ID = np.iinfo(np.int64).max
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers as compressed byte planes."""
+_MULTIPLIER = np.uint64(0xBF58476D1CE4E5B9)
+_CODECS: list = []
+
+
+def _codecs() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One pair for each process: a new one costs more than the few KB that most calls pack."""
+    if not _CODECS:
+        _CODECS.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    return _CODECS[0], _CODECS[1]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Byte planes of unsigned integers."""
     values = np.ascontiguousarray(values)
-    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T) if len(values) else np.zeros(0, np.uint8)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes() if len(values) else b""
 
 
-def unpack(data: bytes, dtype) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+def _unplaned(raw: np.ndarray, dtype) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).reshape(-1) if len(raw) else np.zeros(0, dtype)
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    return pack(np.diff(values, prepend=values.dtype.type(0)))
+    """Sorted unsigned integers as compressed byte planes of their differences."""
+    return _codecs()[0].compress(_planes(np.diff(values, prepend=values.dtype.type(0))))
 
 
 def unpack_sorted(data: bytes, dtype) -> np.ndarray:
-    return np.cumsum(unpack(data, dtype), dtype=dtype)
+    return np.cumsum(_unplaned(np.frombuffer(_codecs()[1].decompress(data), np.uint8), dtype), dtype=dtype)
+
+
+def mixed(words) -> np.ndarray:
+    """A 64-bit hash of each row of a table of words, given by columns."""
+    h = None
+    for word in words:
+        h = np.full(len(word), X.BASE, np.uint64) if h is None else h
+        h ^= word
+        h *= _MULTIPLIER
+        h ^= h >> np.uint64(32)
+    return X.mix(h)
 
 
 # --- blocks ---------------------------------------------------------------------------------------------
@@ -93,15 +120,31 @@ def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     return rows.mapInArrow(run, "block bigint, n_bytes bigint, ids binary, offsets binary, body binary, rest binary")
 
 
+@contextlib.contextmanager
+def _shuffles_cleaned(spark: SparkSession):
+    """Spark removes the shuffle files of a write as soon as it ends, not when the driver collects its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 class _Tables:
-    """Bucketed tables of one run in the warehouse, dropped as soon as they are used up."""
+    """Tables of one run in the warehouse, dropped as soon as they are used up."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.made = spark, []
 
-    def put(self, df: DataFrame, key: str, buckets: int) -> DataFrame:
+    def put(self, df: DataFrame, key: str | None = None, buckets: int = 0) -> DataFrame:
+        """``df`` as a table, bucketed by ``key`` if there is one. Each task writes a file for each bucket it has rows of, so a
+        key must have few rows in a task; what many tasks send to many groups is shuffled."""
         name = f"suffixes_{uuid.uuid4().hex}"
-        df.write.format("parquet").option("compression", "zstd").bucketBy(buckets, key).saveAsTable(name)
+        writer = df.write.format("parquet").option("compression", "zstd")
+        with _shuffles_cleaned(self.spark):
+            (writer.bucketBy(buckets, key) if key else writer).saveAsTable(name)
         self.made.append((self.spark.table(name), name))
         return self.made[-1][0]
 
@@ -116,23 +159,21 @@ class _Tables:
 # --- cover sample -----------------------------------------------------------------------------------------
 def sample_positions(offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of the cover sample with the bytes they are judged by in their document, and the document."""
-    least = length - PERIOD + 1
-    member = np.isin(np.arange(PERIOD), COVER)
-    doc = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    place = np.arange(len(doc), dtype=np.int32) - offsets.astype(np.int32)[doc]
-    at = np.flatnonzero(member[place % PERIOD])
-    at = at[at + least <= offsets[1:][doc[at]]]
-    return at, doc[at]
+    cover = np.array(COVER)
+    places = np.maximum(np.diff(offsets) - (length - PERIOD), 0)
+    n = places // PERIOD * len(cover) + np.searchsorted(cover, places % PERIOD)
+    doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+    period, member = np.divmod(np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n), len(cover))
+    return offsets[:-1][doc] + period * PERIOD + cover[member], doc
 
 
 def fingerprints(body: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """64-bit fingerprints of the ``length - PERIOD + 1`` bytes from each position."""
     least = length - PERIOD + 1
-    words = np.ndarray((max(len(body) - 7, 0),), "<u8", buffer=body.tobytes(), strides=(1,)) if len(body) > 7 else None
-    h = np.full(len(at), X.BASE, np.uint64)
-    for o in [*range(0, least - 7, 8), *([least - 8] if least % 8 else [])]:
-        h = X.mix(h ^ words[at + o]) if len(at) else h
-    return h
+    if not len(at):
+        return np.zeros(0, np.uint64)
+    words = np.ndarray((len(body) - 7,), "<u8", buffer=np.ascontiguousarray(body), strides=(1,))
+    return mixed(words[at + o] for o in [*range(0, least - 7, 8), *([least - 8] if least % 8 else [])])
 
 
 def _sent(body, offsets, length, bits, ranges):
@@ -151,8 +192,8 @@ def _edges(bits: int, ranges: int) -> np.ndarray:
     return np.array([-(-(r << bits) // ranges) for r in range(ranges)] + [1 << bits], np.uint64)
 
 
-def cover_sample(blocks: DataFrame, length: int, bits: int, ranges: int, tables: _Tables, block_buckets: int, hot_blocks: int) -> DataFrame:
-    """(block, shared, hot): fingerprints of the block that occur elsewhere too, and those of them that are hot."""
+def cover_sample(blocks: DataFrame, length: int, bits: int, ranges: int, tables: _Tables, hot_blocks: int) -> DataFrame:
+    """(range, block, shared, hot): fingerprints of the block that occur elsewhere too, and those of them that are hot (null if none is)."""
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -165,20 +206,34 @@ def cover_sample(blocks: DataFrame, length: int, bits: int, ranges: int, tables:
 
     def match(group: pa.Table) -> pa.Table:
         lists = [unpack_sorted(d, np.uint64) for d in group["data"].to_pylist()]
-        merged = np.sort(np.concatenate(lists))
-        first = np.flatnonzero(np.concatenate([[True], merged[1:] != merged[:-1]]))
-        counts = np.diff(np.append(first, len(merged)))
-        shared, hot = merged[first[counts > 1]], merged[first[counts > hot_blocks]]
-        own = [_common(v, shared) for v in lists]
+        own, hot = match_lists(lists, hot_blocks)
+        hot_of = [_common(v, hot) for v in own] if len(hot) else [hot] * len(own)
         return pa.table({
-            "block": group["block"], "shared": pa.array([pack_sorted(v) for v in own], pa.binary()),
-            "hot": pa.array([pack_sorted(_common(v, hot)) for v in own], pa.binary()),
+            "range": group["range"], "block": group["block"], "shared": pa.array([pack_sorted(v) for v in own], pa.binary()),
+            "hot": pa.array([pack_sorted(v) if len(v) else None for v in hot_of], pa.binary()),
         })
 
-    sent = tables.put(blocks.select("block", "offsets", "body").mapInArrow(send, "range int, block bigint, data binary"), "range", ranges)
-    known = tables.put(sent.groupBy("range").applyInArrow(match, "block bigint, shared binary, hot binary"), "block", block_buckets)
-    tables.drop(sent)
-    return known
+    sent = blocks.select("block", "offsets", "body").mapInArrow(send, "range int, block bigint, data binary")
+    return tables.put(sent.repartitionById(ranges, F.col("range")).groupBy("range").applyInArrow(match, "range int, block bigint, shared binary, hot binary"))
+
+
+def match_lists(lists: list[np.ndarray], hot_blocks: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each sorted list the values that are in the lists twice or more, once each; of all the values that are there more than ``hot_blocks`` times."""
+    every = np.concatenate(lists)
+    order = np.argsort(every, kind="stable")  # merges the sorted lists
+    merged = every[order]
+    new = np.ones(len(merged) + 1, bool)
+    np.not_equal(merged[1:], merged[:-1], out=new[1:-1])
+    keep = np.empty(len(every), bool)
+    keep[order] = ~(new[:-1] & new[1:])
+    ends = np.cumsum([len(v) for v in lists])
+    again = every[1:] == every[:-1]
+    again[(inner := ends[:-1])[(inner > 0) & (inner < len(every))] - 1] = False  # a list that begins with the value the one before ends with
+    keep[1:] &= ~again
+    kept = np.concatenate([[0], np.cumsum(keep)])[np.concatenate([[0], ends])]
+    values = every[keep]
+    first = np.flatnonzero(new)
+    return [values[a:b] for a, b in zip(kept, kept[1:])], merged[first[:-1][np.diff(first) > hot_blocks]]
 
 
 def _common(sorted_values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -188,95 +243,119 @@ def _common(sorted_values: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 # --- suffix buckets -----------------------------------------------------------------------------------------
 class Contexts:
-    """Cover-sample suffixes of a block that may tie with others, equal ones merged.
+    """Cover-sample suffixes of a block that may tie with others, equal ones merged, in the order of their ranges.
 
-    ``bytes`` has the PERIOD - 1 bytes before and the ``length`` bytes after each sample, zero outside the document;
-    ``low`` and ``high`` bound the shifts whose window lies in the document.
+    A row of ``windows`` has the PERIOD - 1 bytes before and the ``length`` bytes after each sample, zero outside the
+    document, and last the lowest and the highest shift whose window lies in the document. ``range`` and ``doc`` are of these
+    rows; ``at`` and ``later`` of the samples, ``counts`` of them to a row.
     """
 
-    def __init__(self, body, offsets, ids, shared, hot, length, bits):
+    def __init__(self, body, offsets, ids, shared, hot, length, bits, ranges):
         before = PERIOD - 1
         at, doc = sample_positions(offsets, length)
         values = fingerprints(body, at, length) >> np.uint64(64 - bits)
-        keep = _member(values, shared)
-        at, doc, values = at[keep], doc[keep], values[keep]
+        # What passes the bit set by chance only ties with nothing; hot ones are told apart exactly, by all blocks alike.
+        is_hot = _member(values, hot)
+        keep = np.flatnonzero(_bit_set(values, shared) | is_hot)
+        at, doc, values, is_hot = at[keep], doc[keep], values[keep], is_hot[keep]
         low = np.maximum(0, length - (offsets[1:][doc] - at))
         high = np.minimum(before, at - offsets[:-1][doc])
-        keep = low <= high
-        at, doc, values, low, high = at[keep], doc[keep], values[keep], low[keep], high[keep]
-        wide = np.concatenate([np.zeros(before, np.uint8), body, np.zeros(length, np.uint8)])
-        rows = np.lib.stride_tricks.sliding_window_view(wide, before + length)[at]
-        if _member(values, hot).any():
-            split = np.flatnonzero(_member(values, hot))
-            rest = np.flatnonzero(~_member(values, hot))
+        keep = np.flatnonzero(low <= high)
+        if len(keep) < len(at):
+            at, doc, values, low, high, is_hot = at[keep], doc[keep], values[keep], low[keep], high[keep], is_hot[keep]
+        fixed = np.zeros(len(at), bool)
+        if is_hot.any():
+            split = np.flatnonzero(is_hot)
+            rest = np.flatnonzero(~is_hot)
             shifts = [split[(low[split] <= k) & (k <= high[split])] for k in range(PERIOD)]
-            k_of = np.concatenate([np.full(len(s), k) for k, s in enumerate(shifts)])
             taken = np.concatenate([rest, *shifts])
             fixed = np.arange(len(taken)) >= len(rest)
-            at, doc, values, low, high, rows = at[taken], doc[taken], values[taken], low[taken], high[taken], rows[taken]
-            low[fixed] = high[fixed] = k_of
-        else:
-            fixed = np.zeros(len(at), bool)
-        column = np.arange(before + length)
-        rows = np.where((column < before - high[:, None]) | (column >= before + length - low[:, None]), np.uint8(0), rows)
-        padded = np.zeros((len(rows), -(-(before + length + 2) // 8) * 8), np.uint8)
-        padded[:, :before + length], padded[:, -2], padded[:, -1] = rows, low, high
-        code = np.full(len(rows), X.BASE, np.uint64)
-        for word in padded.view("<u8").T:
-            code = X.mix(code ^ word)
-        # Bucket: the fingerprint's range, or for hot ones that of the window.
-        self.spread = np.where(fixed, code >> np.uint64(64 - bits), values)
-        order = np.lexsort((ids[doc], code))
-        code, padded = code[order], padded[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (code[1:] != code[:-1]) | (padded[1:] != padded[:-1]).any(axis=1)
-        kind = np.cumsum(new) - 1
-        self.at, self.kind = at[order], kind
-        self.bytes, self.low, self.high = padded[new][:, :before + length], low[order][new], high[order][new]
-        self.doc, self.spread = ids[doc][order][new], self.spread[order][new]
-        self.later = ids[doc][order] > self.doc[kind]  # an earlier document of the block has the same context
+            at, doc, values, low, high = at[taken], doc[taken], values[taken], low[taken], high[taken]
+            low[fixed] = high[fixed] = np.concatenate([np.full(len(s), k) for k, s in enumerate(shifts)])
+        width = window_width(length)
+        wide = np.concatenate([np.zeros(before, np.uint8), body, np.zeros(width - before, np.uint8)])
+        windows = np.lib.stride_tricks.sliding_window_view(wide, width)[at]
+        edge = np.flatnonzero((low > 0) | (high < before))
+        column = np.arange(width)
+        windows[edge] = np.where((column < before - high[edge, None]) | (column >= before + length - low[edge, None]), np.uint8(0), windows[edge])
+        windows[:, before + length:] = 0
+        windows[:, -2], windows[:, -1] = low, high
+        code = mixed(windows.view("<u8").T) if len(windows) else np.zeros(0, np.uint64)
+        # Range: of the fingerprint, or for hot ones of the window.
+        where = np.searchsorted(_edges(bits, ranges), np.where(fixed, code >> np.uint64(64 - bits), values), "right") - 1
+        room = np.uint64(ranges.bit_length())
+        key = where.astype(np.uint64) << (np.uint64(64) - room) | code >> room
+        order = np.argsort(key)
+        windows = np.take(windows, order, axis=0)
+        new = _new_rows(windows)
+        first = np.flatnonzero(new)
+        owner = ids[doc[order]]
+        self.at, self.windows, self.range = at[order], windows[first], where[order[first]]
+        self.counts = np.diff(np.append(first, len(order)))
+        self.doc = np.minimum.reduceat(owner, first) if len(first) else owner
+        self.later = owner > np.repeat(self.doc, self.counts)  # an earlier document of the block has the same context
+
+
+def window_width(length: int) -> int:
+    return -(-(PERIOD - 1 + length + 2) // 8) * 8
+
+
+def _new_rows(rows: np.ndarray) -> np.ndarray:
+    """Which of the byte rows, a multiple of 8 wide, differ from the row before."""
+    new = np.ones(len(rows), bool)
+    if len(rows) > 1:
+        words = rows.view(np.uint64)
+        new[1:] = (words[1:] != words[:-1]).any(axis=1)
+    return new
+
+
+def _bit_set(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Which values have the same bits as one of ``among`` in two bit sets: all of its members, and few others."""
+    room = max(10, min(26, int(len(among) * 16).bit_length()))
+    near = np.arange(len(values))
+    for factor in (np.uint64(X.BASE), _MULTIPLIER):
+        table = np.zeros(1 << room, bool)
+        table[(among * factor >> np.uint64(64 - room)).view(np.int64)] = True
+        near = near[table[(values[near] * factor >> np.uint64(64 - room)).view(np.int64)]]
+    found = np.zeros(len(values), bool)
+    found[near] = True
+    return found
 
 
 def _member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     """Which values are in the sorted ``among``: a bit set first, then a search for what passes."""
     found = np.zeros(len(values), bool)
     if len(among) and len(values):
-        size = 1 << max(10, min(27, int(len(among) * 16).bit_length()))
-        table = np.zeros(size, bool)
-        table[(among & np.uint64(size - 1)).astype(np.int64)] = True
-        near = np.flatnonzero(table[(values & np.uint64(size - 1)).astype(np.int64)])
+        near = np.flatnonzero(_bit_set(values, among))
         found[near] = among[np.minimum(np.searchsorted(among, values[near]), len(among) - 1)] == values[near]
     return found
 
 
-CONTEXT = pa.schema([("range", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in ("contexts", "low", "high", "doc", "at", "kind", "later"))])
+CONTEXT = pa.schema([("range", pa.int32()), ("block", pa.int64()), ("contexts", pa.int32()), ("members", pa.int32()), ("data", pa.binary())])
 
 
 def _block_contexts(row, length, bits, ranges, chosen):
-    """Rows of CONTEXT of one block, for the ranges ``chosen`` only."""
-    shared, hot = (np.sort(np.concatenate([unpack_sorted(d, np.uint64) for d in row[c]])) for c in ("shared", "hot"))
-    edges = _edges(bits, ranges)
-    wanted = np.zeros(ranges + 1, bool)
-    wanted[list(chosen)] = True
+    """Rows of CONTEXT of one block, for the ranges ``chosen`` only, which are numbered by their places in it."""
+    shared, hot = (np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(d, np.uint64) for d in row[c])]) for c in ("shared", "hot"))
     c = Contexts(np.frombuffer(row["body"], np.uint8), np.frombuffer(row["offsets"], np.int64), np.frombuffer(row["ids"], np.int64),
-                 shared[wanted[np.searchsorted(edges, shared, "right") - 1]] if not len(hot) else shared, hot, length, bits)
-    where = np.searchsorted(edges, c.spread, "right") - 1
-    order = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[order], np.arange(ranges + 1))
-    new_index = np.empty(len(order), np.int64)
-    new_index[order] = np.arange(len(order))
-    member_kind = new_index[c.kind]
-    member_order = np.lexsort((c.at, member_kind))
-    member_kind, at, later = member_kind[member_order], c.at[member_order], c.later[member_order]
-    member_cuts = np.searchsorted(member_kind, cuts)
-    for r in chosen:
+                 shared, np.sort(hot), length, bits, ranges)
+    cuts = np.searchsorted(c.range, np.arange(ranges + 1))
+    member_cuts = np.concatenate([[0], np.cumsum(c.counts)])[cuts]
+    doc, counts, at, later = c.doc.view(np.uint64), c.counts.astype(np.uint32), c.at.astype(np.uint32), c.later.view(np.uint8)
+    compress = _codecs()[0].compress
+    for place, r in enumerate(chosen):
         a, b, x, y = cuts[r], cuts[r + 1], member_cuts[r], member_cuts[r + 1]
         if a < b:
-            take = order[a:b]
-            compress = zstandard.ZstdCompressor(level=1).compress
-            yield {"range": r, "block": row["block"], "contexts": compress(c.bytes[take].tobytes()), "low": pack(c.low[take].astype(np.uint8)),
-                   "high": pack(c.high[take].astype(np.uint8)), "doc": pack(c.doc[take].astype(np.int64).view(np.uint64)), "at": pack(at[x:y].astype(np.uint32)),
-                   "kind": pack_sorted((member_kind[x:y] - a).astype(np.uint32)), "later": pack(later[x:y].astype(np.uint8))}
+            data = b"".join([c.windows[a:b].tobytes(), _planes(doc[a:b]), _planes(counts[a:b]), _planes(at[x:y]), later[x:y].tobytes()])
+            yield {"range": place, "block": row["block"], "contexts": b - a, "members": y - x, "data": compress(data)}
+
+
+def _unpacked(row: dict, width: int) -> tuple[np.ndarray, ...]:
+    """Windows, documents, counts, positions and flags of a row of CONTEXT."""
+    raw, n, m = np.frombuffer(_codecs()[1].decompress(row["data"]), np.uint8), row["contexts"], row["members"]
+    cuts = np.cumsum([n * width, n * 8, n * 4, m * 4])
+    windows, doc, counts, at, later = np.split(raw, cuts)
+    return windows.reshape(-1, width), _unplaned(doc, np.uint64).view(np.int64), _unplaned(counts, np.uint32).astype(np.int64), _unplaned(at, np.uint32), later > 0
 
 
 def _words(rows: np.ndarray) -> list[np.ndarray]:
@@ -303,29 +382,84 @@ def ranks_at(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
     return ranks
 
 
-def sort_bucket(contexts: np.ndarray, low: np.ndarray, high: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+def sort_bucket(windows: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """For each context a bit mask of the shifts k whose suffix, ``length`` bytes from k before the sample, is
     also in a document with a smaller id."""
-    before = PERIOD - 1
-    order, common = ordered(contexts[:, before:])
-    left_order, left_common = ordered(contexts[:, :before][:, ::-1])
-    masks = np.zeros(len(contexts), np.uint32)
+    masks = np.zeros(len(windows), np.uint32)
+    if not len(windows):
+        return masks
+    # Equal windows are one for all shifts: only their smallest document is sorted. The hash brings them together, the bytes decide.
+    by_code = np.argsort(mixed(windows.view("<u8").T))
+    gathered = np.take(windows, by_code, axis=0)
+    first = np.flatnonzero(_new_rows(gathered))
+    sizes = np.diff(np.append(first, len(by_code)))
+    owner = np.minimum.reduceat(doc[by_code], first)
+    distinct = gathered[first]
+    del gathered
+    later = doc[by_code] > np.repeat(owner, sizes)
+    masks[by_code] = np.where(later, np.repeat(whole_masks(distinct), sizes), np.repeat(_tied(distinct, owner, length), sizes))
+    return masks
+
+
+def whole_masks(windows: np.ndarray) -> np.ndarray:
+    """All shifts of each window as bit masks."""
+    low, high = windows[:, -2].astype(np.uint64), windows[:, -1].astype(np.uint64)
+    return ((np.uint64(2) << high) - (np.uint64(1) << low)).astype(np.uint32)
+
+
+def _tied(windows: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """``sort_bucket`` of windows that differ."""
+    before, masks = PERIOD - 1, np.zeros(len(windows), np.uint32)
+    # Only windows whose first bytes after the sample occur twice can tie.
+    code = mixed(_words(windows[:, before:before + length - before]))
+    by_code = np.argsort(code)
+    same = np.zeros(len(code) + 1, bool)
+    same[1:-1] = code[by_code[1:]] == code[by_code[:-1]]
+    left = np.sort(by_code[same[1:] | same[:-1]])
+    # A shift k takes length - k bytes that another one shares after the sample, and k before it.
+    low, high = windows[left, -2].astype(np.int64), windows[left, -1].astype(np.int64)
+    order, common = ordered(windows[left, before:before + length])
+    low = np.maximum(low, length - _most_common(order, common))
+    keep = np.flatnonzero(low <= high)
+    left, low, high = left[keep], low[keep], high[keep]
+    order, common = _among(order, common, keep)
+    left_order, left_common = ordered(windows[left, :before][:, ::-1])
+    high = np.minimum(high, _most_common(left_order, left_common))
     for k in range(PERIOD):
         fits = np.flatnonzero((low <= k) & (k <= high))
         if len(fits) < 2:
             continue
         # The k bytes before the sample decide, then the rank of the sample suffix at the depth that is left.
-        key = ranks_at(left_order, left_common, k)[fits] * (len(contexts) + 1) + ranks_at(order, common, length - k)[fits]
-        sorted_at = np.argsort(key, kind="stable")
-        key, owner = key[sorted_at], doc[fits[sorted_at]]
+        key = ranks_at(left_order, left_common, k)[fits] * (len(left) + 1) + ranks_at(order, common, length - k)[fits]
+        sorted_at = np.argsort(key)
+        key, owner = key[sorted_at], doc[left[fits[sorted_at]]]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         smallest = np.repeat(np.minimum.reduceat(owner, first), np.diff(np.append(first, len(key))))
-        masks[fits[sorted_at[owner > smallest]]] |= np.uint32(1 << k)
+        masks[left[fits[sorted_at[owner > smallest]]]] |= np.uint32(1 << k)
     return masks
 
 
-def suffix_buckets(with_shared: DataFrame, length: int, bits: int, ranges: int, chosen: list[int], tables: _Tables, block_buckets: int) -> DataFrame:
-    """(block, at, mask): the repeats of the buckets ``chosen``, as sample positions and bit masks of shifts."""
+def _most_common(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The most bytes that each row shares with any other."""
+    most = np.empty(len(order), np.int64)
+    most[order] = np.maximum(common, np.append(common[1:], 0)) if len(order) else common
+    return most
+
+
+def _among(order: np.ndarray, common: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the rows ``keep``, and the bytes that each shares with the one kept before it: the least on the way."""
+    number = np.full(len(order), -1)
+    number[keep] = np.arange(len(keep))
+    places = np.flatnonzero(number[order] >= 0)
+    if not len(places):
+        return places, common[:0]
+    least = np.minimum.reduceat(common[:places[-1] + 1], np.append(0, places[:-1] + 1))
+    least[0] = 0
+    return number[order[places]], least
+
+
+def suffix_buckets(with_shared: DataFrame, length: int, bits: int, ranges: int, chosen: list[int], tables: _Tables) -> DataFrame:
+    """(block, hits, data): the repeats of the buckets ``chosen``, as sample positions and bit masks of shifts."""
     def send(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -333,40 +467,49 @@ def suffix_buckets(with_shared: DataFrame, length: int, bits: int, ranges: int,
                 yield pa.RecordBatch.from_pylist(found, schema=CONTEXT)
 
     def sort(group: pa.Table) -> pa.Table:
-        rows = group.to_pylist()
-        width = PERIOD - 1 + length
-        parts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(r["contexts"]), np.uint8).reshape(-1, width) for r in rows]
-        low, high = (np.concatenate([unpack(r[n], np.uint8) for r in rows]).astype(np.int64) for n in ("low", "high"))
-        doc = np.concatenate([unpack(r["doc"], np.uint64).view(np.int64) for r in rows])
-        masks = sort_bucket(np.concatenate(parts), low, high, doc, length)
-        whole = ((np.uint64(1) << (high + 1).astype(np.uint64)) - (np.uint64(1) << low.astype(np.uint64))).astype(np.uint32)
-        out, start = {"block": [], "at": [], "mask": []}, 0
-        for r, part in zip(rows, parts):
-            kind, later, at = unpack_sorted(r["kind"], np.uint32).astype(np.int64) + start, unpack(r["later"], np.uint8) > 0, unpack(r["at"], np.uint32)
-            mask = np.where(later, whole[kind], masks[kind])
-            order = np.argsort(at, kind="stable")
-            order = order[mask[order] > 0]
-            if len(order):
-                out["block"].append(r["block"])
-                out["at"].append(pack_sorted(at[order]))
-                out["mask"].append(pack(mask[order]))
-            start += len(part)
-        return pa.table({"block": pa.array(out["block"], pa.int64()), "at": pa.array(out["at"], pa.binary()), "mask": pa.array(out["mask"], pa.binary())})
-
-    schema = ", ".join(f"{f.name} {'int' if f.name == 'range' else 'bigint' if f.name == 'block' else 'binary'}" for f in CONTEXT)
-    sent = tables.put(with_shared.mapInArrow(send, schema), "range", len(chosen))
-    repeats = tables.put(sent.groupBy("range").applyInArrow(sort, "block bigint, at binary, mask binary"), "block", block_buckets)
-    tables.drop(sent)
-    return repeats
+        rows, width, start = group.select(["block", "contexts", "members"]).to_pylist(), window_width(length), 0
+        total = sum(r["contexts"] for r in rows)
+        windows, doc, members = np.empty((total, width), np.uint8), np.empty(total, np.int64), []
+        for r, data in zip(rows, group["data"]):
+            end = start + r["contexts"]
+            windows[start:end], doc[start:end], *rest = _unpacked(r | {"data": data.as_py()}, width)
+            members.append(rest)
+            start = end
+        masks, whole, out, start = sort_bucket(windows, doc, length), whole_masks(windows), [], 0
+        for r, (counts, at, later) in zip(rows, members):
+            end = start + r["contexts"]
+            mask = np.where(later, np.repeat(whole[start:end], counts), np.repeat(masks[start:end], counts))
+            hits = np.flatnonzero(mask)
+            if len(hits):
+                out.append((r["block"], len(hits), pack_hits(at[hits], mask[hits])))
+            start = end
+        blocks, hits, data = zip(*out) if out else ((), (), ())
+        return pa.table({"block": pa.array(blocks, pa.int64()), "hits": pa.array(hits, pa.int32()), "data": pa.array(data, pa.binary())})
+
+    kinds = {pa.int32(): "int", pa.int64(): "bigint", pa.binary(): "binary"}
+    sent = with_shared.mapInArrow(send, ", ".join(f"{f.name} {kinds[f.type]}" for f in CONTEXT))
+    return tables.put(sent.repartitionById(len(chosen), F.col("range")).groupBy("range").applyInArrow(sort, "block bigint, hits int, data binary"))
+
+
+def pack_hits(at: np.ndarray, mask: np.ndarray) -> bytes:
+    order = np.argsort(at)
+    return _codecs()[0].compress(_planes(np.diff(at[order], prepend=at.dtype.type(0))) + _planes(mask[order]))
+
+
+def unpack_hits(data: bytes, hits: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(_codecs()[1].decompress(data), np.uint8)
+    return np.cumsum(_unplaned(raw[:4 * hits], np.uint32), dtype=np.uint32), _unplaned(raw[4 * hits:], np.uint32)
 
 
 # --- removal ------------------------------------------------------------------------------------------------
 def covered(n: int, repeats: list[tuple[np.ndarray, np.ndarray]], length: int) -> np.ndarray:
     """Which of ``n`` bytes lie in a repeat."""
     starts = np.zeros(n + 1, bool)
-    for at, mask in repeats:
+    if repeats:
+        at, mask = (np.concatenate(x) for x in zip(*repeats))
+        at = at.astype(np.int64)
         for k in range(PERIOD):
-            starts[at[(mask >> np.uint32(k) & 1) > 0].astype(np.int64) - k] = True
+            starts[at[(mask >> np.uint32(k) & np.uint32(1)) > 0] - k] = True
     steps = np.zeros(n + 1, np.int32)
     first = np.flatnonzero(starts)
     steps[first] += 1
@@ -387,7 +530,7 @@ def _cut(blocks: DataFrame, length: int, fields: list, with_text: bool) -> DataF
         for batch in batches:
             for row in batch.to_pylist():
                 body, offsets = np.frombuffer(row["body"], np.uint8), np.frombuffer(row["offsets"], np.int64)
-                gone = covered(len(body), [(unpack_sorted(a, np.uint32), unpack(m, np.uint32)) for a, m in zip(row["at"] or [], row["mask"] or [])], length)
+                gone = covered(len(body), [unpack_hits(x["data"], x["hits"]) for x in row["found"] or []], length)
                 edge = gone.copy()
                 edge[1:] &= ~gone[:-1]
                 heads = offsets[:-1][offsets[:-1] < len(gone)]
@@ -424,24 +567,26 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, carry: tuple[str,
     n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     samples = max(1, n_bytes * len(COVER) // PERIOD)
     bits, ranges = min(60, 24 if samples < 1 << 18 else samples.bit_length() + SPARE_BITS), math.ceil(samples / range_samples)
-    sort_ranges = ranges * PASSES
     tables = _Tables(spark)
     try:
-        # All tables with a block are bucketed alike, so they are joined without moving a row.
+        # The text stays in its buckets; what is sent back for a block is shuffled to them.
         buckets = math.ceil(max(1, n_bytes) / (6 * block_bytes))
         blocks = tables.put(_blocks(rows, block_bytes), "block", buckets)
-        known = cover_sample(blocks, length, bits, ranges, tables, buckets, hot_blocks)
-        lists = known.groupBy("block").agg(F.collect_list("shared").alias("shared"), F.collect_list("hot").alias("hot"))
-        with_shared = blocks.select("block", "ids", "offsets", "body").join(lists.hint("shuffle_hash"), "block")
-        found = [suffix_buckets(with_shared, length, bits, sort_ranges, list(range(turn, sort_ranges, PASSES)), tables, buckets) for turn in range(PASSES)]
+        known = cover_sample(blocks, length, bits, ranges, tables, hot_blocks)
+        found = []
+        for turn in range(min(PASSES, ranges)):
+            own = F.col("range") % PASSES == turn
+            lists = known.where(own | F.col("hot").isNotNull()).repartition(buckets, "block").groupBy("block").agg(
+                F.collect_list(F.when(own, F.col("shared"))).alias("shared"), F.collect_list("hot").alias("hot"))
+            with_shared = blocks.select("block", "ids", "offsets", "body").join(lists.hint("shuffle_hash"), "block")
+            # Each range is sorted in PASSES buckets.
+            chosen = [r for r in range(ranges * PASSES) if r // PASSES % PASSES == turn]
+            found.append(suffix_buckets(with_shared, length, bits, ranges * PASSES, chosen, tables))
         tables.drop(known)
-        joined, columns = blocks.select("block", "offsets", "body", "rest"), {"at": [], "mask": []}
-        for turn, repeats in enumerate(found):
-            own = repeats.groupBy("block").agg(F.collect_list(F.struct("at", "mask")).alias(f"s{turn}"))
-            joined = joined.join(own.hint("shuffle_hash"), "block", "left")
-            for c in columns:
-                columns[c].append(F.coalesce(F.col(f"s{turn}.{c}"), F.array().cast("array<binary>")))
-        cut = _cut(joined.select("offsets", "body", "rest", *(F.concat(*x).alias(c) for c, x in columns.items())), length, fields, with_text)
-        return materialise(cut).withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
+        repeats = reduce(DataFrame.unionAll, found).repartition(buckets, "block").groupBy("block").agg(F.collect_list(F.struct("hits", "data")).alias("found"))
+        joined = blocks.select("block", "offsets", "body", "rest").join(repeats.hint("shuffle_hash"), "block", "left")
+        cut = _cut(joined.select("offsets", "body", "rest", "found"), length, fields, with_text)
+        with _shuffles_cleaned(spark):
+            return materialise(cut).withColumnsRenamed({f"carry_{i}": c for i, c in enumerate(carry)})
     finally:
         tables.drop()

@@ -81,6 +81,21 @@ def test_suffix_dedup_on_few_letters(spark):
         assert got == set(removed(documents, length))
 
 
+def test_suffix_dedup_files(spark, monkeypatch):
+    """Files grow with blocks and with ranges, not with their product."""
+    dice = np.random.default_rng(5)
+    documents = {i: bytes(dice.choice(list(b"ab"), int(dice.integers(200, 900))).tolist()) for i in range(60)}
+    documents |= {100 + i: documents[i][20:150] + b"ab" * int(dice.integers(0, 60)) + documents[i + 7][90:300] for i in range(50)}
+    frame = spark.createDataFrame([(i, b.decode()) for i, b in documents.items()], "doc_id bigint, text string").repartition(5)
+    n_bytes, block_bytes, range_samples = sum(map(len, documents.values())), 1500, 200
+    ranges = -(-n_bytes * len(suffixes.COVER) // suffixes.PERIOD // range_samples)
+    files, put = [], suffixes._Tables.put
+    monkeypatch.setattr(suffixes._Tables, "put", lambda *args, **named: [table := put(*args, **named), files.append(len(table.inputFiles()))][0])
+    found = suffixes.remove_repeats(frame, with_text=False, hot_blocks=3, block_bytes=block_bytes, range_samples=range_samples).collect()
+    assert {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found} == set(removed(documents, 50))
+    assert ranges > 40 and max(files) <= max(2 * n_bytes // block_bytes, 2 * ranges)
+
+
 def test_difference_cover():
     for i in range(suffixes.PERIOD):
         for j in range(suffixes.PERIOD):
